@@ -25,6 +25,8 @@ from argentum.llm.session import parts_for
 K, S, SIZE = 5, 3, 128
 #: Hexadecimal digits of a hash in a fingerprint.
 DIGITS = 12
+#: Most ranges whose first keys are broadcast.
+MANY = 20_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -64,13 +66,12 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 def sketch(text: Column, k: int = K, s: int = S, size: int = SIZE) -> Column:
     """The least `size` distinct hashes of anchors, ascending, without sign."""
     kept = F.transform(F.filter(anchors(text, k, s), lambda h: h.isNotNull()), lambda h: F.shiftrightunsigned(h, 64 - 4 * DIGITS))
-    return F.array_join(F.transform(F.slice(F.array_sort(F.array_distinct(kept)), 1, size), lambda h: F.lpad(F.lower(F.hex(h)), DIGITS, "0")), "")
+    return F.slice(F.sort_array(F.array_distinct(kept)), 1, size)
 
 
-def unpacked(fingerprint: Column) -> Column:
-    """The hashes of a fingerprint, as text of fixed width."""
-    n = (F.length(fingerprint) / DIGITS).cast("int")
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substring(fingerprint, i * DIGITS + 1, F.lit(DIGITS))))
+def written(hashes: Column) -> Column:
+    """A sketch as text: hexadecimal numbers of fixed width, ascending."""
+    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), DIGITS, "0")), "")
 
 
 def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
@@ -80,13 +81,13 @@ def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
         common = F.size(F.array_intersect(F.array_intersect(a, b), both))
         return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.greatest(F.size(both), F.lit(1)))
 
-    return let(F.slice(F.array_sort(F.array_union(a, b)), 1, size), of)
+    return let(F.slice(F.sort_array(F.array_union(a, b)), 1, size), of)
 
 
 def fingerprints(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE) -> DataFrame:
     """doc_id, n_chars and fingerprint of (doc_id, text): a projection of the scan."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), sketch(F.col("text"), k, s, size).alias("fingerprint"))
+    return docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), written(sketch(F.col("text"), k, s, size)).alias("fingerprint"))
 
 
 def with_edited(docs: DataFrame) -> DataFrame:
@@ -98,25 +99,23 @@ def with_edited(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("known", F.col("doc_id").isNotNull()).withColumn("key", F.coalesce("doc_id", F.lit(0)))
     bounds = _bounds(rows, parts_for(rows, each=6 << 20))
-    # Ranges by number: how many bounds lie at or under the key, by binary digits of the position.
-    spot = F.when(~F.col("known"), F.lit(-1)).otherwise(_position(F.col("key"), bounds))
-    dealt = rows.withColumn("range", spot.cast("int")).withColumn("own", sketch(F.col("text"))).repartition(max(1, len(bounds) + 1), "range")
-    order = Window.partitionBy("range").orderBy("known", "key", F.col("text"))
-    first = dealt.groupBy("range").agg(F.min(F.struct("known", "key", "text", "own")).alias("first"))
-    numbers = first.select("range").withColumn("follows", F.lead("range").over(Window.orderBy("range"))).withColumn("follows", F.coalesce("follows", F.min("range").over(Window.partitionBy(F.lit(1)))))
-    heads = numbers.join(first.select(F.col("range").alias("follows"), "first"), "follows").select("range", F.col("first.text").alias("head"), F.col("first.own").alias("head_own"))
-    ahead = dealt.select("*", F.lead("text").over(order).alias("after"), F.lead("own").over(order).alias("after_own"))
-    joined = ahead.join(heads, "range", "left")
+    spot = F.when(~F.col("known"), F.lit(-1)).otherwise(_position(F.col("key"), bounds)).cast("int")
+    # The first row of each range: keys first, from the narrow column, then the texts of those rows alone.
+    keys = rows.groupBy(spot.alias("range")).agg(F.min(F.struct("known", "key")).alias("first"))
+    follows = F.coalesce(F.lead("first").over(Window.orderBy("range")), F.min("first").over(Window.partitionBy(F.lit(1))))
+    heads = keys.select("range", follows.alias("first")).select("range", "first.known", "first.key")
+    heads = rows.select("known", "key", "text").join(F.broadcast(heads) if len(bounds) < MANY else heads, ["known", "key"]).groupBy("range").agg(F.min("text").alias("head"))
+    order = Window.partitionBy("range").orderBy("known", "key", "text")
+    dealt = rows.withColumn("range", spot).repartition(max(1, len(bounds) + 1), "range")
+    ahead = dealt.join(heads, "range", "left").withColumn("after", F.coalesce(F.lead("text").over(order), "head"))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    chosen = joined.select("doc_id", n.cast("long").alias("n_chars"), F.col("own").alias("fingerprint"), F.coalesce("after_own", "head_own").alias("next_own"), F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("after", "head"), F.lit(1), cut)).alias("edited"))
-    made = chosen.select("doc_id", "n_chars", "fingerprint", "next_own", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_fingerprint"))
-
-
-    def near(other: str) -> Column:
-        return let(unpacked(F.col("fingerprint")), lambda a: let(unpacked(F.col(other)), lambda b: likeness(a, b)))
-
-    return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_own").alias("near_next"))
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("after", F.lit(1), cut))
+    # Only the last row of a range has to compute the fingerprint of its next document anew.
+    last = F.lead("key").over(order).isNull()
+    chosen = ahead.select("doc_id", "known", "key", "text", "range", n.cast("long").alias("n_chars"), sketch(F.col("text")).alias("own"), edited.alias("edited"), F.when(last, F.col("after")).alias("beyond"))
+    made = chosen.select("doc_id", "n_chars", "own", F.coalesce(F.lead("own").over(order), sketch(F.col("beyond"))).alias("next"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("edited")).alias("changed"))
+    return made.select("doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
 
 
 def _bounds(rows: DataFrame, parts: int) -> list[int]:

@@ -22,9 +22,13 @@ from pyspark.sql import functions as F
 
 from argentum.llm.words import Words, mix
 
-BITS = 18
+BITS = 22
 #: Most labelled documents that the classifier is fitted on.
-SAMPLE = 6000
+SAMPLE = 12_000
+#: Documents of the sample that a feature must occur in; rarer ones identify single documents.
+SUPPORT = 3
+#: What a document of label 1 counts for against one of label 0.
+POSITIVE = 3.0
 
 
 def features(words: Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -74,11 +78,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + total[of[1:]] - total[of[:-1]], -35, 35)))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.5, l2: float = 1.0, passes: int = 4) -> Model:
+def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 1.0, passes: int = 4, support: int = SUPPORT, positive: float = POSITIVE) -> Model:
     """FTRL-proximal over (slots, label) rows: per-coordinate rates, L1 sets weights to exactly 0."""
-    positive = sum(y for _, y in rows)
-    if not rows or positive in (0, len(rows)):
-        share = (positive + 0.5) / (len(rows) + 1)
+    ones = sum(y for _, y in rows)
+    if not rows or ones in (0, len(rows)):
+        share = (ones + 0.5) / (len(rows) + 1)
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(share / (1 - share))), bits)
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last one is the intercept, without L1
@@ -88,12 +92,16 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 0.1
         limit = np.where(at == size, 0.0, l1)
         return np.where(np.abs(zi) <= limit, 0.0, -(zi - np.sign(zi) * limit) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
+    often = np.zeros(size, np.int32)
+    for slots, _ in rows:
+        often[slots] += 1
+    rows = [(slots[often[slots] >= support], y) for slots, y in rows]
     for _ in range(passes):
         for slots, y in rows:
             at = np.append(slots, size)
             w = weights(at)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-            g = p - y
+            g = (p - y) * (positive if y else 1.0)
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - sigma * w
             n[at] += g * g
