@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.llm import audio, byte_bpe, packing, repair, syncmers, toxicity
+from argentum.llm import audio, byte_bpe, neardup, packing, repair, syncmers, toxicity
 from argentum.llm.session import documents
 
 
@@ -26,6 +26,11 @@ def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates among all documents."""
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as audio, read back, with digests and features."""
     return audio.audio_features(documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -41,7 +46,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.with_edited(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_ids, op5_byte_bpe, op6_best_fit, op8_audio_features, op9_toxicity, op10_syncmers)}
+QUERIES = {f.__name__: f for f in (op2_token_ids, op5_byte_bpe, op6_best_fit, op7_near_duplicates, op8_audio_features, op9_toxicity, op10_syncmers)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
