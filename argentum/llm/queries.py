@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.llm import audio, byte_bpe, neardup, packing, repair, syncmers, toxicity
+from argentum.llm import audio, byte_bpe, neardup, packing, repair, suffix_dedup, syncmers, toxicity
 from argentum.llm.session import documents
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents without those covered by a 100-byte string that starts earlier."""
+    return suffix_dedup.suffix_array_dedup(documents(spark, sf_dir), length=100, digest=True)
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written as Re-Pair shards and read back."""
     path = repair.target(spark)
@@ -46,7 +51,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.with_edited(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_ids, op5_byte_bpe, op6_best_fit, op7_near_duplicates, op8_audio_features, op9_toxicity, op10_syncmers)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_ids, op5_byte_bpe, op6_best_fit, op7_near_duplicates, op8_audio_features, op9_toxicity, op10_syncmers)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
