@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +36,8 @@ BITS = 1024
 NEAR = 0.55
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 4096
+#: Pairs whose sketches are compared at once.
+PAIRS = 1 << 17
 
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -172,29 +173,81 @@ def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(bits <= least_odd()).select("a", "b")
 
 
+def block_pairs(bucket: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray, rep: np.ndarray, component: np.ndarray, sketch: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows sorted by (bucket, i, j): pairs (rows, rows, differing bits) of one group that differ in component and come near."""
+    new = np.ones(len(bucket), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(bucket)))
+    partners = np.repeat(size, size)  # each row meets its whole group, rows by rows
+    begin = np.repeat(first, size)
+    ends = np.cumsum(partners)
+    a, total = 0, 0
+    while a < len(bucket):
+        b = max(a + 1, int(np.searchsorted(ends, total + PAIRS, "right")))
+        n = partners[a:b]
+        x = np.repeat(np.arange(a, b), n)
+        y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[a:b], n)
+        ok = (component[x] != component[y]) & (rep[x] < rep[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+        x, y = x[ok], y[ok]
+        odd = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+        ok = odd <= most
+        yield x[ok], y[ok], odd[ok]
+        a, total = b, int(ends[b - 1])
+
+
 def across(open_: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket whose sketches come near. open_: bucket, rep, component, sketch, place, members."""
+    """Pairs (a, b, odd, x, y) of different components x, y in one bucket whose sketches come near.
+
+    open_: bucket, rep, component, sketch, place, members. A bucket of more than BLOCK members becomes
+    pairs of blocks, each a group of its own, so that no task gathers a bucket.
+    """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.floor(F.col("place") / BLOCK).cast("int")
     dealt = open_.select("bucket", "rep", "component", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "sketch")
     most = least_odd()
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rep")
-        i, j = int(f["i"].iloc[0]), int(f["j"].iloc[0])
-        left, right = f[f["own"] == i], f[f["own"] == j]
-        found = []
-        if len(left) and len(right):
-            y, comp, reps = np.stack(right["sketch"].to_numpy()), right["component"].to_numpy(), right["rep"].to_numpy()
-            for x, c, r in zip(left["sketch"], left["component"], left["rep"], strict=True):
-                other = np.flatnonzero((comp != c) & ((reps > r) | (i != j)))
-                if len(other):
-                    odd = np.bitwise_count(y[other] ^ x).sum(1)
-                    found.extend((min(r, q), max(r, q)) for q in reps[other[odd <= most]].tolist())
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        bucket, i, j, own, rep, component = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "rep", "component"))
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1)
+        found = [(rep[x], rep[y], odd, np.minimum(component[x], component[y]), np.maximum(component[x], component[y])) for x, y, odd in block_pairs(bucket, own, i, j, rep, component, sketch, most)]
+        columns = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else [()] * 5)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "odd", "x", "y"])
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            if held:  # rows of the last group may go on
+                key = [batch.column(c) for c in ("bucket", "i", "j")]
+                last = [held[-1].column(c)[len(held[-1]) - 1].as_py() for c in ("bucket", "i", "j")]
+                same = np.logical_and.reduce([k.to_numpy() == v for k, v in zip(key, last, strict=True)])
+                n = len(batch) if same.all() else int(np.argmin(same))
+                held.append(batch.slice(0, n))
+                if n == len(batch):
+                    continue
+                yield pairs(pa.Table.from_batches(held))
+                batch = batch.slice(n)
+            held = [batch]
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long, odd long, x long, y long")
+
+
+def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """The component of each representative."""
+    own = components(links).withColumnRenamed("node", "rep")
+    return cut(reps.select("rep").join(own.hint("merge"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "labels")
+
+
+def _mixed(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components."""
+    members = shared.select("bucket", "rep", "members").join(known.hint("merge"), "rep")
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+    return cut(members.join(mixed.hint("merge"), "bucket", "left_semi"), "mixed")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -207,27 +260,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = buckets.groupBy("bucket").agg(F.min("rep").alias("center"), F.count("*").alias("members")).filter("members > 1")
     shared = cut(buckets.join(least.hint("merge"), "bucket"), "buckets")
     sketches = reps.select("rep", "sketch")
-    stars = shared.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    # Each representative is compared with the center it shares most buckets with; step 4 sees to the others.
+    often = shared.filter("rep <> center").groupBy("rep", "center").agg(F.count("*").alias("n"))
+    stars = cut(often.groupBy("rep").agg(F.max(F.struct("n", (-F.col("center")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), F.col("rep").alias("b")), "stars")
     same = full.groupBy("doc_id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).filter("x <> y").select("doc_id")  # ids with several texts
     several = full.join(same, "doc_id", "left_semi").select("doc_id", "set_a", "set_b").join(reps.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = cut(confirmed(near(stars, sketches), docs).union(several), "confirmed")
-    groups = cut(components(links), "components")
-
-    def labelled(groups: DataFrame) -> DataFrame:
-        own = groups.withColumnRenamed("node", "rep")
-        return reps.select("rep").join(own.hint("merge"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-
-    known = cut(labelled(groups), "labels")
-    members = shared.select("bucket", "rep", "members").join(known.hint("merge"), "rep")
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    left = cut(members.join(mixed.hint("merge"), "bucket", "left_semi"), "mixed")
-    if not left.isEmpty():
-        # A place in the bucket for blocks: hashing spreads members evenly, so blocks hold about BLOCK of them.
+    links = cut(confirmed(cut(near(stars, sketches), "near"), docs).union(several), "confirmed")
+    known = _labels(reps, links)
+    tested = stars
+    # First the nearest pair of each two components, as it may join them; then all that is still apart.
+    for nearest in (True, False):
+        left = _mixed(shared, known)
+        if left.isEmpty():
+            break
+        # A place in the bucket for blocks: hashing spreads members evenly.
         place = F.pmod(F.xxhash64("rep", "bucket"), F.col("members"))
         more = across(left.withColumn("place", place).join(sketches.hint("merge"), "rep"))
-        found = cut(confirmed(cut(more.join(stars, ["a", "b"], "left_anti"), "across"), docs), "confirmed")
+        if nearest:
+            more = more.groupBy("x", "y").agg(F.min(F.struct("odd", "a", "b")).alias("best")).select("best.a", "best.b")
+        else:
+            more = more.groupBy("a", "b").agg(F.min("odd").alias("odd")).select("a", "b")
+        more = cut(more.join(tested, ["a", "b"], "left_anti"), "across")
+        found = cut(confirmed(more, docs), "confirmed")
+        tested = tested.union(more)
         if not found.isEmpty():
-            known = cut(labelled(components(links.union(found))), "labels")
+            links = links.union(found)
+            known = _labels(reps, links)
     by_class = reps.select("set_a", "set_b", "rep").join(known.hint("merge"), "rep").select("set_a", "set_b", "component")
     joined = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(by_class.hint("merge"), ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
