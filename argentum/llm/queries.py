@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.llm import audio, byte_bpe, fm_dedup, neardup, packing, repair, suffix_dedup, syncmers, toxicity
+from argentum.llm import audio, byte_bpe, fm_dedup, lbl, neardup, packing, repair, suffix_dedup, syncmers, toxicity
 from argentum.llm.session import documents
 
 
@@ -21,6 +21,11 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_ids(spark, path)
 
 
+def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a log-bilinear model learned from nine tenths of them."""
+    return lbl.score_documents(documents(spark, sf_dir))
+
+
 def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents without those in 13-word windows of an earlier document."""
     return fm_dedup.fm_dedup(documents(spark, sf_dir), window=13, digest=True)
@@ -56,7 +61,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.with_edited(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_ids, op4_fm_index, op5_byte_bpe, op6_best_fit, op7_near_duplicates, op8_audio_features, op9_toxicity, op10_syncmers)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_ids, op3_log_bilinear, op4_fm_index, op5_byte_bpe, op6_best_fit, op7_near_duplicates, op8_audio_features, op9_toxicity, op10_syncmers)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
