@@ -33,7 +33,7 @@ ALONE, OPEN, COVERED = 0, 1, 2
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = np.uint64((1 << 24) - 1)
 #: Values handled at once, which bounds a worker's arrays.
-STEP = 1 << 21
+STEP = 1 << 19
 
 
 @dataclass

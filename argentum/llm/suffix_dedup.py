@@ -283,22 +283,20 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = Fal
         table = ordered(table)
         r = gather(read(table), buckets)
         data, bounds = buffers(table.column("text"))
-        total = np.zeros(len(table), np.int64)
-        spans = np.zeros(len(table), np.int64)
         mask = np.zeros(len(data), bool)
         for s, gone in removed(r, status_of(r, received), received, length):
             a = bounds[s.first]
             mask[a : a + len(gone)] = gone
-        sums = np.concatenate([[0], np.cumsum(mask)])
+        sums = np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
         total = sums[bounds[1:]] - sums[bounds[:-1]]
         begin = mask.copy()
         begin[1:] &= ~mask[:-1]
         edges = bounds[:-1][np.diff(bounds) > 0]
         begin[edges] = mask[edges]
-        sums = np.concatenate([[0], np.cumsum(begin)])
+        sums[1:] = np.cumsum(begin, dtype=np.int32)
         spans = sums[bounds[1:]] - sums[bounds[:-1]]
         left = [data[a:b][~mask[a:b]].tobytes() if x else data[a:b].tobytes() for a, b, x in zip(bounds[:-1].tolist(), bounds[1:].tolist(), total.tolist(), strict=True)]
-        made = {"n_removed": pa.array(total), "n_spans": pa.array(spans)}
+        made = {"n_removed": pa.array(total, pa.int64()), "n_spans": pa.array(spans, pa.int64())}
         if digest:
             made |= {"doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff(bounds)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())}
         else:
