@@ -227,14 +227,17 @@ def gone(r: Runs, status: np.ndarray, rank: np.ndarray, received: pa.Table, wind
     return np.cumsum(change[:-1]) > 0
 
 
-def joined(w: Words, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Kept words, each with a blank behind it, and the n+1 offsets of documents in those bytes."""
-    start, size = w.start[keep], (w.end - w.start)[keep] + 1
+def joined(w: Words, keep: np.ndarray, first: int, last: int) -> list[bytes]:
+    """Texts of documents first..last-1: their kept words, joined by one blank."""
+    words = slice(w.of[first], w.of[last])
+    own = keep[words]
+    start, size = w.start[words][own], (w.end[words] - w.start[words])[own] + 1
     ends = np.concatenate([[0], np.cumsum(size)])
     at = np.repeat(start - ends[:-1], size) + np.arange(ends[-1])
-    out = np.append(w.data, np.uint8(32))[np.minimum(at, len(w.data))]
+    out = np.append(w.data, np.uint8(32))[at] if len(at) and at[-1] >= len(w.data) else w.data[at]
     out[ends[1:] - 1] = 32
-    return out.tobytes(), ends[np.concatenate([[0], np.cumsum(keep)])[w.of]]
+    raw, of = out.tobytes(), ends[np.concatenate([[0], np.cumsum(own)])[w.of[first : last + 1] - w.of[first]]].tolist()
+    return [raw[a : b - 1] if b > a else b"" for a, b in zip(of[:-1], of[1:], strict=True)]
 
 
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -293,8 +296,7 @@ def fm_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> Dat
         r, rank, w = gather(slices, buckets), document_ranks(table), Words(table.column("text"))
         mask = gone(r, spread(r, rank, sent_status(r, received)), rank, received, window, len(w), [int(w.of[s.first]) for s in slices])
         sums = np.concatenate([[0], np.cumsum(mask)])
-        raw, of = joined(w, ~mask)
-        left = [raw[a : b - 1] if b > a else b"" for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)]
+        left = [x for a, b in cuts(np.diff(w.of), 1 << 17) for x in joined(w, ~mask, a, b)]
         made = {"n_words": pa.array(np.diff(w.of)), "n_removed": pa.array(sums[w.of[1:]] - sums[w.of[:-1]])}
         if digest:
             made |= {"doc_id": table.column("doc_id"), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())}
