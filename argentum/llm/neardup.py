@@ -5,9 +5,10 @@
 2. Documents with equal sets form classes by that hash; the least doc_id stands for the class.
 3. In each bucket of a band the least representative is compared with all others: XOR and popcount
    of odd sketches estimate the similarity, and pairs that come near are confirmed on full sets.
-4. Links give components. Buckets that still hold several components are compared again across
-   components, by sketches in blocks, and what comes near is confirmed as well: so no pair of a
-   bucket is left out, and pairs inside a component are never listed.
+4. Links give components. In buckets that still hold several components, sketches find the documents
+   that come near to another component; the full sets of these are compared in their groups, and each
+   group gives out only links that join components. So no pair of a bucket is left out, and pairs are
+   never listed.
 
 A pair at similarity 0.75 shares a bucket with probability above 1 - 6e-6 (32 bands of 4 rows).
 
@@ -35,7 +36,7 @@ BITS = 1024
 #: Pairs whose estimate is below go no further: five standard deviations of the estimate under SIMILAR.
 NEAR = 0.55
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 4096
+BLOCK = 2048
 #: Pairs whose sketches are compared at once.
 PAIRS = 1 << 17
 
@@ -133,35 +134,36 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; only texts of documents in pairs are read into sets."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+def sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """Full shingle sets (doc_id, set: sorted 64-bit hashes) of the documents in `wanted` (doc_id)."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 512):
                 some = batch.slice(a, 512)
                 keys, of = shingle_sets(some.column(1))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([keys[x:y].tobytes() for x, y in zip(of[:-1], of[1:], strict=True)], pa.binary())], ["doc_id", "keys"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([keys[x:y].tobytes() for x, y in zip(of[:-1], of[1:], strict=True)], pa.binary())], ["doc_id", "set"])
+
+    return cut(texts.mapInArrow(run, "doc_id long, set binary"), "sets")
 
-    held = cut(texts.mapInArrow(sets, "doc_id long, keys binary"), "sets")
+
+def confirmed(pairs: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; only texts of documents in pairs are read into sets."""
+    held = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))), docs)
     percent = round(100 * similar)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok, last, left = [], None, None
+            ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                if last is None or x != last:
-                    last, left = x, np.frombuffer(x.as_buffer(), np.uint64)
-                right = np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([left, right])
+                both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left, right = held.select(F.col("doc_id").alias("a"), F.col("keys").alias("x")), held.select(F.col("doc_id").alias("b"), F.col("keys").alias("y"))
+    left, right = held.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), held.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
@@ -173,68 +175,143 @@ def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(bits <= least_odd()).select("a", "b")
 
 
-def block_pairs(bucket: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray, rep: np.ndarray, component: np.ndarray, sketch: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows sorted by (bucket, i, j): pairs (rows, rows, differing bits) of one group that differ in component and come near."""
-    new = np.ones(len(bucket), bool)
-    new[1:] = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-    first = np.flatnonzero(new)
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that don't cut a group of equal keys in two."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held:  # rows of the last group may go on
+            last = held[-1].slice(len(held[-1]) - 1)
+            same = np.logical_and.reduce([batch.column(c).to_numpy() == last.column(c)[0].as_py() for c in keys])
+            n = len(batch) if same.all() else int(np.argmin(same))
+            if n:
+                held.append(batch.slice(0, n))
+            if n == len(batch):
+                continue
+            yield pa.Table.from_batches(held)
+            batch = batch.slice(n)
+        held = [batch]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_starts(*columns: np.ndarray) -> np.ndarray:
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def flagged(bucket: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray, component: np.ndarray, keys: np.ndarray, sketch: np.ndarray, most: int) -> np.ndarray:
+    """Rows sorted by (bucket, i, j): which have a partner of another component in their group that comes near.
+
+    A pair counts in the first bucket that it shares only.
+    """
+    first = group_starts(bucket, i, j)
     size = np.diff(np.append(first, len(bucket)))
     partners = np.repeat(size, size)  # each row meets its whole group, rows by rows
     begin = np.repeat(first, size)
     ends = np.cumsum(partners)
+    out = np.zeros(len(bucket), bool)
     a, total = 0, 0
     while a < len(bucket):
         b = max(a + 1, int(np.searchsorted(ends, total + PAIRS, "right")))
         n = partners[a:b]
         x = np.repeat(np.arange(a, b), n)
         y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[a:b], n)
-        ok = (component[x] != component[y]) & (rep[x] < rep[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+        ok = (component[x] != component[y]) & (x < y) & ((i[x] == j[x]) | (own[x] != own[y]))
+        x, y = x[ok], y[ok]
+        ok = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= most
         x, y = x[ok], y[ok]
-        odd = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
-        ok = odd <= most
-        yield x[ok], y[ok], odd[ok]
+        equal = keys[x] == keys[y]
+        ok = keys[x, equal.argmax(1)] == bucket[x]
+        out[x[ok]] = True
+        out[y[ok]] = True
         a, total = b, int(ends[b - 1])
+    return out
 
 
-def across(open_: DataFrame) -> DataFrame:
-    """Pairs (a, b, odd, x, y) of different components x, y in one bucket whose sketches come near.
-
-    open_: bucket, rep, component, sketch, place, members. A bucket of more than BLOCK members becomes
-    pairs of blocks, each a group of its own, so that no task gathers a bucket.
-    """
+def dealt_blocks(members: DataFrame) -> DataFrame:
+    """Members of buckets to groups (bucket, i, j): a bucket of more than BLOCK members becomes pairs of blocks, so that no task gathers it."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.floor(F.col("place") / BLOCK).cast("int")
-    dealt = open_.select("bucket", "rep", "component", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "sketch")
+    own = F.floor(F.pmod(F.xxhash64("rep", "bucket"), F.col("members")) / BLOCK).cast("int")  # hashing fills blocks evenly
+    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "members")
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """(bucket, i, j, own, rep, component) of those that come near to another component in their group. members: bucket, rep, component, members, keys, sketch."""
     most = least_odd()
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        bucket, i, j, own, rep, component = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "rep", "component"))
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1)
-        found = [(rep[x], rep[y], odd, np.minimum(component[x], component[y]), np.maximum(component[x], component[y])) for x, y, odd in block_pairs(bucket, own, i, j, rep, component, sketch, most)]
-        columns = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else [()] * 5)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "odd", "x", "y"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ("bucket", "i", "j")):
+            bucket, i, j, own, component = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "component"))
+            wide = [table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(bucket), -1) for c in ("keys", "sketch")]
+            hit = flagged(bucket, own, i, j, component, *wide, most)
+            yield from table.select(["bucket", "i", "j", "own", "rep", "component"]).filter(pa.array(hit)).to_batches()
+
+    rows = dealt_blocks(members).select("bucket", "i", "j", "own", "rep", "component", "keys", "sketch")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "bucket long, i int, j int, own int, rep long, component long")
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: products of 0/1 matrices over elements that several sets have."""
+    m = len(sets)
+    size = [len(s) for s in sets]
+    row = np.repeat(np.arange(m), size)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times[column] > 1
+    row, column = row[several], (np.cumsum(times > 1) - 1)[column[several]]
+    out = np.zeros((m, m), np.float64)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = max(64, (4 << 20) // m)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        x, y = np.searchsorted(column, (a, a + width))
+        part = np.zeros((m, width), np.float32)
+        part[row[x:y], column[x:y] - a] = 1
+        out += part @ part.T
+    return out
+
+
+def joining(reps: np.ndarray, component: np.ndarray, own: np.ndarray, across: bool, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of one group that join its components: a spanning forest, so that they are fewer than the members."""
+    size = np.array([len(s) for s in sets])
+    both = common(sets)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    linked &= component[:, None] != component[None, :]
+    if across:
+        linked &= own[:, None] != own[None, :]
+    head: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while head.setdefault(x, x) != x:
+            x = head[x]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        p, q = find(int(component[x])), find(int(component[y]))
+        if p != q:
+            head[p] = q
+            out.append((int(min(reps[x], reps[y])), int(max(reps[x], reps[y]))))
+    return out
+
+
+def across(flags: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) between components among flagged members of each group, on full sets."""
+    percent = round(100 * similar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            if held:  # rows of the last group may go on
-                key = [batch.column(c) for c in ("bucket", "i", "j")]
-                last = [held[-1].column(c)[len(held[-1]) - 1].as_py() for c in ("bucket", "i", "j")]
-                same = np.logical_and.reduce([k.to_numpy() == v for k, v in zip(key, last, strict=True)])
-                n = len(batch) if same.all() else int(np.argmin(same))
-                held.append(batch.slice(0, n))
-                if n == len(batch):
-                    continue
-                yield pairs(pa.Table.from_batches(held))
-                batch = batch.slice(n)
-            held = [batch]
-        if held:
-            yield pairs(pa.Table.from_batches(held))
+        for table in whole_groups(batches, ("bucket", "i", "j")):
+            bucket, i, j, own, rep, component = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "rep", "component"))
+            held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+            first = group_starts(bucket, i, j).tolist()
+            found = [link for a, b in zip(first, [*first[1:], len(bucket)], strict=True) for link in joining(rep[a:b], component[a:b], own[a:b], i[a] != j[a], held[a:b], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long, odd long, x long, y long")
+    rows = flags.join(sets.withColumnRenamed("doc_id", "rep").hint("merge"), "rep").select("bucket", "i", "j", "own", "rep", "component", "set")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
@@ -260,32 +337,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = buckets.groupBy("bucket").agg(F.min("rep").alias("center"), F.count("*").alias("members")).filter("members > 1")
     shared = cut(buckets.join(least.hint("merge"), "bucket"), "buckets")
     sketches = reps.select("rep", "sketch")
-    # Each representative is compared with the center it shares most buckets with; step 4 sees to the others.
+    # Each representative is first compared with the center it shares most buckets with; step 4 sees to the others.
     often = shared.filter("rep <> center").groupBy("rep", "center").agg(F.count("*").alias("n"))
     stars = cut(often.groupBy("rep").agg(F.max(F.struct("n", (-F.col("center")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), F.col("rep").alias("b")), "stars")
     same = full.groupBy("doc_id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).filter("x <> y").select("doc_id")  # ids with several texts
     several = full.join(same, "doc_id", "left_semi").select("doc_id", "set_a", "set_b").join(reps.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = cut(confirmed(cut(near(stars, sketches), "near"), docs).union(several), "confirmed")
     known = _labels(reps, links)
-    tested = stars
-    # First the nearest pair of each two components, as it may join them; then all that is still apart.
-    for nearest in (True, False):
-        left = _mixed(shared, known)
-        if left.isEmpty():
-            break
-        # A place in the bucket for blocks: hashing spreads members evenly.
-        place = F.pmod(F.xxhash64("rep", "bucket"), F.col("members"))
-        more = across(left.withColumn("place", place).join(sketches.hint("merge"), "rep"))
-        if nearest:
-            more = more.groupBy("x", "y").agg(F.min(F.struct("odd", "a", "b")).alias("best")).select("best.a", "best.b")
-        else:
-            more = more.groupBy("a", "b").agg(F.min("odd").alias("odd")).select("a", "b")
-        more = cut(more.join(tested, ["a", "b"], "left_anti"), "across")
-        found = cut(confirmed(more, docs), "confirmed")
-        tested = tested.union(more)
+    left = _mixed(shared, known)
+    if not left.isEmpty():
+        flags = cut(candidates(left.join(reps.select("rep", "keys", "sketch").hint("merge"), "rep")), "flags")
+        found = cut(across(flags, sets_of(flags.select(F.col("rep").alias("doc_id")), docs)), "across")
         if not found.isEmpty():
-            links = links.union(found)
-            known = _labels(reps, links)
+            known = _labels(reps, links.union(found))
     by_class = reps.select("set_a", "set_b", "rep").join(known.hint("merge"), "rep").select("set_a", "set_b", "component")
     joined = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(by_class.hint("merge"), ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
