@@ -81,7 +81,13 @@ class Pieces:
         words.end = np.sort(np.concatenate([words.end, body[cuts]]))
         words.of = np.searchsorted(words.start, words.bounds)
         cache, raw = self.cache, words.data.tobytes()
-        _, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        h = words.hashes()
+        order = np.argsort(h)
+        h = h[order]
+        new_ = np.ones(len(h), bool)
+        new_[1:] = h[1:] != h[:-1]
+        first, inverse = order[new_], np.empty(len(h), np.int64)
+        inverse[order] = np.cumsum(new_) - 1
         distinct = [raw[a:b].decode() for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
         new = [p for p in distinct if p not in cache]
         if len(cache) + len(new) > CACHE:
