@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from argentum.llm.words import Words, mix
 
-BITS = 22
+BITS = 21
 #: Most labelled documents that the classifier is fitted on.
-SAMPLE = 12_000
+SAMPLE = 8000
 #: Documents of the sample that a feature must occur in; rarer ones identify single documents.
 SUPPORT = 3
 #: What a document of label 1 counts for against one of label 0.
@@ -95,7 +95,8 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 1.0
     often = np.zeros(size, np.int32)
     for slots, _ in rows:
         often[slots] += 1
-    rows = [(slots[often[slots] >= support], y) for slots, y in rows]
+    for k, (slots, y) in enumerate(rows):
+        rows[k] = (slots[often[slots] >= support], y)
     for _ in range(passes):
         for slots, y in rows:
             at = np.append(slots, size)
@@ -105,9 +106,8 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 1.0
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - sigma * w
             n[at] += g * g
-    w = weights(np.arange(size + 1))
-    kept = np.flatnonzero(w[:-1])
-    return Model(kept, w[kept].astype(np.float32), float(w[-1]), bits)
+    kept = np.flatnonzero(np.abs(z[:-1]) > l1)
+    return Model(kept, weights(kept).astype(np.float32), float(weights(np.array([size]))[0]), bits)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5):
@@ -133,9 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, folds: int = 5
                 rows = [slots[x:y].astype("<i4").tobytes() for x, y in zip(of[:-1], of[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array(rows, pa.binary()), some.column(2)], ["doc_id", "slots", "label"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, slots binary, label int").toPandas()
-    rows = rows.assign(order=[hash_order(i) for i in rows.doc_id]).sort_values(["order", "doc_id", "slots"])
-    return fit([(np.frombuffer(s, "<i4").astype(np.int64), int(y > 0)) for s, y in zip(rows.slots, rows.label, strict=True)], bits)
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, slots binary, label int").toArrow()  # bounded
+    rows = sorted(((hash_order(i), i, s, int(y > 0)) for i, s, y in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True)))
+    del found
+    return fit([(np.frombuffer(s, "<i4"), y) for _, _, s, y in rows], bits)
 
 
 def hash_order(i: int) -> int:
