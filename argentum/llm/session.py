@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one task of a grouped step should hold.
 PART_BYTES = 24 << 20
+#: Rows of a batch that goes to a Python worker.
+BATCH_ROWS = 1000
+#: Settings of the C library's allocator in Python workers.
+MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_ARENA_MAX": "2"}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -19,6 +23,12 @@ def ship(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    # Workers give the memory of large arrays back at once instead of keeping it for later.
+    for key, value in MALLOC.items():
+        env.setdefault(key, value)
+    # Texts may be long: the default of 10,000 rows a batch would not bound what a worker holds.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 

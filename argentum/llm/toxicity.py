@@ -110,6 +110,26 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 1.0
     return Model(kept, weights(kept).astype(np.float32), float(weights(np.array([size]))[0]), bits)
 
 
+def calibrated(rows: list[tuple[np.ndarray, int]], bits: int = BITS, share: int = 5) -> Model:
+    """Fits on all but every fifth row; slope and intercept of the log odds are then fitted on these (Platt), held near 1 and 0."""
+    learn, check = [r for i, r in enumerate(rows) if i % share], [r for i, r in enumerate(rows) if not i % share]
+    y = np.array([label for _, label in check], float)
+    if not learn or y.sum() in (0, len(y)) or len({label for _, label in learn}) < 2:
+        return fit(rows, bits)
+    model = fit(learn, bits)
+    dense = model.dense()
+    z = np.array([model.bias + dense[slots].sum() for slots, _ in check])
+    slope, shift = 1.0, 0.0
+    for _ in range(50):  # Newton's method on two numbers
+        p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -35, 35)))
+        w = np.maximum(p * (1 - p), 1e-9)
+        g = np.array([((p - y) * z).sum() + (slope - 1), (p - y).sum() + 0.1 * shift])
+        h = np.array([[(w * z * z).sum() + 1, (w * z).sum()], [(w * z).sum(), w.sum() + 0.1]])
+        step = np.linalg.solve(h, g)
+        slope, shift = max(0.2, slope - float(np.clip(step[0], -0.5, 0.5))), shift - float(np.clip(step[1], -0.5, 0.5))
+    return Model(model.slots, (model.values * slope).astype(np.float32), model.bias * slope + shift, bits)
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 5):
     """Rows that are never learned from: crc32 of doc_id as text is divisible by `folds`."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
@@ -127,8 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, folds: int = 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 512):
-                some = batch.slice(a, 512)
+            for a in range(0, len(batch), 256):
+                some = batch.slice(a, 256)
                 slots, of = features(stripped(some.column(1)), bits)
                 rows = [slots[x:y].astype("<i4").tobytes() for x, y in zip(of[:-1], of[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array(rows, pa.binary()), some.column(2)], ["doc_id", "slots", "label"])
@@ -136,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, folds: int = 5
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, slots binary, label int").toArrow()  # bounded
     rows = sorted(((hash_order(i), i, s, int(y > 0)) for i, s, y in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True)))
     del found
-    return fit([(np.frombuffer(s, "<i4"), y) for _, _, s, y in rows], bits)
+    return calibrated([(np.frombuffer(s, "<i4"), y) for _, _, s, y in rows], bits)
 
 
 def hash_order(i: int) -> int:
@@ -156,8 +176,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), co
         m = broadcast.value
         dense = m.dense()
         for batch in batches:
-            for a in range(0, len(batch), 1024):
-                some = batch.slice(a, 1024)
+            for a in range(0, len(batch), 256):
+                some = batch.slice(a, 256)
                 yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], pa.array(m.score(some.column(text), dense))], [*keep, column])
 
     return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from argentum.llm.words import Words
 
-CACHE = 600_000
+CACHE = 400_000
 LONG = 64
 _MARK = np.isin(np.arange(256), [44, 46])
 _ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
