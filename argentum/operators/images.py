@@ -115,12 +115,12 @@ def openness(gray: np.ndarray, cx: float, cy: float, radius: float) -> float | N
     return float(np.clip(np.abs(g[y0 - 1 : y1 - 1, x0:x1] - g[y0 + 1 : y1 + 1, x0:x1]).mean() / 64, 0, 1))
 
 
-MEASURES = "id long, width int, height int, sharpness double, exposure double, contrast double, highlight_clipping double, shadow_clipping double, mean_saturation double, flat_fraction double, perceptual_hash string, phash long, phash_contrast double, red double, green double, blue double, error string"
+MEASURES = "width int, height int, sharpness double, exposure double, contrast double, highlight_clipping double, shadow_clipping double, mean_saturation double, flat_fraction double, perceptual_hash string, phash long, phash_contrast double, red double, green double, blue double, error string"
 
 
 def measure(pictures: DataFrame, edge: int = 512) -> DataFrame:
     """One row of measures for each picture: id, width, height, orientation, pixels (bytes). A map: no shuffle."""
-    names = [c.split()[0] for c in MEASURES.split(", ")]
+    names = ["id", *(c.split()[0] for c in MEASURES.split(", "))]
 
     def one(key, width, height, orientation, pixels) -> dict:
         row: dict = dict.fromkeys(names)
@@ -145,4 +145,4 @@ def measure(pictures: DataFrame, edge: int = 512) -> DataFrame:
             rows = [one(*r) for r in f.itertuples(index=False, name=None)]
             yield pd.DataFrame(rows, columns=names).astype({"phash": "Int64", "width": "Int32", "height": "Int32"})
 
-    return pictures.select("id", "width", "height", "orientation", "pixels").mapInPandas(run, MEASURES)
+    return pictures.select("id", "width", "height", "orientation", "pixels").mapInPandas(run, f"id {pictures.schema['id'].dataType.simpleString()}, {MEASURES}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import struct
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
                     s = os.stat(path)
                 except OSError:
                     continue
-                yield path, s.st_size, pd.Timestamp(s.st_mtime, unit="s").to_pydatetime()
+                yield path, s.st_size, dt.datetime.fromtimestamp(s.st_mtime)
 
     found = list(rows())
     listed = spark.createDataFrame(found, LISTING)
