@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from argentum.llm.session import parts_for
 from argentum.llm.words import _BASE, _MASK, inside, mix, powers
+from argentum.operators.ordered import bounds, position
 
 PART = "_argentum_part"
 ALONE, OPEN, COVERED = 0, 1, 2
@@ -170,13 +171,11 @@ def messages(rows: list[tuple]) -> pa.Table:
 
 def dealt(docs: DataFrame, each: int = 12 << 20) -> tuple[DataFrame, int]:
     """docs with a part number that grows with doc_id (null first), dealt by it, and the number of parts."""
-    from argentum.llm.syncmers import _bounds, _position
-
     n = parts_for(docs, each=each)
     keyed = docs.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("key"))
-    bounds = _bounds(keyed, n)
-    part: Column = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_position(F.col("doc_id"), bounds)).cast("int")
-    return docs.withColumn(PART, part).repartition(max(1, len(bounds) + 1), PART), max(1, len(bounds) + 1)
+    found = bounds(keyed.filter("known"), "key", n)
+    part: Column = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(position(F.col("doc_id"), found)).cast("int")
+    return docs.withColumn(PART, part).repartition(max(1, len(found) + 1), PART), max(1, len(found) + 1)
 
 
 def ordered(table: pa.Table) -> pa.Table:

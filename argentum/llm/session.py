@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from argentum.plans.shared import cut, shared_dir
+
+__all__ = ["cut", "documents", "parts_for", "plan_bytes", "shared_dir", "ship"]
+
 #: Bytes of text that one task of a grouped step should hold.
-PART_BYTES = 24 << 20
+PART_BYTES = 32 << 20
 #: Rows of a batch that goes to a Python worker.
 BATCH_ROWS = 1000
 #: Settings of the C library's allocator in Python workers.
@@ -32,30 +34,12 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="argentum-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a table in the shared folder and read it again: a later failure restarts from there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/argentum/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def plan_bytes(df: DataFrame, column: str = "text") -> int:
     """About how many bytes of text a DataFrame holds: from file sizes where known, else counted."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     if size < 1 << 50:
-        return 2 * size
+        return 2 * size  # text is most of a table, and files hold it compressed
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argentum.llm.session import parts_for
+from argentum.operators.ordered import bounds, position
 
 K, S, SIZE = 5, 3, 128
 #: Hexadecimal digits of a hash in a fingerprint.
@@ -98,15 +99,15 @@ def with_edited(docs: DataFrame) -> DataFrame:
     a range) serves the last row of the range before.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("known", F.col("doc_id").isNotNull()).withColumn("key", F.coalesce("doc_id", F.lit(0)))
-    bounds = _bounds(rows, parts_for(rows, each=6 << 20))
-    spot = F.when(~F.col("known"), F.lit(-1)).otherwise(_position(F.col("key"), bounds)).cast("int")
+    cuts = bounds(rows.filter("known"), "key", parts_for(rows, each=6 << 20))
+    spot = F.when(~F.col("known"), F.lit(-1)).otherwise(position(F.col("key"), cuts)).cast("int")
     # The first row of each range: keys first, from the narrow column, then the texts of those rows alone.
     keys = rows.groupBy(spot.alias("range")).agg(F.min(F.struct("known", "key")).alias("first"))
     follows = F.coalesce(F.lead("first").over(Window.orderBy("range")), F.min("first").over(Window.partitionBy(F.lit(1))))
     heads = keys.select("range", follows.alias("first")).select("range", "first.known", "first.key")
-    heads = rows.select("known", "key", "text").join(F.broadcast(heads) if len(bounds) < MANY else heads, ["known", "key"]).groupBy("range").agg(F.min("text").alias("head"))
+    heads = rows.select("known", "key", "text").join(F.broadcast(heads) if len(cuts) < MANY else heads, ["known", "key"]).groupBy("range").agg(F.min("text").alias("head"))
     order = Window.partitionBy("range").orderBy("known", "key", "text")
-    dealt = rows.withColumn("range", spot).repartition(max(1, len(bounds) + 1), "range")
+    dealt = rows.withColumn("range", spot).repartition(max(1, len(cuts) + 1), "range")
     ahead = dealt.join(heads, "range", "left").withColumn("after", F.coalesce(F.lead("text").over(order), "head"))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
@@ -116,24 +117,3 @@ def with_edited(docs: DataFrame) -> DataFrame:
     chosen = ahead.select("doc_id", "known", "key", "text", "range", n.cast("long").alias("n_chars"), sketch(F.col("text")).alias("own"), edited.alias("edited"), F.when(last, F.col("after")).alias("beyond"))
     made = chosen.select("doc_id", "n_chars", "own", F.coalesce(F.lead("own").over(order), sketch(F.col("beyond"))).alias("next"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("edited")).alias("changed"))
     return made.select("doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
-
-
-def _bounds(rows: DataFrame, parts: int) -> list[int]:
-    """Keys that cut the rows into about equal ranges: as many as there are parts, less one."""
-    if parts < 2:
-        return []
-    shares = [i / parts for i in range(1, parts)]
-    found = rows.filter("known").select("key").agg(F.percentile_approx("key", shares, 10_000).alias("q")).first()["q"]
-    return sorted(set(found or []))
-
-
-def _position(key: Column, bounds: list[int]) -> Column:
-    """How many bounds are at most `key`: a balanced tree of comparisons."""
-
-    def tree(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(key < bounds[m], tree(a, m)).otherwise(tree(m + 1, b))
-
-    return tree(0, len(bounds))
