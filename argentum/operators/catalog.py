@@ -65,8 +65,16 @@ def dashboard(photos: DataFrame, bin_entries: DataFrame, protected: DataFrame, r
     removals = here.join(recommendations.filter("decision = 'REMOVE'").select(F.col("photo_id").alias("id")), "id").join(protected.select(F.col("photo_id").alias("id")), "id", "left_anti")
     gone = removals.agg(F.count("*").alias("recommended_removals"), F.coalesce(F.sum("file_size"), F.lit(0)).cast("long").alias("recommended_removals_bytes"))
     reviews = recommendations.filter("decision = 'REVIEW'").agg(F.count("*").alias("needs_review"))
-    # One row each, so these joins hold one row.
-    return totals.crossJoin(gone).crossJoin(reviews)
+    # One row each; put under one another, the largest value of a column is the only one.
+    return in_one_row(totals, gone, reviews)
+
+
+def in_one_row(*tables: DataFrame) -> DataFrame:
+    """Tables of one row with different columns side by side."""
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = whole.unionByName(t, allowMissingColumns=True)
+    return whole.agg(*[F.max(c).alias(c) for c in whole.columns])
 
 
 def bin_list(photos: DataFrame, bin_entries: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argentum.functions.scalar import EXPRESSION_TRUST, known_state
+from argentum.operators.catalog import in_one_row
 
 
 def metrics(faces: DataFrame, by: str = "photo_id") -> DataFrame:
@@ -69,7 +70,7 @@ def totals(faces: DataFrame, analysed: DataFrame, photos: DataFrame, version: st
     """One row: photos that this version has checked, and faces found in them."""
     now = analysed.filter(F.col("analyzer_version") == version).select("photo_id").distinct().join(photos.select(F.col("id").alias("photo_id")), "photo_id", "left_semi")
     checked = now.agg(F.count("*").alias("photos_checked"))
-    return checked.crossJoin(faces.join(now, "photo_id", "left_semi").agg(F.count("*").alias("faces_detected")))  # one row each
+    return in_one_row(checked, faces.join(now, "photo_id", "left_semi").agg(F.count("*").alias("faces_detected")))
 
 
 def suppressed(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
