@@ -390,3 +390,24 @@ def test_moment_stream(spark, tmp_path):
     q = moment_stream(stream).writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r["first_id"], r["last_id"], r["photo_count"]) for r in spark.table("closed").collect()) == [(0, 2, 3), (3, 4, 2), (5, 6, 2)]
+
+
+def test_components(spark):
+    from argentum.operators.components import components
+
+    rng = np.random.default_rng(4)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 130)] + [tuple(map(int, rng.integers(200, 400, 2))) for _ in range(150)] + [(7, 7), (None, 3)]
+    head = {}
+
+    def find(x):
+        while head.setdefault(x, x) != x:
+            x = head[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            p, q = find(a), find(b)
+            head[max(p, q)] = min(p, q)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: find(k) for k in head}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
