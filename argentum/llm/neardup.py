@@ -282,19 +282,16 @@ def joining(reps: np.ndarray, component: np.ndarray, own: np.ndarray, across: bo
     linked &= component[:, None] != component[None, :]
     if across:
         linked &= own[:, None] != own[None, :]
-    head: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while head.setdefault(x, x) != x:
-            x = head[x]
-        return x
-
-    out = []
-    for x, y in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        p, q = find(int(component[x])), find(int(component[y]))
-        if p != q:
-            head[p] = q
-            out.append((int(min(reps[x], reps[y])), int(max(reps[x], reps[y]))))
+    out, seen = [], np.zeros(len(sets), bool)
+    for start in range(len(sets)):
+        stack = [] if seen[start] else [start]
+        seen[start] = True
+        while stack:
+            x = stack.pop()
+            new = np.flatnonzero(linked[x] & ~seen)
+            seen[new] = True
+            stack.extend(new.tolist())
+            out += [(int(min(reps[x], reps[y])), int(max(reps[x], reps[y]))) for y in new.tolist()]
     return out
 
 
