@@ -39,11 +39,11 @@ def _large(e: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the least of the node and its neighbours."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return _turned(both.filter("b > a").join(least.hint("merge"), "a").select(F.col("m").alias("a"), "b"))
+    return _turned(both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b"))
 
 
 def _small(e: DataFrame) -> DataFrame:
     """Each node's smaller neighbours, and the node, are linked to the least of them."""
     least = e.groupBy("b").agg(F.min("a").alias("m"))
-    joined = e.join(least.hint("merge"), "b")
+    joined = e.join(least, "b")
     return _ordered(joined.select(F.col("m").alias("a"), F.col("a").alias("b")).union(joined.select(F.col("m").alias("a"), "b")))

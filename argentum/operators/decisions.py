@@ -74,13 +74,13 @@ def recommend(photos: DataFrame, overrides: DataFrame | None = None, eye_rules:
     rank = F.struct((~c("is_kept")).alias("x"), (-c("score")).alias("y"), c("id").alias("z"))
     best = able.groupBy("grp").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "score", "sharpness", "sha256", "perceptual_hash", "likely_all_eyes_open", "average_expression_score", "faces"), rank).alias("best"), F.max("score").alias("top"), F.count_if(c("score") == F.lit(0)).alias("_z"))
     # With the best one out, the second score is the top unless the best alone has it: count who has the top.
-    tops = able.join(best.select("grp", "top", c("best.id").alias("best_id")).hint("merge"), "grp").filter("id <> best_id").groupBy("grp").agg(F.max("score").alias("second"))
+    tops = able.join(best.select("grp", "top", c("best.id").alias("best_id")), "grp").filter("id <> best_id").groupBy("grp").agg(F.max("score").alias("second"))
     group = best.join(tops, "grp", "left").select("grp", "n", "best", F.coalesce("second", F.lit(0.0)).alias("second"))
     content = F.when(c("sha256") != "", c("sha256"))
-    copies = able.withColumn("content", content).filter("content is not null").join(best.select("grp", c("best.id").alias("best_id")).hint("merge"), "grp")
+    copies = able.withColumn("content", content).filter("content is not null").join(best.select("grp", c("best.id").alias("best_id")), "grp")
     keeper = copies.groupBy("grp", c("content").alias("sha256")).agg(F.count("*").alias("same"), F.min_by("id", F.struct((~c("is_kept")).alias("x"), (c("id") != c("best_id")).alias("y"), c("id").alias("z"))).alias("keeper_id")).filter("same > 1").drop("same")
     counts = rows.filter("faces > 0").groupBy("grp", "faces").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("faces", F.struct("k", "faces")).alias("usual"))
-    rows = rows.join(group.hint("merge"), "grp", "left").join(counts.hint("merge"), "grp", "left").join(keeper.hint("merge"), ["grp", "sha256"], "left")
+    rows = rows.join(group, "grp", "left").join(counts, "grp", "left").join(keeper, ["grp", "sha256"], "left")
 
     gap = c("best.score") - c("second")
     tied = F.abs(gap) <= TIE

@@ -110,7 +110,7 @@ def keepers(members: DataFrame) -> DataFrame:
 
 def removable(members: DataFrame) -> DataFrame:
     """Rows of groups that a cleanup removes: neither their group's keeper nor kept."""
-    joined = members.join(keepers(members).hint("merge"), "group_id")
+    joined = members.join(keepers(members), "group_id")
     return joined.filter(~F.col("is_kept") & (F.col("id") != F.col("keeper_id")))
 
 

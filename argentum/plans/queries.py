@@ -75,7 +75,7 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ad.photos(spark, sf_dir)
     marks = ad.protected(spark, sf_dir).select(F.col("photo_id").alias("id"), F.lit(True).alias("is_kept"))
     groups = rows.groupBy("sha256").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).filter("n > 1")
-    joined = rows.join(groups.hint("merge"), "sha256").join(marks, "id", "left")
+    joined = rows.join(groups, "sha256").join(marks, "id", "left")
     return joined.withColumn("is_kept", F.coalesce("is_kept", F.lit(False))).withColumn("kind", F.lit("exact"))
 
 

@@ -411,3 +411,41 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: find(k) for k in head}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_small_views(spark):
+    rows = spark.createDataFrame([("s", 3, 12), ("t", 0, 0)], "session_id string, processed_files long, total_files long")
+    assert dict(catalog.progress(rows).collect()) == {"s": 25, "t": 0}
+    errors = spark.createDataFrame([("s", 2, "late"), ("s", 1, "first" * 200)], "session_id string, id long, reason string")
+    assert catalog.first_error(errors).first()["reason"].startswith("first")
+    assert max(len(r["reason"]) for r in state.errors(errors).collect()) == 500
+    log = spark.createDataFrame([("s", 1, "running"), ("s", 2, "done")], "session_id string, seq long, status string")
+    assert state.checkpoint(log).first()["status"] == "done"
+    assert [r["status"] for r in state.interrupted(log).orderBy("seq").collect()] == ["interrupted", "done"]
+    a = spark.createDataFrame([(1,), (2,)], "id long")
+    assert catalog.merged_pages(a, a).count() == 2
+    photos = spark.createDataFrame([(1, "m", False, "2", None), (2, "m", False, "1", None)], "id long, moment_id string, is_kept boolean, capture_time string, created_at string")
+    recs = spark.createDataFrame([(1, "KEEP")], "photo_id long, decision string")
+    assert moments.comparison_keeper(photos, recs).first()["keeper_id"] == 1
+    assert moments.comparison_keeper(photos, recs.limit(0)).first()["keeper_id"] == 2
+    nested = moments.with_photos(spark.createDataFrame([("m", "1")], "moment_id string, start_time string"), photos, recs).first()["photos"]
+    assert [p["id"] for p in nested] == [2, 1]
+    done = spark.createDataFrame([(1, "v1"), (2, "v0")], "photo_id long, analyzer_version string")
+    assert [r["id"] for r in catalog.pending_faces(a, done, "v1").collect()] == [2]
+    assert tuple(face.totals(spark.createDataFrame([(1,), (1,), (2,)], "photo_id long"), done, a, "v1").first()) == (1, 2)
+    someone = spark.createDataFrame([("k", i, i, 9) for i in range(9)], "person_key string, id long, photo_id long, size long")
+    seen = people.preview(people.with_photos(someone, spark.range(9))).first()
+    assert (len(seen["faces"]), seen["more"]) == (7, 2)
+    couple = spark.createDataFrame([(1, 2), (1, 5)], "primary_id long, paired_id long")
+    assert pairs.resolved(couple, a).count() == 1
+
+
+def test_eyes(spark):
+    state_ = lambda o, px: tuple(one(spark, scalar.eye_state(lit(o).cast("double"), lit(px), lit(1.0))))
+    assert state_(0.6, 50.0)[0] == "OPEN" and state_(0.3, 50.0)[0] == "CLOSED" and state_(0.45, 50.0) == ("UNCERTAIN", 0.45)
+    assert state_(None, 50.0) == ("UNCERTAIN", 0.25) and state_(0.6, 10.0) == ("UNCERTAIN", 0.2)
+    box = lambda x: F.struct(lit(x).alias("x"), lit(0.0).alias("y"), lit(10.0).alias("width"), lit(10.0).alias("height"))
+    assert one(spark, scalar.iou(box(0.0), box(5.0))) == pytest.approx(1 / 3) and one(spark, scalar.iou(box(0.0), box(20.0))) == 0
+    smile = one(spark, scalar.expression(*map(lit, (100.0, 100.0, 50.0, 30.0, 70.0, 70.0, 70.0, 70.0))))
+    assert smile["smile_score"] == pytest.approx(0.4 * 0.65 + (-0.2 + 0.15) * 0.35) and smile["confidence"] == 1.0
+    assert one(spark, scalar.expression(*map(lit, (9.0, 9.0, 5.0, 3.0, 7.0, 7.0, 7.0, 20.0))))["smile_score"] is None
