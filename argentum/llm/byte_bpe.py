@@ -221,16 +221,19 @@ def encoder(path: str) -> ByteBPE:
     return _encoders[path]
 
 
-def slices(texts: list[str], chars: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about so many characters together."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def gathered(batches: Iterator[pa.RecordBatch], chars: int = 8 << 20) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts (null: empty) of rows, about so many characters at a time, whatever the batches' sizes."""
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys.append(key)
+            texts.append(text or "")
+            size += len(texts[-1])
+            if size >= chars:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, digest: bool = False) -> DataFrame:
@@ -242,15 +245,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, digest: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
-        for batch in batches:
-            docs_, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                ids, offsets = bpe.encode(texts[a:b])
-                head = [docs_.slice(a, b - a).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-                back = (bpe.decode(x) for x in ids)
-                if digest:
-                    yield pa.RecordBatch.from_arrays([*head, pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*head, pa.array([len(o) for o in offsets], pa.int64()), pa.array(ids, pa.binary()), pa.array([o.astype("<u4").tobytes() for o in offsets], pa.binary()), pa.array(list(back), pa.binary())], ["doc_id", "n_tokens", "n_pretokens", "ids", "offsets", "decoded"])
+        for keys, texts in gathered(batches, 4 << 20):
+            ids, offsets = bpe.encode(texts)
+            head = [pa.array(keys, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            back = (bpe.decode(x) for x in ids)
+            if digest:
+                yield pa.RecordBatch.from_arrays([*head, pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            else:
+                yield pa.RecordBatch.from_arrays([*head, pa.array([len(o) for o in offsets], pa.int64()), pa.array(ids, pa.binary()), pa.array([o.astype("<u4").tobytes() for o in offsets], pa.binary()), pa.array(list(back), pa.binary())], ["doc_id", "n_tokens", "n_pretokens", "ids", "offsets", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else SCHEMA)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from argentum.llm.byte_bpe import slices
+from argentum.llm.byte_bpe import gathered
 from argentum.llm.session import cut
 from argentum.llm.word_tokens import pieces
 
@@ -103,17 +103,15 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> D
 
         encoder, end = pieces(vocabulary), np.array([end_id], "<u4").tobytes()
         part, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts, keys = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                rows = []
-                for key, ids in zip(keys[a:b], encoder.encode(texts[a:b]), strict=True):
-                    ids += end
-                    for i in range(0, len(ids), 4 * capacity):
-                        piece = ids[i : i + 4 * capacity]
-                        rows.append((key, i // (4 * capacity), i // 4, len(piece) // 4, zlib.crc32(piece), part, row + len(rows)))
-                row += len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "row"])
+        for keys, texts in gathered(batches):
+            rows = []
+            for key, ids in zip(keys, encoder.encode(texts), strict=True):
+                ids += end
+                for i in range(0, len(ids), 4 * capacity):
+                    piece = ids[i : i + 4 * capacity]
+                    rows.append((key, i // (4 * capacity), i // 4, len(piece) // 4, zlib.crc32(piece), part, row + len(rows)))
+            row += len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "row"])
         encoder.cache.clear()  # a worker may go on with other work
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, row long")
