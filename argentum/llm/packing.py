@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from argentum.llm.byte_bpe import gathered
 from argentum.llm.session import cut
-from argentum.llm.word_tokens import pieces
+from argentum.llm.word_tokens import forget, pieces
 
 
 class CapacityTree:
@@ -112,7 +112,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> D
                     rows.append((key, i // (4 * capacity), i // 4, len(piece) // 4, zlib.crc32(piece), part, row + len(rows)))
             row += len(rows)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "row"])
-        encoder.cache.clear()  # a worker may go on with other work
+        forget(vocabulary)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, row long")
 

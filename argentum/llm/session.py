@@ -16,7 +16,7 @@ PART_BYTES = 32 << 20
 #: Rows of a batch that goes to a Python worker.
 BATCH_ROWS = 1000
 #: Settings of the C library's allocator in Python workers.
-MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_ARENA_MAX": "2"}
+MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(16 << 20), "MALLOC_TRIM_THRESHOLD_": str(64 << 20), "MALLOC_ARENA_MAX": "2"}
 
 
 def ship(spark: SparkSession) -> SparkSession:

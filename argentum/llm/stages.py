@@ -1,4 +1,12 @@
-"""Operators as stages of a pipeline: (spark, docs, sf_dir) -> DataFrame, columns of documents kept."""
+"""Operators as stages of a pipeline: (spark, docs, sf_dir) -> DataFrame, columns of documents kept.
+
+Null and empty texts pass the filters: an empty text's score is the intercept's, it is nobody's copy, it has no
+bytes to cut, and its packed piece is the end id alone. Rows without doc_id are kept by the near-duplicate stage
+and come first in the order of the others. Rows that share a doc_id are one document to the near-duplicate stage
+(they stay or go together) and follow each other by text in the suffix stage. Very long texts are handled whole.
+Without labels nothing is rejected. Empty tables give empty tables. Extra columns are carried by all stages but
+the last, whatever their names.
+"""
 
 from __future__ import annotations
 

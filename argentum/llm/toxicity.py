@@ -6,7 +6,7 @@ text alone.
 
 Nulls count as empty texts, whose score comes from the intercept. Labels that are null don't
 count; of several labels for one document the largest holds. Without any label, or with one
-class only, the score is the smoothed share of label 1 (0.5 without labels). Repeated rows give
+class only, the score is the smoothed share of label 1 (0.25 without labels). Repeated rows give
 repeated results; an empty table gives none; extra columns are left out or kept as asked.
 """
 
@@ -82,7 +82,7 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 1.0
     """FTRL-proximal over (slots, label) rows: per-coordinate rates, L1 sets weights to exactly 0."""
     ones = sum(y for _, y in rows)
     if not rows or ones in (0, len(rows)):
-        share = (ones + 0.5) / (len(rows) + 1)
+        share = (ones + 0.5) / (len(rows) + 2)  # under one half without labels: nothing is rejected for want of them
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(share / (1 - share))), bits)
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last one is the intercept, without L1

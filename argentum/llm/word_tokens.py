@@ -13,7 +13,8 @@ import pyarrow as pa
 
 from argentum.llm.words import Words
 
-CACHE = 400_000
+#: Pieces in a generation of the cache.
+CACHE = 250_000
 LONG = 64
 _MARK = np.isin(np.arange(256), [44, 46])
 _ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
@@ -43,6 +44,7 @@ class Pieces:
         self.ends = np.zeros(1 + max(vocabulary.values()), bool)  # ids that end a run of letters
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Words of letters only make one run each, so that many can be encoded as one text."""
@@ -89,14 +91,23 @@ class Pieces:
         first, inverse = order[new_], np.empty(len(h), np.int64)
         inverse[order] = np.cumsum(new_) - 1
         distinct = [raw[a:b].decode() for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
-        new = [p for p in distinct if p not in cache]
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = distinct
+        # Two generations: what is looked up again moves from the old one to the new one.
+        if len(cache) > CACHE:
+            self.old, self.cache = cache, {}
+            cache = self.cache
+        old = self.old
         extra: dict[str, bytes] = {}
-        if new:
-            self._learn(new, extra)
-        ids = [cache[p] if p in cache else extra[p] for p in distinct]
+        self._learn([p for p in distinct if p not in cache and p not in old], extra)
+        ids = []
+        for p in distinct:
+            x = cache.get(p)
+            if x is None:
+                x = old.get(p)
+                if x is None:
+                    x = extra[p]
+                else:
+                    cache[p] = x
+            ids.append(x)
         flat, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         begin = np.cumsum(size) - size
         n = size[inverse]
@@ -106,6 +117,12 @@ class Pieces:
         return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def forget(path: str) -> None:
+    """Drops a worker's cache, as it may go on with other work."""
+    if path in _held:
+        _held[path].cache, _held[path].old = {}, {}
+
+
 def pieces(path: str) -> Pieces:
     """One encoder for each file and worker."""
     import os
