@@ -222,10 +222,14 @@ def encoder(path: str) -> ByteBPE:
 
 
 def gathered(batches: Iterator[pa.RecordBatch], chars: int = 8 << 20) -> Iterator[tuple[list, list[str]]]:
-    """Keys and texts (null: empty) of rows, about so many characters at a time, whatever the batches' sizes."""
+    """Keys and texts (null: empty) of rows, about so many characters at a time, whatever the batches' sizes.
+
+    Text is column 1; a key is column 0, or a tuple of all other columns.
+    """
     keys, texts, size = [], [], 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        other = [c.to_pylist() for i, c in enumerate(batch.columns) if i != 1]
+        for key, text in zip(other[0] if len(other) == 1 else zip(*other, strict=True), batch.column(1).to_pylist(), strict=True):
             keys.append(key)
             texts.append(text or "")
             size += len(texts[-1])
