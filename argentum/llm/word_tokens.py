@@ -79,8 +79,9 @@ class Pieces:
         # A comma or full stop after a letter or digit, at a piece's end, is a run of its own.
         body = words.end - 1
         cuts = (words.end - words.start > 1) & _MARK[words.data[body]] & _ALNUM[words.data[body - 1]]
-        words.start = np.sort(np.concatenate([words.start, body[cuts]]))
-        words.end = np.sort(np.concatenate([words.end, body[cuts]]))
+        cuts = np.flatnonzero(cuts)
+        words.start = np.insert(words.start, cuts + 1, body[cuts])
+        words.end = np.insert(words.end, cuts, body[cuts])
         words.of = np.searchsorted(words.start, words.bounds)
         cache, raw = self.cache, words.data.tobytes()
         h = words.hashes()
