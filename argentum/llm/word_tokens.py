@@ -27,6 +27,11 @@ def lowered(text: str) -> str:
         return text
     if text.isascii():
         return text.lower()
+    try:  # Latin-1 is normalised, in lower case too
+        text.encode("latin-1")
+        return text.lower()
+    except UnicodeEncodeError:
+        pass
     if "\u03a3" in text or "\u0130" in text or not is_normalized("NFC", text):
         return text
     low = text.lower()
