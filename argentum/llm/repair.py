@@ -6,7 +6,7 @@ each document begins, so that any document can be decoded without the others.
 
 Re-Pair replaces the most frequent pair of neighbours again and again. Here a round
 replaces many frequent pairs at once, those with the higher count first where they
-overlap; rounds go on while pairs repeat often enough.
+overlap; rounds go on until no pair of neighbours is left that repeats often enough.
 """
 
 from __future__ import annotations
@@ -32,92 +32,107 @@ SMALL = 200_000
 HASH, SLOTS = np.uint64(0x9E3779B97F4A7C15), 20
 
 
-def compress(ids: np.ndarray, breaks: np.ndarray, least: int = 8, rounds: int = 2, most: int = 1 << 13) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def frequent(pair: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, place, rank): pairs that occur `least` times, most frequent first; where they are, ascending; and which one is there."""
+    # A slot of the hash table holds at least as many as each of its pairs: what is left is counted exactly.
+    slot = (pair * HASH >> np.uint64(64 - SLOTS)).view(np.int64)
+    place = np.flatnonzero(np.bincount(slot, minlength=1 << SLOTS)[slot] >= least)
+    keys, which, count = np.unique(pair[place], return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    order = order[: np.count_nonzero(count >= least)]
+    rank = np.full(len(keys), -1, np.int64)
+    rank[order] = np.arange(len(order))
+    rank = rank[which]
+    return keys[order], place[rank >= 0], rank[rank >= 0]
+
+
+def compress(ids: np.ndarray, breaks: np.ndarray, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Re-Pair: (sequence, rules, breaks in the sequence, base). Symbols from `base` on are rules; pairs never cross a break.
 
-    least: occurrences that a pair needs; rounds, most: of replacement, and rules in a round.
+    least: occurrences that a pair needs; at the end no pair has as many.
     """
     base = int(ids.max()) + 1 if len(ids) else 1
     seq, rules, top = ids.astype(np.uint32), [], base
     edge = np.zeros(len(seq) + 1, bool)  # a document begins here
     edge[breaks] = True
     edge = edge[:-1]
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    # Where a pair may be frequent: those seldom in a round stay so unless they have a new symbol.
+    live = np.ones(len(seq), bool)
+    while len(seq) > 1:
         inner = ~edge[1:]
-        # Pairs are counted by slot of a hash table; the pair that a slot holds is then counted exactly.
-        slot = pair * HASH
-        slot >>= np.uint64(64 - SLOTS)
-        slot = slot.view(np.int64)
-        slot[~inner] = 1 << SLOTS  # these don't count
-        held = np.zeros((1 << SLOTS) + 1, np.uint64)
-        held[slot] = pair
-        count = np.bincount(slot[held[slot] == pair], minlength=1 << SLOTS)[: 1 << SLOTS]
-        often = np.flatnonzero(count >= least)
-        if not len(often):
+        twin = inner & (seq[1:] == seq[:-1])
+        some = inner & live[:-1] | twin
+        # Of a run of one symbol, every second pair counts: they don't overlap.
+        at = np.flatnonzero(twin)
+        if len(at):
+            begin = np.ones(len(at), bool)
+            begin[1:] = np.diff(at) > 1
+            first = np.flatnonzero(begin)
+            some[at[(np.arange(len(at)) - first[np.cumsum(begin) - 1]) % 2 == 1]] = False
+        some = np.flatnonzero(some)
+        keys, place, rank = frequent(seq[some].astype(np.uint64) << np.uint64(32) | seq[some + 1], least)
+        if not len(keys):
             break
-        if len(often) > most:
-            often = often[np.argpartition(-count[often], most - 1)[:most]]
-        often = often[np.argsort(-count[often], kind="stable")]
-        keys = held[often]
-        table = np.full((1 << SLOTS) + 1, -1, np.int32)
-        table[often] = np.arange(len(often), dtype=np.int32)
-        rank = table[slot]
-        place = np.flatnonzero(rank >= 0)
-        place = place[keys[rank[place]] == pair[place]]
-        rank = rank[place]
-        del pair, slot, held, count
-        # Of overlapping places the one of lower rank (then the left one) stays: keep local minima, twice.
-        score = np.full(len(seq) + 1, len(keys) * 2, np.int32)
-        kept = np.zeros(len(seq) + 1, bool)
-        for _ in range(2):
-            score[:] = len(keys) * 2
-            score[place] = rank
-            win = (rank < score[place - 1] + (place == 0) * len(keys) * 4) | (place == 0)
-            win &= rank <= score[place + 1]
-            win &= ~(kept[place - 1] | kept[place + 1]) | (place == 0) & ~kept[place + 1]
-            kept[place[win]] = True
-            stay = ~(kept[place] | kept[np.maximum(place - 1, 0)] | kept[place + 1])
+        place = some[place]
+        live = np.zeros(len(seq), bool)
+        live[place] = True
+        # Of overlapping places the one of lower rank stays: keep local minima, a few times; the most frequent pair wins everywhere.
+        score = np.full(len(seq) + 2, len(keys), np.int64)  # of the place before each
+        kept, taken = [], np.zeros(len(seq) + 2, bool)
+        for _ in range(4):
+            score[place + 1] = rank
+            win = (rank < score[place]) & (rank < score[place + 2])
+            kept.append((place[win], rank[win]))
+            taken[place[win] + 1] = True
+            score[place + 1] = len(keys)
+            stay = ~(taken[place] | taken[place + 1] | taken[place + 2])
             place, rank = place[stay], rank[stay]
-        where = np.flatnonzero(kept)
-        if not len(where):
-            break
-        symbol = table[((seq[where].astype(np.uint64) << np.uint64(32) | seq[where + 1]) * HASH) >> np.uint64(64 - SLOTS)]
-        used, symbol = np.unique(symbol, return_inverse=True)
-        rules.append(np.stack([keys[used] >> np.uint64(32), keys[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        seq = seq.copy()
+            if not len(place):
+                break
+        where, rank = (np.concatenate(x) for x in zip(*kept, strict=True))
+        # A pair that lost too many places waits for the next round.
+        worth = np.bincount(rank, minlength=len(keys)) >= least
+        own = worth[rank]
+        where, symbol = where[own], (np.cumsum(worth) - 1)[rank[own]]
+        used = keys[worth]
+        rules.append(np.stack([used >> np.uint64(32), used & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         seq[where] = top + symbol
         top += len(used)
+        live[where] = True
+        live[where[where > 0] - 1] = True
         rest = np.ones(len(seq), bool)
         rest[where + 1] = False
-        seq, edge = seq[rest], edge[rest]
+        seq, edge, live = seq[rest], edge[rest], live[rest]
     new_breaks = np.flatnonzero(edge)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), new_breaks, base
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each rule expands to; rules refer to earlier rules only."""
-    out = np.ones(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[i] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
+    return np.array(out, np.int64)
+
+
+def sizes(seq: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """Ids that each symbol expands to."""
+    out = np.ones(len(seq), np.int64)
+    big = seq >= base
+    out[big] = lengths[seq[big] - base]
     return out
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
     """The ids of a sequence: all symbols that are rules are replaced at once, until none is left."""
-    seq = seq.astype(np.uint32)
+    size, left = sizes(seq, lengths, base), sizes(rules[:, 0], lengths, base)
+    at, out = np.cumsum(size) - size, np.empty(int(size.sum()), np.uint32)
     while len(seq):
         big = seq >= base
-        if not big.any():
-            break
-        out = np.repeat(seq, 1 + big)
-        at = np.flatnonzero(big) + np.arange(int(big.sum()))
-        pair = rules[seq[big] - base]
-        out[at], out[at + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+        out[at[~big]] = seq[~big]
+        rule, at = seq[big] - base, at[big]
+        seq, at = np.concatenate([rules[rule, 0], rules[rule, 1]]), np.concatenate([at, at + left[rule]])
+    return out
 
 
 def dump(ids: np.ndarray, starts: np.ndarray) -> bytes:
@@ -145,20 +160,18 @@ class Shard:
 
     def document(self, i: int) -> np.ndarray:
         end = self.places[i + 1] if i + 1 < self.documents else len(self.seq)
-        return expand(self.seq[self.places[i] : end], self.rules, self.base)
+        return expand(self.seq[self.places[i] : end], self.rules, self.lengths, self.base)
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.base)
+        return expand(self.seq, self.rules, self.lengths, self.base)
 
     def range(self, a: int, b: int) -> np.ndarray:
         """Ids a to b of the shard: only symbols that reach into the range are expanded."""
-        size = np.ones(len(self.seq), np.int64)
-        big = self.seq >= self.base
-        size[big] = self.lengths[self.seq[big] - self.base]
+        size = sizes(self.seq, self.lengths, self.base)
         ends = np.cumsum(size)
         i, j = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "left")
         first = ends[i] - size[i] if i < len(ends) else 0
-        return expand(self.seq[i : j + 1], self.rules, self.base)[a - first : b - first]
+        return expand(self.seq[i : j + 1], self.rules, self.lengths, self.base)[a - first : b - first]
 
 
 SHARD = "shard int, piece int, first_id long, last_id long, n_docs long, n_ids long, doc_ids binary, data binary"

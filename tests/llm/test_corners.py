@@ -169,6 +169,32 @@ def test_repair_shards_decode_at_random():
         assert all((s.document(i) == ids[starts[i] : ends[i]]).all() for i in range(len(starts)))
 
 
+def neighbours(seq, places):
+    """Pairs of neighbours inside documents, those of a run of one symbol without overlap."""
+    count, edge, last = Counter(), set(places.tolist()), -2
+    for i in range(1, len(seq)):
+        if i in edge or (seq[i - 1] == seq[i] and last == i - 1 and seq[i - 2] == seq[i]):
+            continue
+        count[seq[i - 1], seq[i]] += 1
+        last = i
+    return count
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(7)
+    phrase = rng.permutation(5000)[:64]
+    alike = np.concatenate([np.tile(phrase, 200), np.full(4001, 9)])
+    # More pairs than fit into a round's former limit, and many that share a slot of the hash table.
+    wide = np.concatenate([np.tile(np.stack([a, b]), 8).ravel() for a, b in zip(range(30000), range(30000, 60000), strict=True)])
+    for ids in (alike, wide, rng.integers(0, 40, 20000)):
+        ids, starts = ids.astype(np.uint32), np.array([0, 5000, 5001])
+        seq, rules, places, base = repair.compress(ids, starts)
+        assert max(neighbours(seq.tolist(), places).values(), default=0) < 8
+        lengths = repair.expansion_lengths(rules, base)
+        assert (repair.expand(seq, rules, lengths, base) == ids).all() and len(places) == 3
+        assert ids[0] != alike[0] or lengths.max() >= 64
+
+
 def test_packing(docs, empty):
     got = packing.pack_documents(docs, WORDS, 0, 64).collect()
     want = []
