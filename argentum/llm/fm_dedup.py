@@ -135,13 +135,7 @@ def matching(index: FMIndex, seq: np.ndarray, starts: np.ndarray, window: int) -
 
 def read_words(table: pa.Table, window: int = WINDOW) -> list[Slice]:
     w = Words(table.column("text"))
-    h, out = w.hashes(), []
-    for a, b in cuts(np.diff(w.of)):
-        some, bounds = h[w.of[a] : w.of[b]], w.of[a : b + 1] - w.of[a]
-        s = repeats.runs(some, bounds, grams(some, GRAM), GRAM, window, a)
-        if s is not None:
-            out.append(s)
-    return out
+    return repeats.sliced(w.hashes(), w.of, lambda some: grams(some, GRAM), GRAM, window)
 
 
 def document_ranks(table: pa.Table) -> np.ndarray:
@@ -294,7 +288,7 @@ def fm_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> Dat
         table = ordered(table)
         slices = read(table)
         r, rank, w = gather(slices, buckets), document_ranks(table), Words(table.column("text"))
-        mask = gone(r, spread(r, rank, sent_status(r, received)), rank, received, window, len(w), [int(w.of[s.first]) for s in slices])
+        mask = gone(r, spread(r, rank, sent_status(r, received)), rank, received, window, len(w), [int(w.of[s.first]) + s.offset for s in slices])
         sums = np.concatenate([[0], np.cumsum(mask)])
         left = [x for a, b in cuts(np.diff(w.of), 1 << 17) for x in joined(w, ~mask, a, b)]
         made = {"n_words": pa.array(np.diff(w.of)), "n_removed": pa.array(sums[w.of[1:]] - sums[w.of[:-1]])}

@@ -50,6 +50,7 @@ class Slice:
     hash: np.ndarray
     span: np.ndarray
     doc: np.ndarray  # document in the slice
+    offset: int = 0  # values of the first document before the slice
 
 
 def byte_grams(data: np.ndarray, k: int) -> np.ndarray:
@@ -75,7 +76,9 @@ def _inverses(n: int) -> np.ndarray:
 
 
 def runs(values: np.ndarray, bounds: np.ndarray, grams: np.ndarray, k: int, window: int, first: int) -> Slice | None:
-    """The runs of windows with one anchor, in order. Fewer than 2**24 values."""
+    """The runs of windows with one anchor, in order. Fewer values than a place can tell (2**24), which sliced() sees to."""
+    if len(grams) > int(_PLACE) + 1:
+        raise ValueError(f"{len(grams)} places in a slice")
     ok = inside(bounds, window, len(values))
     if not ok.any():
         return None
@@ -114,6 +117,24 @@ def cuts(sizes: np.ndarray, step: int = STEP) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
+def sliced(values: np.ndarray, of: np.ndarray, grams: Callable[[np.ndarray], np.ndarray], k: int, window: int) -> list[Slice]:
+    """Slices of a part's values with their runs; `of`: n+1 offsets of documents.
+
+    A document of more than STEP values is cut into pieces that share window-1 values: each window is in one of them.
+    """
+    out = []
+    for a, b in cuts(np.diff(of), STEP):
+        size = int(of[b] - of[a])
+        long = b == a + 1 and size > STEP
+        for at in range(0, max(1, size - window + 1), STEP) if long else (0,):
+            some = values[of[a] + at : min(of[a] + at + STEP + window - 1, of[b]) if long else of[b]]
+            s = runs(some, np.array([0, len(some)]) if long else of[a : b + 1] - of[a], grams(some), k, window, a)
+            if s is not None:
+                s.offset = at
+                out.append(s)
+    return out
+
+
 @dataclass
 class Runs:
     """All runs of a part: hash, span, and which run speaks for others of the same text."""

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from argentum.llm import repeats
-from argentum.llm.repeats import COVERED, OPEN, PART, Slice, byte_grams, cuts, dealt, gather, messages, ordered, pack, status_of, statuses, unpack
+from argentum.llm.repeats import COVERED, OPEN, PART, Slice, byte_grams, dealt, gather, messages, ordered, pack, status_of, statuses, unpack
 from argentum.llm.words import buffers
 
 LENGTH, GRAM = 100, 32
@@ -38,13 +38,7 @@ LENGTH, GRAM = 100, 32
 
 def read_bytes(table: pa.Table, length: int = LENGTH) -> list[Slice]:
     data, bounds = buffers(table.column("text"))
-    out = []
-    for a, b in cuts(np.diff(bounds)):
-        some = data[bounds[a] : bounds[b]]
-        s = repeats.runs(some, bounds[a : b + 1] - bounds[a], byte_grams(some, GRAM), GRAM, length, a)
-        if s is not None:
-            out.append(s)
-    return out
+    return repeats.sliced(data, bounds, lambda some: byte_grams(some, GRAM), GRAM, length)
 
 
 def front_coded(slices: list[Slice], chosen: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -285,8 +279,8 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = Fal
         data, bounds = buffers(table.column("text"))
         mask = np.zeros(len(data), bool)
         for s, gone in removed(r, status_of(r, received), received, length):
-            a = bounds[s.first]
-            mask[a : a + len(gone)] = gone
+            a = bounds[s.first] + s.offset
+            mask[a : a + len(gone)] |= gone  # pieces of a document overlap
         sums = np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
         total = sums[bounds[1:]] - sums[bounds[:-1]]
         begin = mask.copy()

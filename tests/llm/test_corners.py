@@ -61,6 +61,43 @@ def test_fm_dedup(docs, empty, monkeypatch, each):
     assert fm_dedup.fm_dedup(docs).count() == len(corner_docs())
 
 
+@pytest.mark.parametrize("step", [150, 700])
+def test_runs_of_long_documents(monkeypatch, step):
+    """Equal windows have equal anchors wherever they are, though the document has more values than a place can tell."""
+    import pyarrow as pa
+
+    from argentum.llm import repeats
+
+    monkeypatch.setattr(repeats, "STEP", step)
+    monkeypatch.setattr(repeats, "_PLACE", np.uint64((1 << 10) - 1))
+    rng = np.random.default_rng(5)
+    passage = rng.integers(97, 123, 400)
+    parts = [rng.integers(97, 123, n) for n in (2500, 60, 1900, 90)]
+    docs = [np.concatenate([parts[0], passage, parts[1]]), parts[3], np.concatenate([parts[2], passage, passage])]
+    table = pa.table({"text": [bytes(d.astype(np.uint8).tolist()).decode() for d in docs]})
+    seen, places = {}, Counter()
+    for s in suffix_dedup.read_bytes(table, 100):
+        assert len(s.values) <= step + 99 or len(s.bounds) > 2
+        for at, low, high, h, doc in zip(s.at.tolist(), s.low.tolist(), s.high.tolist(), s.hash.tolist(), s.doc.tolist(), strict=True):
+            for w in range(low, high + 1):
+                assert 0 <= at - w <= 68
+                where = w - int(s.bounds[doc]) + s.offset
+                text = docs[s.first + doc][where : where + 100].tobytes()
+                places[s.first + doc, where] += 1
+                assert seen.setdefault(text, (h, at - w)) == (h, at - w)
+    assert places == Counter((i, w) for i, d in enumerate(docs) for w in range(len(d) - 99))
+
+
+def test_dedup_of_a_document_beyond_the_places(spark):
+    """A passage that repeats behind 2**24 bytes of one document."""
+    rng = np.random.default_rng(6)
+    filler = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    passage = filler(700)
+    made = [(1, filler(900) + passage), (2, filler((1 << 24) + 5000) + passage + filler(300) + passage)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.suffix_array_dedup(frame(spark, made), digest=True).collect()}
+    assert got == {1: (1600, 0, 0), 2: (len(made[1][1]), 1400, 2)}
+
+
 def test_near_duplicates(spark, docs, empty):
     got = {}
     for key, n, component, kept in rows(neardup.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept"):
