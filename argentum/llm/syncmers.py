@@ -8,7 +8,8 @@ anchors (a bottom sketch); the likeness of two is the share of common hashes amo
 `size` of both together. anchors() returns hashes with positions for positional matching.
 
 Nulls count as empty texts: their fingerprint is the empty string, and their likeness is 1 to
-an empty text and 0 to others. A text with fewer than k words has one anchor: the hash of all.
+an empty text and 0 to others. A text with fewer than k words, or none of whose
+k-mers is selected, has one anchor: the hash of all.
 Equal texts have equal fingerprints. Rows may repeat; rows without doc_id come first in the
 order. An empty table gives no row. Extra columns are left out.
 """
@@ -54,12 +55,13 @@ def selected(hashes: Column, k: int, s: int) -> Column:
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """For each k-mer its hash if it is a closed syncmer, else null; position = index in the array."""
+    """For each k-mer its hash if it is a closed syncmer, else null; position = index in the array. Without any, the hash of all words."""
     words = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")), r"[\x09-\x0D ]+")
 
     def of(w: Column) -> Column:
         short = F.when(F.get(w, F.lit(0)) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))
-        return F.when(F.size(w) < k, short).otherwise(let(smers(w, s), lambda h: selected(h, k, s)))
+        found = let(smers(w, s), lambda h: selected(h, k, s))
+        return F.when(F.size(w) < k, short).otherwise(let(found, lambda a: F.when(F.exists(a, lambda h: h.isNotNull()), a).otherwise(short)))
 
     return let(words, of)
 

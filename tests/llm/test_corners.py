@@ -342,6 +342,14 @@ def test_syncmers(docs, empty):
     assert prints[20] == prints[0] and prints[50] == prints[51] == prints[52] == ""
 
 
+def test_syncmers_of_texts_with_one_kmer(spark):
+    made = [(i, " ".join(f"v{i}_{j}" for j in range(syncmers.K))) for i in range(60)] + [(60, "")]
+    got = {r["doc_id"]: r for r in syncmers.with_edited(frame(spark, made)).collect()}
+    prints = [got[i]["fingerprint"] for i in range(60)]
+    assert "" not in prints and len(set(prints)) == 60 and got[60]["fingerprint"] == ""
+    assert all(got[i]["near_next"] == 0 for i in range(60))
+
+
 def test_syncmers_are_context_free(spark):
     import random
 
