@@ -323,7 +323,7 @@ def test_language_model_is_normalised():
     p = np.full(1 + lbl.WORDS + lbl.CLASSES, 1.0)
     m = lbl.start(p / p.sum())
     v = lbl.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0, np.zeros(lbl.CLASSES), np.zeros(lbl.CLASSES), lbl.WORDS)
-    s = lbl.Scorer(m, v)
+    s = lbl.Scorer(m)
     every = np.arange(v.size)
     assert abs((10 ** s.score(np.full(v.size, 3), np.full(v.size, 9), every)).sum() - 1) < 1e-3
 
