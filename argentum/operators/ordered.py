@@ -6,18 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE = "_argentum_range"
+#: Cuts that one sketch finds, and that one tree of comparisons has.
+FEW = 64
+#: Ranges that a first sketch cuts the rows into where more are asked for; each is then cut by a sketch of its own.
+COARSE = 200
+ACCURACY = 10_000
 
 
 def bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """Values of a whole-number column that cut the rows into about equal ranges."""
+    """Values of a whole-number column that cut the rows into about equal ranges: as many as asked for, if the column has as many.
+
+    Beyond COARSE ranges there are two passes over the column: coarse ranges first, then cuts within each, found side by side.
+    """
     if parts < 2:
         return []
-    got = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0]
-    return sorted(set(got or []))
+    shares = lambda n: [i / n for i in range(1, n)]
+    if parts <= COARSE:
+        got = df.agg(F.percentile_approx(key, shares(parts), ACCURACY)).first()[0]
+        return sorted(set(got or []))
+    coarse = bounds(df, key, COARSE)
+    each = -(-parts // COARSE)
+    fine = df.filter(F.col(key).isNotNull()).groupBy(position(F.col(key), coarse).alias("range")).agg(F.percentile_approx(key, shares(each), max(ACCURACY, 20 * each)).alias("cuts"))
+    return sorted({*coarse, *(c for row in fine.select(F.explode("cuts")).collect() for c in row)})  # a number a range
 
 
 def position(key: Column, cuts: list[int]) -> Column:
-    """How many cuts are at most the key: a balanced tree of comparisons."""
+    """How many cuts are at most the key: a balanced tree of comparisons, or for many cuts two look-ups in constant arrays."""
 
     def tree(a: int, b: int) -> Column:
         if a == b:
@@ -25,7 +39,13 @@ def position(key: Column, cuts: list[int]) -> Column:
         m = (a + b) // 2
         return F.when(key < cuts[m], tree(a, m)).otherwise(tree(m + 1, b))
 
-    return tree(0, len(cuts))
+    if len(cuts) <= FEW:
+        return tree(0, len(cuts))
+    step = round(len(cuts) ** 0.5)
+    numbers = lambda some: F.split(F.lit(",".join(map(str, some))), ",").cast("array<bigint>")
+    upto = lambda array: F.size(F.filter(array, lambda c: c <= key))
+    first = F.greatest(upto(numbers(cuts[::step])) - 1, F.lit(0)) * step
+    return F.element_at(F.transform(F.array(first), lambda i: i + upto(F.slice(numbers(cuts), i + 1, F.lit(step)))), 1)
 
 
 def lagged(df: DataFrame, key: str, then: tuple[str, ...], values: dict[str, str], parts: int) -> DataFrame:

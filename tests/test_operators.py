@@ -449,3 +449,21 @@ def test_eyes(spark):
     smile = one(spark, scalar.expression(*map(lit, (100.0, 100.0, 50.0, 30.0, 70.0, 70.0, 70.0, 70.0))))
     assert smile["smile_score"] == pytest.approx(0.4 * 0.65 + (-0.2 + 0.15) * 0.35) and smile["confidence"] == 1.0
     assert one(spark, scalar.expression(*map(lit, (9.0, 9.0, 5.0, 3.0, 7.0, 7.0, 7.0, 20.0))))["smile_score"] is None
+
+
+def test_many_ranges(spark):
+    """As many ranges as asked for, about equal ones, and places as a search in the sorted cuts gives them."""
+    import bisect
+
+    from pyspark.sql import functions as F
+
+    from argentum.operators import ordered
+
+    rows = spark.range(60000).select((F.col("id") * 7 - 100).alias("k"))
+    for parts in (1, 50, 900):
+        cuts = ordered.bounds(rows, "k", parts)
+        assert len(cuts) == parts - 1
+        got = rows.select("k", ordered.position(F.col("k"), cuts).alias("p")).toPandas()
+        assert got.p.tolist() == [bisect.bisect_right(cuts, k) for k in got.k]
+        assert got.p.value_counts().max() <= 2 * 60000 / parts
+    assert ordered.bounds(rows.limit(0), "k", 900) == []
