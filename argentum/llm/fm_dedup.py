@@ -3,11 +3,10 @@
 Words covered by a window of `window` successive words that also starts in a document with a smaller
 doc_id are removed, judged on the input.
 
-1. Duplicate detection (module repeats) finds runs of windows that may repeat; those whose whole text
-   occurs in a smaller document are covered, and only runs that share an anchor with other texts go on.
+1. Module repeats finds the runs of windows whose anchors occur several times.
 2. Such runs go to shards by anchor hash, so that equal windows meet. A shard is an FM-index over its
-   runs: the BWT of their words in a wavelet matrix with packed bits, and a table for the least document
-   of any interval of the suffix array.
+   different runs: the BWT of their words in a wavelet matrix with packed bits, and for each suffix the least
+   document that has its run, with minima of blocks for the least of any interval.
 3. The runs are streamed through backward search, all side by side: word by word each window's interval
    of the suffix array becomes narrower; the matching statistic is the number of words until it is empty.
    Windows whose statistic reaches the threshold and whose interval has a smaller document are reported.
@@ -28,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from argentum.llm import repeats
-from argentum.llm.repeats import COVERED, OPEN, PART, Runs, Slice, cuts, dealt, gather, messages, ordered, pack, statuses, unpack
-from argentum.llm.words import Words, grams
+from argentum.llm.repeats import PART, RANGES, STRINGS, Slice, buckets_for, choose, covered, cuts, dealt, gather, messages, ordered, pack, ranges, several, to_itself, unpack
+from argentum.llm.words import Words, grams, mix, powers
 
 WINDOW, GRAM = 13, 7
 
@@ -81,14 +80,19 @@ def suffix_order(seq: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Over texts of symbols 1.. put one after another with 0 between; patterns of at most `depth` symbols."""
+    """Over texts of symbols 1.. put one after another with 0 between; patterns of at most `depth` symbols.
 
-    def __init__(self, seq: np.ndarray, depth: int):
+    marks: a number for each place; of an interval of suffixes the least mark can be had. The suffix array itself isn't kept.
+    """
+
+    def __init__(self, seq: np.ndarray, depth: int, marks: np.ndarray):
         bits = max(1, int(seq.max()).bit_length())
-        self.order = suffix_order(seq, depth)
-        self.bwt = WaveletMatrix(seq[self.order - 1], bits)
+        order = suffix_order(seq, depth)
+        self.size = len(seq)
+        self.bwt = WaveletMatrix(seq[order - 1], bits)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=(1 << bits) + 1))])
         self.base = self.bwt.rank(np.arange(1 << bits), np.zeros(1 << bits, np.int64))
+        self.least = Least(marks[order])
 
     def backward(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the suffixes that begin with the symbol and then with what the intervals stood for."""
@@ -97,30 +101,41 @@ class FMIndex:
 
 
 class Least:
-    """The least value of any interval in two look-ups."""
+    """The least value of any interval that isn't empty: values at its ends, and a table over the minima of whole blocks between."""
+
+    BLOCK = 16
 
     def __init__(self, values: np.ndarray):
-        self.tables = [values]
+        self.values = values
+        whole = len(values) // self.BLOCK
+        self.tables = [values[: whole * self.BLOCK].reshape(-1, self.BLOCK).min(1)] if whole else []
         n = 1
-        while 2 * n <= len(values):
+        while 2 * n <= whole:
             t = self.tables[-1]
             self.tables.append(np.minimum(t[:-n], t[n:]))
             n *= 2
 
     def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        level = np.frexp((high - low).astype(np.float64))[1] - 1
-        out = np.empty(len(low), self.tables[0].dtype)
+        out = self.values[low]
+        a, b = -(-low // self.BLOCK), high // self.BLOCK  # whole blocks
+        for j in range(self.BLOCK):
+            for at in (low + j, high - 1 - j):
+                inside = (low <= at) & (at < high)
+                out[inside] = np.minimum(out[inside], self.values[at[inside]])
+        some = np.flatnonzero(b > a)
+        a, b = a[some], b[some]
+        level = np.frexp((b - a).astype(np.float64))[1] - 1
         for k in np.unique(level).tolist():
             own = level == k
             t = self.tables[k]
-            out[own] = np.minimum(t[low[own]], t[high[own] - (1 << k)])
+            out[some[own]] = np.minimum(out[some[own]], np.minimum(t[a[own]], t[b[own] - (1 << k)]))
         return out
 
 
 def matching(index: FMIndex, seq: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For windows of the streamed sequence: (statistic, low, high); statistic: words from the window's end that match."""
     n = len(starts)
-    low, high, statistic = np.zeros(n, np.int64), np.full(n, len(index.order), np.int64), np.zeros(n, np.int64)
+    low, high, statistic = np.zeros(n, np.int64), np.full(n, index.size, np.int64), np.zeros(n, np.int64)
     live = np.arange(n)
     for j in range(window - 1, -1, -1):
         if not len(live):
@@ -148,77 +163,61 @@ def document_ranks(table: pa.Table) -> np.ndarray:
     return np.cumsum(new)
 
 
-def spread(r: Runs, rank: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Answers of the runs that were sent, for all runs: a run of a later document than its speaker's is covered."""
-    later = rank[r.doc] > rank[r.doc[r.speaker]] if len(r.doc) else np.zeros(0, bool)
-    return np.where(later, COVERED, own[r.speaker]) if len(own) else own
-
-
-def sent_status(r: Runs, received: pa.Table) -> np.ndarray:
-    out = np.zeros(len(r.hash), np.uint8)
-    for bucket, kind, data in zip(received.column("bucket").to_pylist(), received.column("kind").to_pylist(), received.column("data").to_pylist(), strict=True):
-        if kind == 0:
-            out[r.sent[bucket]] = unpack(data, "u1")[0]
-    return out
+def different(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings one after another: which ones are the first of their kind, and the kind of each."""
+    rows = np.zeros((len(size), int(size.max())), np.uint64)
+    rows[np.arange(rows.shape[1]) < size[:, None]] = words
+    key = mix((rows * powers(rows.shape[1])).sum(1, dtype=np.uint64) + size.astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(size), bool)
+    new[1:] = (rows[order[1:]] != rows[order[:-1]]).any(1) | (size[order[1:]] != size[order[:-1]])
+    kind = np.empty(len(size), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind
 
 
 def search(table: pa.Table, window: int = WINDOW) -> pa.Table:
-    """A shard: indexes its runs, streams them through the index and answers with bits of repeated windows (kind 1)."""
-    table = table.sort_by("part")
-    parts, shard = table.column("part").to_pylist(), table.column("bucket")[0].as_py()
-    got = [unpack(b, "<u4", "<u4", "u1", "<u8", "<u4") for b in table.column("data").to_pylist()]
-    size = np.concatenate([g[2] for g in got]).astype(np.int64)
-    names, words = np.unique(np.concatenate([g[3][g[4]] for g in got]), return_inverse=True)
-    begin = np.cumsum(size + 1) - (size + 1)
-    seq = np.zeros(int((size + 1).sum()), np.int64)
-    of = np.repeat(np.arange(len(size)), size)
-    seq[np.arange(len(words)) + of] = words + 1
-    document = np.concatenate([np.uint64(p) << np.uint64(32) | g[1].astype(np.uint64) for p, g in zip(parts, got, strict=True)])
-    index = FMIndex(seq, window)
-    run_of = np.repeat(np.arange(len(size)), size + 1)
-    least = Least(document[run_of[index.order]])
-    windows = size - window + 1
-    which = np.repeat(np.arange(len(size)), windows)
+    """A shard: indexes its different runs, streams them through the index and answers with ranges of repeated windows."""
+    shard = table.column("bucket")[0].as_py()
+    kinds = table.column("kind").to_numpy()
+    passing = table.filter(pa.array(kinds == RANGES)).select(["part", "bucket", "kind", "data"])
+    table = table.filter(pa.array(kinds == STRINGS)).sort_by("part")
+    if not len(table):
+        return passing
+    got = [unpack(b, "<u4", "u1", "?", "<i8", "<u8", "<u4") for b in table.column("data").to_pylist()]
+    place, size, known, ids = (np.concatenate([g[k] for g in got]) for k in range(4))
+    place, size = place.astype(np.int64), size.astype(np.int64)
+    part = np.repeat(table.column("part").to_numpy(), [len(g[0]) for g in got])
+    _, words = np.unique(np.concatenate([g[4][g[5]] for g in got]), return_inverse=True)
+    # Documents by number: those without an id first.
+    by = np.lexsort((ids, known))
+    document = np.empty(len(ids), np.uint32)
+    document[by] = np.cumsum(np.concatenate([[0], (ids[by[1:]] != ids[by[:-1]]) | (known[by[1:]] != known[by[:-1]])]))
+    first, kind = different(words.astype(np.uint64) + np.uint64(1), size)
+    least = np.full(len(first), np.iinfo(np.uint32).max, np.uint32)
+    np.minimum.at(least, kind, document)
+    ends = np.cumsum(size)
+    own = size[first]
+    begin = np.cumsum(own + 1) - (own + 1)
+    seq = np.zeros(int((own + 1).sum()), np.int64)
+    to = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+    seq[np.repeat(begin, own) + to] = words[np.repeat((ends - size)[first], own) + to] + 1
+    index = FMIndex(seq, window, np.repeat(least, own + 1))
+    windows = own - window + 1
+    which = np.repeat(np.arange(len(own)), windows)
     offset = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-    bits = np.zeros((len(size), 8), bool)
-    step = 1 << 18
+    smallest = np.full((len(own), int(windows.max())), np.iinfo(np.uint32).max, np.uint32)
+    step = 1 << 17
     for a in range(0, len(which), step):
-        own, off = which[a : a + step], offset[a : a + step]
-        statistic, low, high = matching(index, seq, begin[own] + off, window)
+        w, off = which[a : a + step], offset[a : a + step]
+        statistic, low, high = matching(index, seq, begin[w] + off, window)
         hit = statistic >= window
-        hit[hit] = least.of(low[hit], high[hit]) < document[own[hit]]
-        bits[own[hit], off[hit]] = True
-    rows, first = [], 0
-    for p, g in zip(parts, got, strict=True):
-        own = bits[first : first + len(g[0])]
-        first += len(g[0])
-        some = np.flatnonzero(own.any(1))
-        if len(some):
-            rows.append((p, shard, 1, pack(g[0][some], np.packbits(own[some], axis=1))))
-    return messages(rows)
-
-
-def gone(r: Runs, status: np.ndarray, rank: np.ndarray, received: pa.Table, window: int, total: int, base: list[int]) -> np.ndarray:
-    """A mask of the part's words to remove. base: place of each slice's first word."""
-    bits = np.zeros((len(r.hash), 8), np.uint8)
-    for kind, data in zip(received.column("kind").to_pylist(), received.column("data").to_pylist(), strict=True):
-        if kind == 1:
-            idx, packed = unpack(data, "<u4", "u1")
-            bits[idx] = np.unpackbits(packed.reshape(len(idx), -1), axis=1)
-    if len(r.hash):
-        bits = bits[r.speaker]  # of a run in the speaker's own document; those of others are covered
-    change, at = np.zeros(total + 1, np.int32), 0
-    for s, first in zip(r.slices, base, strict=True):
-        n = len(s.at)
-        own = status[at : at + n]
-        whole = np.flatnonzero(own == COVERED)
-        np.add.at(change, first + s.low[whole], 1)
-        np.add.at(change, first + s.high[whole] + window, -1)
-        row, off = np.nonzero(bits[at : at + n] * (own == OPEN)[:, None])
-        np.add.at(change, first + s.low[row] + off, 1)
-        np.add.at(change, first + s.low[row] + off + window, -1)
-        at += n
-    return np.cumsum(change[:-1]) > 0
+        smallest[w[hit], off[hit]] = index.least.of(low[hit], high[hit])
+    row, off = np.nonzero(smallest[kind] < document[:, None])
+    of, start = part[row], place[row] + off
+    by = np.argsort(of, kind="stable")
+    rows = [(int(of[x[0]]), shard, RANGES, ranges(start[x], start[x])) for x in np.split(by, np.flatnonzero(np.diff(of[by])) + 1) if len(x)]
+    return pa.concat_tables([passing, messages(rows)])
 
 
 def joined(w: Words, keep: np.ndarray, first: int, last: int) -> list[bytes]:
@@ -240,44 +239,39 @@ DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def fm_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """docs with repeated words cut from text (left words joined by one blank), and n_words, n_removed.
 
-    digest: doc_id, sizes and a SHA-256 of the text that is left, instead. window: GRAM to GRAM + 7.
+    digest: doc_id, sizes and a SHA-256 of the text that is left, instead. window: GRAM words at least.
     """
     rows = docs.select("doc_id", "text") if digest else docs
     rows = rows.withColumn("doc_id", rows["doc_id"].cast("long"))
     parts, n = dealt(rows)
-    buckets = n
+    buckets = buckets_for(n)
 
-    def read(table: pa.Table) -> list[Slice]:
-        return read_words(table, window)
+    def runs(table: pa.Table) -> repeats.Runs:
+        w = Words(table.column("text"))
+        h = w.hashes()
+        return gather(h, w.of, repeats.sliced(h, w.of, lambda some: grams(some, GRAM), GRAM, window), window)
 
     narrow = parts.select("doc_id", "text", PART)
-    asked = statuses(narrow, buckets, read)
+    heard = several(narrow, runs)
 
     def send(table: pa.Table, received: pa.Table) -> pa.Table:
         if not len(table):
             return messages([])
         part, table = table.column(PART)[0].as_py(), ordered(table)
-        r, rank = gather(read(table), buckets), document_ranks(table)
-        own = sent_status(r, received)
-        chosen = np.flatnonzero((own == OPEN) & (r.speaker == np.arange(len(own))))
-        rows, base = [], 0
-        by_bucket: dict[int, list] = {}
-        for s in r.slices:
-            some = chosen[(chosen >= base) & (chosen < base + len(s.at))]
-            some = some[np.argsort(r.bucket[some], kind="stable")]
-            for own_ in np.split(some, np.flatnonzero(np.diff(r.bucket[some])) + 1) if len(some) else []:
-                low, size = s.low[own_ - base], s.high[own_ - base] + window - s.low[own_ - base]
-                ends = np.cumsum(size)
-                at = np.repeat(low - (ends - size), size) + np.arange(ends[-1])
-                by_bucket.setdefault(int(r.bucket[own_[0]]), []).append((own_, rank[r.doc[own_]], size, s.values[at]))
-            base += len(s.at)
-        for bucket, found in by_bucket.items():
-            idx, docs_, size, words = (np.concatenate(x) for x in zip(*found, strict=True))
-            names, inverse = np.unique(words, return_inverse=True)
-            rows.append((part, bucket, 0, pack(idx.astype("<u4"), docs_.astype("<u4"), size.astype("u1"), names.astype("<u8"), inverse.astype("<u4"))))
+        r = runs(table)
+        some, done = choose(r, received, buckets, document_ranks(table))
+        ids = table.column("doc_id").combine_chunks()
+        known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        rows = to_itself(part, buckets, done)
+        for bucket, own in some.by_bucket():
+            low, size = some.low[own], some.high[own] + window - some.low[own]
+            at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            names, inverse = np.unique(r.values[at], return_inverse=True)
+            doc = some.doc[own]
+            rows.append((part, bucket, STRINGS, pack(low.astype("<u4"), size.astype("u1"), known[doc], ids[doc].astype("<i8"), names.astype("<u8"), inverse.astype("<u4"))))
         return messages(rows)
 
-    found = narrow.groupBy(PART).cogroup(asked.groupBy("part")).applyInArrow(send, repeats.MESSAGE).groupBy("bucket").applyInArrow(lambda t: search(t, window), repeats.MESSAGE)
+    answers = narrow.groupBy(PART).cogroup(heard.groupBy("part")).applyInArrow(send, repeats.MESSAGE).groupBy("bucket").applyInArrow(lambda t: search(t, window), repeats.MESSAGE)
     carried = [c for c in rows.columns if c not in ("n_words", "n_removed")]
     if digest:
         schema = T._parse_datatype_string(DIGEST)
@@ -286,9 +280,8 @@ def fm_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> Dat
 
     def finish(table: pa.Table, received: pa.Table) -> pa.Table:
         table = ordered(table)
-        slices = read(table)
-        r, rank, w = gather(slices, buckets), document_ranks(table), Words(table.column("text"))
-        mask = gone(r, spread(r, rank, sent_status(r, received)), rank, received, window, len(w), [int(w.of[s.first]) + s.offset for s in slices])
+        w = Words(table.column("text"))
+        mask = covered(received, window, len(w))
         sums = np.concatenate([[0], np.cumsum(mask)])
         left = [x for a, b in cuts(np.diff(w.of), 1 << 17) for x in joined(w, ~mask, a, b)]
         made = {"n_words": pa.array(np.diff(w.of)), "n_removed": pa.array(sums[w.of[1:]] - sums[w.of[:-1]])}
@@ -300,4 +293,4 @@ def fm_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> Dat
         names = [f.name for f in schema.fields]
         return pa.Table.from_arrays([made[c] for c in names], names)
 
-    return parts.groupBy(PART).cogroup(asked.unionByName(found).groupBy("part")).applyInArrow(finish, schema)
+    return parts.groupBy(PART).cogroup(answers.groupBy("part")).applyInArrow(finish, schema)

@@ -6,12 +6,13 @@ anchor at the same place. So a document becomes runs of windows with one anchor
 whose anchor occurs elsewhere can hold a repeated window.
 
 Documents are dealt to parts by ranges of doc_id, so that (part, place in the part) is the order of
-documents. Each part sends, to buckets by anchor hash, the anchor's hash and a hash of the run's
-whole text, once for each distinct run of the part. The bucket answers for each:
-
-  0 ALONE    no other run has this anchor, or all that have it are the same text and this is the first
-  1 OPEN     the first run with this text, but other texts share the anchor: windows must be compared
-  2 COVERED  an earlier part has a run with the same text: every window of it starts earlier
+documents. Equal runs of a part are one (bytes are compared, not hashes), so that copies don't
+multiply what is sent. Each part gives a row for each of its anchors; a window over the anchor's hash
+says how many runs have it, and parts hear of those that several have. The strings of these runs then
+go to buckets by the anchor's hash, where the operator's own structure decides which windows repeat.
+An anchor with more than HOT runs, as at the edge of a passage that very many documents have, is sent
+window by window, to buckets by the hash of the whole window: equal windows meet, and the rest spreads.
+Answers are ranges of window starts.
 """
 
 from __future__ import annotations
@@ -22,15 +23,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from argentum.llm.session import parts_for
+from argentum.llm.session import cut
 from argentum.llm.words import _BASE, _MASK, inside, mix, powers
 from argentum.operators.ordered import bounds, position
 
 PART = "_argentum_part"
-ALONE, OPEN, COVERED = 0, 1, 2
+#: Runs of an anchor beyond which its windows are sent one by one.
+HOT = 1 << 14
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = np.uint64((1 << 24) - 1)
 #: Values handled at once, which bounds a worker's arrays.
@@ -137,33 +139,55 @@ def sliced(values: np.ndarray, of: np.ndarray, grams: Callable[[np.ndarray], np.
 
 @dataclass
 class Runs:
-    """All runs of a part: hash, span, and which run speaks for others of the same text."""
+    """All runs of a part, with places in the part's values."""
 
-    slices: list[Slice]
-    doc: np.ndarray  # document in the part
+    values: np.ndarray
+    window: int
+    at: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     hash: np.ndarray
     span: np.ndarray
-    speaker: np.ndarray  # the first run with the same text
-    bucket: np.ndarray
-    sent: list[np.ndarray]  # for each bucket, the runs sent, in order
+    doc: np.ndarray  # document in the part
+
+    def view(self, width: int) -> np.ndarray:
+        """For each place the values from there on, zeros behind the last."""
+        padded = np.concatenate([self.values, np.zeros(width, self.values.dtype)])
+        return np.lib.stride_tricks.sliding_window_view(padded, width)
+
 
+def gather(values: np.ndarray, of: np.ndarray, slices: list[Slice], window: int) -> Runs:
+    """The runs of a part's slices together; `of`: n+1 offsets of documents."""
+    cat = lambda xs, t: np.concatenate(xs).astype(t, copy=False) if xs else np.zeros(0, t)
+    base = [int(of[s.first]) + s.offset for s in slices]
+    places = [cat([getattr(s, name) + b for s, b in zip(slices, base, strict=True)], np.int64) for name in ("at", "low", "high")]
+    return Runs(values, window, *places, cat([s.hash for s in slices], np.uint64), cat([s.span for s in slices], np.uint64), cat([s.doc + s.first for s in slices], np.int64))
 
-def gather(slices: list[Slice], buckets: int) -> Runs:
-    empty = np.zeros(0, np.int64)
-    cat = lambda xs, t: np.concatenate(xs) if xs else empty.astype(t)
-    h, span = cat([s.hash for s in slices], np.uint64), cat([s.span for s in slices], np.uint64)
-    doc = cat([s.doc + s.first for s in slices], np.int64)
-    order = np.lexsort((span, h))  # stable: the first of equal ones comes first
+
+def speakers(view: np.ndarray, keys: tuple[np.ndarray, ...], low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each string the first one equal to it: those with equal keys are compared value by value. In the order of places."""
+    order = np.lexsort(keys)  # stable: the first of equal ones comes first
     new = np.ones(len(order), bool)
-    new[1:] = (h[order[1:]] != h[order[:-1]]) | (span[order[1:]] != span[order[:-1]])
-    speaker = np.empty(len(order), np.int64)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    out = np.empty(len(order), np.int64)
     if len(order):
-        speaker[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    bucket = ((mix(h ^ np.uint64(0xA5)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    own = np.flatnonzero(speaker == np.arange(len(speaker)))
-    by = own[np.argsort(bucket[own], kind="stable")]
-    edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    return Runs(slices, doc, h, span, speaker, bucket, [by[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    some = np.flatnonzero(out != np.arange(len(out)))
+    column = np.arange(view.shape[1])
+    for a in range(0, len(some), 1 << 14):
+        own = some[a : a + (1 << 14)]
+        other = out[own]
+        differ = ((view[low[own]] != view[low[other]]) & (column < size[own][:, None])).any(1) | (size[own] != size[other])
+        out[own[differ]] = own[differ]
+    return out
+
+
+def window_hashes(view: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Hashes of whole windows; view: rows of a window's width."""
+    out, power = np.empty(len(low), np.uint64), powers(view.shape[1])
+    for a in range(0, len(low), 1 << 14):
+        out[a : a + (1 << 14)] = ((view[low[a : a + (1 << 14)]].astype(np.uint64) + np.uint64(1)) * power).sum(1, dtype=np.uint64)
+    return mix(out)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -182,21 +206,58 @@ def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
 
 
 MESSAGE = "part int, bucket int, kind int, data binary"
-_FIELDS = ["part", "bucket", "kind", "data"]
 _ARROW = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
+#: Kinds of messages: strings for a bucket, and ranges of window starts for a part.
+STRINGS, RANGES = 0, 1
 
 
 def messages(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 4, _ARROW.types, strict=True)], schema=_ARROW)
 
 
+def ranges(first: np.ndarray, last: np.ndarray) -> bytes:
+    """Ranges of window starts of a part, those that touch as one."""
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], np.maximum.accumulate(last[order])
+    new = np.ones(len(first), bool)
+    new[1:] = first[1:] > last[:-1] + 1
+    ends = np.append(np.flatnonzero(new)[1:], len(first)) - 1
+    return pack(first[new].astype("<u4"), (last[ends] - first[new]).astype("<u4"))
+
+
+def covered(received: pa.Table, window: int, total: int) -> np.ndarray:
+    """A mask of the part's values that lie in a window whose start was answered."""
+    change = np.zeros(total + 1, np.int32)
+    for data in received.column("data").to_pylist():
+        first, more = (x.astype(np.int64) for x in unpack(data, "<u4", "<u4"))
+        np.add.at(change, first, 1)
+        np.add.at(change, first + more + window, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
 def dealt(docs: DataFrame, each: int = 12 << 20) -> tuple[DataFrame, int]:
-    """docs with a part number that grows with doc_id (null first), dealt by it, and the number of parts."""
-    n = parts_for(docs, each=each)
-    keyed = docs.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("key"))
-    found = bounds(keyed.filter("known"), "key", n)
-    part: Column = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(position(F.col("doc_id"), found)).cast("int")
-    return docs.withColumn(PART, part).repartition(max(1, len(found) + 1), PART), max(1, len(found) + 1)
+    """docs with a part number that grows with (doc_id, text), null first, dealt by it, and the number of parts.
+
+    A part has about `each` bytes, by the sizes of all texts. Where the rows of one doc_id (or those without one) have
+    more, they are cut by the first bytes of their texts.
+    """
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    prefix = F.conv(F.rpad(F.hex(F.substring(raw, 1, 7)), 14, "0"), 16, 10).cast("long")
+    narrow = cut(docs.select("doc_id", F.octet_length(raw).cast("long").alias("size"), prefix.alias("prefix")), "sizes")
+    total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    n = max(1, -(-total // each))
+    if n == 1:
+        return docs.withColumn(PART, F.lit(0)).repartition(1, PART), 1
+    heavy = narrow.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).filter((F.col("size") > each) & (F.col("rows") > 1)).select("doc_id", "size").collect()  # fewer than parts
+    within = {r["doc_id"]: bounds(narrow.filter(F.col("doc_id").eqNullSafe(F.lit(r["doc_id"]).cast("long"))), "prefix", -(-r["size"] // each)) for r in heavy}
+    found = sorted({*bounds(narrow.filter("doc_id is not null"), "doc_id", n), *(k + i for k in within if k is not None for i in (0, 1) if k + i < 1 << 63)})
+    base = len(within.get(None, []))
+    part: Column = position(F.col("doc_id"), found) + base
+    for k, cuts in sorted((k, c) for k, c in within.items() if k is not None):
+        part = part + F.when(F.col("doc_id") > k, len(cuts)).when(F.col("doc_id") == k, position(prefix, cuts)).otherwise(0)
+    part = F.when(F.col("doc_id").isNull(), position(prefix, within.get(None, []))).otherwise(part).cast("int")
+    parts = len(found) + 1 + sum(map(len, within.values()))
+    return docs.withColumn(PART, part).repartition(parts, PART), parts
 
 
 def ordered(table: pa.Table) -> pa.Table:
@@ -207,45 +268,90 @@ def ordered(table: pa.Table) -> pa.Table:
     return table.take(at)
 
 
-def answer(parts: list[int], blobs: list[bytes]) -> list[np.ndarray]:
-    """The bucket's answer to each part, in the order that the part sent."""
-    got = [unpack(b, "<u8", "<u8") for b in blobs]
-    h, span = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-    order = np.lexsort((span, h))
-    a, b = h[order], span[order]
-    new_h = np.ones(len(a), bool)
-    new_h[1:] = a[1:] != a[:-1]
-    new = new_h.copy()
-    new[1:] |= b[1:] != b[:-1]
-    group = np.cumsum(new_h) - 1
-    several = np.bincount(group, weights=new) > 1
-    status = np.empty(len(a), np.uint8)
-    status[order] = np.where(new, np.where(several[group], OPEN, ALONE), COVERED)
-    edges = np.cumsum([0, *(len(g[0]) for g in got)])
-    return [status[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
+def several(parts: DataFrame, read: Callable[[pa.Table], Runs]) -> DataFrame:
+    """(part, anchor, total) of anchors that several different runs have, for each part that has it."""
 
+    def ask(table: pa.Table) -> pa.Table:
+        part, r = table.column(PART)[0].as_py(), read(ordered(table))
+        order = np.lexsort((r.span, r.hash))
+        h, span = r.hash[order], r.span[order]
+        anchor = np.ones(len(h), bool)
+        anchor[1:] = h[1:] != h[:-1]
+        new = anchor.copy()
+        new[1:] |= span[1:] != span[:-1]
+        first = np.flatnonzero(anchor)
+        n = np.add.reduceat(new.astype(np.int32), first) if len(first) else np.zeros(0, np.int32)
+        return pa.table({"part": pa.array(np.full(len(first), part, np.int32)), "anchor": pa.array(h[first].view(np.int64)), "n": pa.array(n.astype(np.int32))})
 
-def statuses(parts: DataFrame, buckets: int, read: Callable[[pa.Table], list[Slice]]) -> DataFrame:
-    """Messages (kind 0) from buckets to parts with an answer for each run that was sent."""
+    asked = parts.groupBy(PART).applyInArrow(ask, "part int, anchor long, n int")
+    return asked.withColumn("total", F.sum("n").over(Window.partitionBy("anchor"))).filter("total > 1").select("part", "anchor", "total")
 
-    def ask(table: pa.Table) -> pa.Table:
-        part = table.column(PART)[0].as_py()
-        r = gather(read(ordered(table)), buckets)
-        return messages([(part, b, 0, pack(r.hash[s].astype("<u8"), r.span[s].astype("<u8"))) for b, s in enumerate(r.sent) if len(s)])
 
-    def reply(table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")
-        own = table.column("part").to_pylist()
-        bucket = table.column("bucket")[0].as_py()
-        return messages([(p, bucket, 0, pack(s)) for p, s in zip(own, answer(own, table.column("data").to_pylist()), strict=True)])
+@dataclass
+class Chosen:
+    """Runs (or single windows) of a part whose strings go to buckets."""
 
-    return parts.groupBy(PART).applyInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(reply, MESSAGE)
+    at: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    doc: np.ndarray
+    bucket: np.ndarray
 
+    def by_bucket(self) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(self.bucket, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(self.bucket[order])) + 1) if len(order) else []:
+            yield int(self.bucket[own[0]]), own
 
-def status_of(r: Runs, received: pa.Table) -> np.ndarray:
-    """The answer for every run of a part; runs that another of the part speaks for are covered."""
-    out = np.full(len(r.hash), COVERED, np.uint8)
-    for bucket, kind, data in zip(received.column("bucket").to_pylist(), received.column("kind").to_pylist(), received.column("data").to_pylist(), strict=True):
-        if kind == 0:
-            out[r.sent[bucket]] = unpack(data, "u1")[0]
-    return out
+
+def choose(r: Runs, heard: pa.Table, buckets: int, rank: np.ndarray | None = None) -> tuple[Chosen, list[tuple[np.ndarray, np.ndarray]]]:
+    """What a part sends, and ranges of its windows that an equal run or window of the part settles.
+
+    rank: of each document; where given, only strings of documents with a smaller rank settle others.
+    """
+    view = r.view(int((r.high - r.low).max(initial=0)) + r.window)
+    speaker = speakers(view, (r.span, r.hash), r.low, r.high - r.low + r.window)
+    settled = speaker != np.arange(len(speaker))
+    if rank is not None:
+        settled &= rank[r.doc[speaker]] < rank[r.doc]
+    done = [(r.low[settled], r.high[settled])]
+    left = np.flatnonzero(~settled)
+    anchors = heard.column("anchor").combine_chunks().to_numpy().view(np.uint64)
+    totals = heard.column("total").combine_chunks().to_numpy()
+    order = np.argsort(anchors)
+    anchors, totals = anchors[order], totals[order]
+    where = np.minimum(np.searchsorted(anchors, r.hash[left]), max(0, len(anchors) - 1))
+    known = anchors[where] == r.hash[left] if len(anchors) else np.zeros(len(left), bool)
+    total = np.where(known, totals[where], 1) if len(anchors) else np.ones(len(left), np.int64)
+    _, inverse, own = np.unique(r.hash[left], return_inverse=True, return_counts=True)
+    wanted = known | (own[inverse] > 1)
+    calm, hot = left[wanted & (total <= HOT)], left[wanted & (total > HOT)]
+    place = lambda h: ((mix(h ^ np.uint64(0xA5)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    size = r.high[hot] - r.low[hot] + 1
+    start = np.repeat(r.low[hot], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    by = np.argsort(start, kind="stable")
+    start, of = start[by], np.repeat(hot, size)[by]
+    if len(start):
+        whole = r.view(r.window)
+        h = window_hashes(whole, start)
+        first = speakers(whole, (h,), start, np.full(len(start), r.window))
+        same = first != np.arange(len(first))
+        if rank is not None:
+            same &= rank[r.doc[of[first]]] < rank[r.doc[of]]
+        done.append((start[same], start[same]))
+        start, of, h = start[~same], of[~same], h[~same]
+        spread = place(h)
+    else:
+        spread = np.zeros(0, np.int64)
+    cat = lambda a, b: np.concatenate([a, b])
+    return Chosen(cat(r.at[calm], r.at[of]), cat(r.low[calm], start), cat(r.high[calm], start), cat(r.doc[calm], r.doc[of]), cat(place(r.hash[calm]), spread)), done
+
+
+def to_itself(part: int, buckets: int, done: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
+    """The message of a part to itself; it takes the way through a bucket."""
+    first, last = (np.concatenate(x) for x in zip(*done, strict=True))
+    return [(part, part % buckets, RANGES, ranges(first, last))] if len(first) else []
+
+
+def buckets_for(parts: int) -> int:
+    """A bucket holds about what two parts send."""
+    return max(1, -(-parts // 2))

@@ -3,15 +3,15 @@
 Bytes covered by a string of `length` bytes that also starts earlier (smaller doc_id, or earlier in
 the document) are removed, judged on the input.
 
-1. Duplicate detection (module repeats) leaves the suffixes at anchors whose windows are open.
+1. Module repeats leaves the suffixes at anchors that occur several times.
 2. Each part sorts these suffixes and sends them as front-coded runs: the length of the prefix shared
    with the suffix before, and the rest. Runs go to buckets by anchor hash, so that equal windows meet.
 3. Each bucket merges its runs with a loser tree. A node keeps the length of the prefix that the loser
    shares with the last winner; a larger one wins without a look at the strings, and of equal ones the
    comparison starts behind the known prefix. The merge yields a suffix array with its LCP array.
 4. For each distance of a window's start before its anchor, intervals of the suffix array with LCP long
-   enough, and the bytes before the anchor, give the windows that are equal; all but the earliest are
-   removed. Parts get bit masks back, and cut their texts.
+   enough, and intervals of the sorted bytes before the anchor, give the windows that are equal; all but
+   the earliest are removed. Parts get ranges of places back, and cut their texts.
 
 Nulls count as empty texts. Texts shorter than `length` are kept whole. Documents with equal doc_id are
 ordered by text, those without doc_id come first. Matches never cross documents. An empty table gives
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from argentum.llm import repeats
-from argentum.llm.repeats import COVERED, OPEN, PART, Slice, byte_grams, dealt, gather, messages, ordered, pack, status_of, statuses, unpack
+from argentum.llm.repeats import PART, RANGES, STRINGS, Chosen, Runs, Slice, buckets_for, byte_grams, choose, covered, dealt, gather, messages, ordered, pack, ranges, several, to_itself, unpack
 from argentum.llm.words import buffers
 
 LENGTH, GRAM = 100, 32
@@ -41,40 +41,53 @@ def read_bytes(table: pa.Table, length: int = LENGTH) -> list[Slice]:
     return repeats.sliced(data, bounds, lambda some: byte_grams(some, GRAM), GRAM, length)
 
 
-def front_coded(slices: list[Slice], chosen: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Strings of chosen runs as fixed-width rows: right (from the anchor on), left (before it, reversed), their lengths."""
-    base = 0
-    for s in slices:
-        own = chosen[(chosen >= base) & (chosen < base + len(s.at))] - base
-        if len(own):
-            q, low, high = s.at[own], s.low[own], s.high[own]
-            right_n, left_n = high + length - q, q - low
-            padded = np.concatenate([np.zeros(length, np.uint8), s.values, np.zeros(length, np.uint8)])
-            view = np.lib.stride_tricks.sliding_window_view(padded, length)
-            right = view[q + length] * (np.arange(length) < right_n[:, None])
-            left = view[q][:, ::-1][:, : length - GRAM] * (np.arange(length - GRAM) < left_n[:, None])
-            yield own + base, right, right_n, left, left_n, q - high
-        base += len(s.at)
+def read_runs(table: pa.Table, length: int = LENGTH) -> Runs:
+    data, bounds = buffers(table.column("text"))
+    return gather(data, bounds, read_bytes(table, length), length)
+
+
+def padded(values: np.ndarray, length: int) -> np.ndarray:
+    """For each place, moved by `length`, the values from there on; zeros at both ends."""
+    zeros = np.zeros(length, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([zeros, values, zeros]), length)
+
+
+def strings(view: np.ndarray, some: Chosen, own: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Strings of chosen runs as rows: anchor, right (from the anchor on), its length, left (before it, reversed), its length, least distance."""
+    q, low, high = some.at[own], some.low[own], some.high[own]
+    right_n, left_n = high + length - q, q - low
+    right = view[q + length] * (np.arange(length) < right_n[:, None])
+    left = view[q][:, ::-1][:, : length - GRAM] * (np.arange(length - GRAM) < left_n[:, None])
+    return q, right, right_n, left, left_n, q - high
+
+
+def common_prefixes(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of sorted rows: the length of the prefix that each shares with the one before."""
+    differs = np.ones(rows.shape, bool)
+    differs[1:] = rows[1:] != rows[:-1]
+    lcp = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
+    return np.minimum(lcp, np.minimum(size, np.concatenate([[0], size[:-1]])))
+
 
+def sorted_rows(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.lexsort((size, np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()))
 
-def encode_run(idx: np.ndarray, right: np.ndarray, right_n: np.ndarray, left: np.ndarray, left_n: np.ndarray, least: np.ndarray) -> bytes:
+
+def encode_run(at: np.ndarray, right: np.ndarray, right_n: np.ndarray, left: np.ndarray, left_n: np.ndarray, least: np.ndarray) -> bytes:
     """A sorted run: shared prefix lengths and the rest of each suffix; and what belongs to it."""
-    order = np.lexsort((right_n, np.ascontiguousarray(right).view(f"S{right.shape[1]}").ravel()))
+    order = sorted_rows(right, right_n)
     right, right_n, left, left_n = right[order], right_n[order], left[order], left_n[order]
-    differs = np.ones(right.shape, bool)
-    differs[1:] = right[1:] != right[:-1]
-    lcp = np.where(differs.any(1), differs.argmax(1), right.shape[1])
-    lcp = np.minimum(lcp, np.minimum(right_n, np.concatenate([[0], right_n[:-1]])))
+    lcp = common_prefixes(right, right_n)
     col = np.arange(right.shape[1])
     rest = right[(col >= lcp[:, None]) & (col < right_n[:, None])]
-    return pack(idx[order].astype("<u4"), lcp.astype("u1"), right_n.astype("u1"), rest, left_n.astype("u1"), left[np.arange(left.shape[1]) < left_n[:, None]], least[order].astype("u1"))
+    return pack(at[order].astype("<u4"), lcp.astype("u1"), right_n.astype("u1"), rest, left_n.astype("u1"), left[np.arange(left.shape[1]) < left_n[:, None]], least[order].astype("u1"))
 
 
 class Run:
     """Reads a front-coded run, one suffix after another."""
 
     def __init__(self, blob: bytes):
-        self.idx, lcp, size, rest, self.left_n, self.left, self.least = unpack(blob, "<u4", "u1", "u1", "u1", "u1", "u1", "u1")
+        self.places, lcp, size, rest, self.left_n, self.left, self.least = unpack(blob, "<u4", "u1", "u1", "u1", "u1", "u1", "u1")
         self.lcp, self.size, self.rest = lcp.tolist(), size, rest.tobytes()
         self.ends = np.cumsum(size.astype(np.int64) - lcp).tolist()
         self.at, self.text = -1, b""
@@ -160,75 +173,54 @@ def merge(runs: list[Run]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(who, np.int64), np.array(where, np.int64), np.array(prefix, np.int64)
 
 
-def repeated(part: np.ndarray, idx: np.ndarray, lcp: np.ndarray, right_n: np.ndarray, left: np.ndarray, left_n: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
-    """Over a suffix array: for each suffix and distance 0..length-GRAM, whether that window starts earlier too."""
-    m, width = len(idx), length - GRAM + 1
-    out = np.zeros((m, -(-width // 8) * 8), bool)
-    order = part.astype(np.uint64) << np.uint64(32) | idx.astype(np.uint64)
-    before = np.zeros(m, np.uint64)
-    for d in range(width):
-        if d:
-            before = before * np.uint64(0x9E3779B97F4A7C15) + left[:, d - 1] + np.uint64(1)
-        own = np.flatnonzero((least <= d) & (d <= left_n))
+def repeated(part: np.ndarray, at: np.ndarray, lcp: np.ndarray, left: np.ndarray, left_n: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Over a suffix array: (suffix, distance) of the windows that start earlier too.
+
+    Windows with one distance from their anchors are equal if both their parts from the anchor on lie in one interval of the suffix
+    array, and their parts before it in one interval of the array of sorted left parts.
+    """
+    m = len(at)
+    before = sorted_rows(left, left_n)
+    left_lcp = common_prefixes(left[before], left_n[before])
+    earliest = np.lexsort((at, part))
+    found = []
+    group = np.empty(m, np.uint64)
+    for d in range(length - GRAM + 1):
+        own = earliest[((least <= d) & (d <= left_n))[earliest]]
         if len(own) < 2:
             continue
-        interval = np.cumsum(lcp < length - d)[own].astype(np.uint64)
-        key = repeats.mix(repeats.mix(before[own]) ^ interval)
-        by = np.lexsort((order[own], key))
-        new = np.ones(len(own), bool)
-        new[1:] = key[by[1:]] != key[by[:-1]]
-        out[own[by[~new]], d] = True
-    return out
+        group[before] = np.cumsum(left_lcp < d).astype(np.uint64)
+        key = np.cumsum(lcp < length - d).astype(np.uint64)[own] << np.uint64(32) | group[own]
+        by = np.argsort(key, kind="stable")
+        again = np.flatnonzero(key[by[1:]] == key[by[:-1]]) + 1
+        found.append((own[by[again]], np.full(len(again), d)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def compare(table: pa.Table, length: int = LENGTH) -> pa.Table:
-    """A bucket: merges its parts' runs and answers with bit masks of repeated windows (kind 1)."""
-    table = table.sort_by("part")
-    parts, bucket = table.column("part").to_pylist(), table.column("bucket")[0].as_py()
+    """A bucket: merges its parts' runs and answers with ranges of repeated windows; answers that only pass go on."""
+    bucket = table.column("bucket")[0].as_py()
+    kind = table.column("kind").to_numpy()
+    passing = table.filter(pa.array(kind == RANGES)).select(["part", "bucket", "kind", "data"])
+    table = table.filter(pa.array(kind == STRINGS)).sort_by("part")
+    if not len(table):
+        return passing
+    parts = table.column("part").to_pylist()
     held = [Run(b) for b in table.column("data").to_pylist()]
     who, where, lcp = merge(held)
-    first = np.cumsum([0, *(len(r.idx) for r in held)])
-    at = first[who] + where
-    cat = lambda name: np.concatenate([getattr(r, name) for r in held])
-    left_n = cat("left_n").astype(np.int64)
-    left = np.zeros((len(at), length - GRAM), np.uint8)
-    left[np.arange(length - GRAM) < left_n[:, None]] = cat("left")
-    part = np.repeat(np.array(parts), [len(r.idx) for r in held])
-    found = repeated(part[at], cat("idx")[at], lcp, cat("size")[at].astype(np.int64), left[at], left_n[at], cat("least")[at].astype(np.int64), length)
-    back = np.empty_like(found)
-    back[at] = found
-    rows = []
-    for r, p, a, b in zip(held, parts, first[:-1], first[1:], strict=True):
-        hit = np.flatnonzero(back[a:b].any(1))
-        if len(hit):
-            rows.append((p, bucket, 1, pack(r.idx[hit], np.packbits(back[a:b][hit], axis=1))))
-    return messages(rows)
-
-
-def removed(r: repeats.Runs, status: np.ndarray, received: pa.Table, length: int) -> Iterator[tuple[Slice, np.ndarray]]:
-    """Each slice of a part with a mask of the bytes to remove."""
-    masks: dict[str, list] = {"idx": [], "bits": []}
-    for kind, data in zip(received.column("kind").to_pylist(), received.column("data").to_pylist(), strict=True):
-        if kind == 1:
-            idx, bits = unpack(data, "<u4", "u1")
-            masks["idx"].append(idx.astype(np.int64))
-            masks["bits"].append(np.unpackbits(bits.reshape(len(idx), -1), axis=1))
-    idx = np.concatenate(masks["idx"]) if masks["idx"] else np.zeros(0, np.int64)
-    bits = np.concatenate(masks["bits"]) if masks["bits"] else np.zeros((0, 8), np.uint8)
-    base = 0
-    for s in r.slices:
-        n = len(s.at)
-        change = np.zeros(len(s.values) + 1, np.int32)
-        whole = np.flatnonzero(status[base : base + n] == COVERED)
-        np.add.at(change, s.low[whole], 1)
-        np.add.at(change, s.high[whole] + length, -1)
-        own = (idx >= base) & (idx < base + n)
-        row, distance = np.nonzero(bits[own])
-        start = s.at[idx[own] - base][row] - distance
-        np.add.at(change, start, 1)
-        np.add.at(change, start + length, -1)
-        yield s, np.cumsum(change[:-1]) > 0
-        base += n
+    sizes = [len(r.places) for r in held]
+    first = np.cumsum([0, *sizes])
+    order = first[who] + where
+    cat = lambda name: np.concatenate([getattr(r, name) for r in held]).astype(np.int64)
+    left_n = cat("left_n")
+    left = np.zeros((len(order), length - GRAM), np.uint8)
+    left[np.arange(length - GRAM) < left_n[:, None]] = np.concatenate([r.left for r in held])
+    part, at = np.repeat(np.array(parts), sizes)[order], cat("places")[order]
+    suffix, distance = repeated(part, at, lcp, left[order], left_n[order], cat("least")[order], length)
+    of, start = part[suffix], at[suffix] - distance
+    by = np.argsort(of, kind="stable")
+    rows = [(int(of[own[0]]), bucket, RANGES, ranges(start[own], start[own])) for own in np.split(by, np.flatnonzero(np.diff(of[by])) + 1) if len(own)]
+    return pa.concat_tables([passing, messages(rows)])
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -241,31 +233,21 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = Fal
     """
     rows = docs.select("doc_id", "text") if digest else docs
     parts, n = dealt(rows.withColumn("doc_id", rows["doc_id"].cast("long")))
-    buckets = n
-
-    def read(table: pa.Table) -> list[Slice]:
-        return read_bytes(table, length)
-
-    asked = statuses(parts.select("doc_id", "text", PART), buckets, read)
+    buckets = buckets_for(n)
+    narrow = parts.select("doc_id", "text", PART)
+    heard = several(narrow, lambda table: read_runs(table, length))
 
     def send(table: pa.Table, received: pa.Table) -> pa.Table:
         if not len(table):
             return messages([])
-        part = table.column(PART)[0].as_py()
-        r = gather(read(ordered(table)), buckets)
-        status = status_of(r, received)
-        chosen = np.flatnonzero(status == OPEN)
-        rows = []
-        if len(chosen):
-            strings = [np.concatenate(x) for x in zip(*front_coded(r.slices, chosen, length), strict=True)]
-            by = np.argsort(r.bucket[chosen], kind="stable")
-            edges = np.flatnonzero(np.diff(r.bucket[chosen][by])) + 1
-            for own in np.split(by, edges):
-                rows.append((part, int(r.bucket[chosen[own[0]]]), 0, encode_run(*[x[own] for x in strings])))
-        return messages(rows)
-
-    narrow = parts.select("doc_id", "text", PART)
-    found = narrow.groupBy(PART).cogroup(asked.groupBy("part")).applyInArrow(send, repeats.MESSAGE).groupBy("bucket").applyInArrow(lambda t: compare(t, length), repeats.MESSAGE)
+        part, r = table.column(PART)[0].as_py(), read_runs(ordered(table), length)
+        some, done = choose(r, received, buckets)
+        found, view = to_itself(part, buckets, done), padded(r.values, length)
+        for bucket, own in some.by_bucket():
+            found.append((part, bucket, STRINGS, encode_run(*strings(view, some, own, length))))
+        return messages(found)
+
+    answers = narrow.groupBy(PART).cogroup(heard.groupBy("part")).applyInArrow(send, repeats.MESSAGE).groupBy("bucket").applyInArrow(lambda t: compare(t, length), repeats.MESSAGE)
     kept_columns = [c for c in rows.columns if c not in ("n_removed", "n_spans")]
     if digest:
         schema = T._parse_datatype_string(DIGEST)
@@ -275,12 +257,8 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = Fal
     def finish(table: pa.Table, received: pa.Table) -> pa.Table:
         columns = [f.name for f in schema.fields]
         table = ordered(table)
-        r = gather(read(table), buckets)
         data, bounds = buffers(table.column("text"))
-        mask = np.zeros(len(data), bool)
-        for s, gone in removed(r, status_of(r, received), received, length):
-            a = bounds[s.first] + s.offset
-            mask[a : a + len(gone)] |= gone  # pieces of a document overlap
+        mask = covered(received, length, len(data))
         sums = np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
         total = sums[bounds[1:]] - sums[bounds[:-1]]
         begin = mask.copy()
@@ -298,5 +276,4 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = Fal
             made |= {c: table.column(c) for c in kept_columns if c != "text"} | {"text": pc.if_else(pc.is_null(table.column("text").combine_chunks()), pa.scalar(None, pa.string()), text)}
         return pa.Table.from_arrays([made[c] for c in columns], columns)
 
-    heard = asked.unionByName(found)
-    return parts.groupBy(PART).cogroup(heard.groupBy("part")).applyInArrow(finish, schema)
+    return parts.groupBy(PART).cogroup(answers.groupBy("part")).applyInArrow(finish, schema)

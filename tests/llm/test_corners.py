@@ -373,3 +373,35 @@ def test_stages_on_corner_cases(spark, docs, empty, tmp_path):
         if stage is not stages.drop_near_duplicates:
             assert got.count() == docs.count()
     assert stages.pack(spark, empty, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("operator", ["bytes", "words"])
+def test_dedup_with_hot_anchors_and_repeated_ids(spark, monkeypatch, operator):
+    """A passage in most rows, anchors sent window by window, and one doc_id (and rows without any) cut into several parts."""
+    import random
+
+    from argentum.llm import repeats
+    from tests.llm.data import prose
+
+    rng = random.Random(12)
+    passage = prose(rng, 50)
+    made = [(key, f"{prose(rng, rng.randrange(0, 30))} {passage} {prose(rng, rng.randrange(0, 30))}") for key in [None] * 40 + [7] * 40 + list(range(40))]
+    made += made[:5] + made[45:50] + made[-3:]
+    monkeypatch.setattr(repeats, "HOT", 6)
+    real, parts = repeats.dealt, []
+
+    def dealt(d):
+        df, n = real(d, each=4000)
+        parts.append({(r["doc_id"], r[repeats.PART]) for r in df.collect()})
+        return df, n
+
+    module, want = (suffix_dedup, brute.bytes_left(made)) if operator == "bytes" else (fm_dedup, brute.words_left(made))
+    monkeypatch.setattr(module, "dealt", dealt)
+    ship(spark)
+    docs = frame(spark, made)
+    if operator == "bytes":
+        got = rows(suffix_dedup.suffix_array_dedup(docs, digest=True), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    else:
+        got = rows(fm_dedup.fm_dedup(docs, digest=True), "doc_id", "n_words", "n_removed", "kept_sha256")
+    same(got, want)
+    assert all(sum(k == key for k, _ in parts[0]) > 2 for key in (None, 7))
