@@ -16,7 +16,8 @@ ACCURACY = 10_000
 def bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     """Values of a whole-number column that cut the rows into about equal ranges: as many as asked for, if the column has as many.
 
-    Beyond COARSE ranges there are two passes over the column: coarse ranges first, then cuts within each, found side by side.
+    Beyond COARSE ranges there are two passes over the column: coarse ranges first, then cuts within each, found side by side;
+    more cuts than needed, of which evenly spaced ones stay.
     """
     if parts < 2:
         return []
@@ -25,9 +26,10 @@ def bounds(df: DataFrame, key: str, parts: int) -> list[int]:
         got = df.agg(F.percentile_approx(key, shares(parts), ACCURACY)).first()[0]
         return sorted(set(got or []))
     coarse = bounds(df, key, COARSE)
-    each = -(-parts // COARSE)
+    each = -(-4 * parts // COARSE)
     fine = df.filter(F.col(key).isNotNull()).groupBy(position(F.col(key), coarse).alias("range")).agg(F.percentile_approx(key, shares(each), max(ACCURACY, 20 * each)).alias("cuts"))
-    return sorted({*coarse, *(c for row in fine.select(F.explode("cuts")).collect() for c in row)})  # a number a range
+    found = sorted({*coarse, *(c for row in fine.select(F.explode("cuts")).collect() for c in row)})  # four numbers a range
+    return found if len(found) < parts else [found[i * (len(found) + 1) // parts - 1] for i in range(1, parts)]
 
 
 def position(key: Column, cuts: list[int]) -> Column:
