@@ -7,13 +7,16 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where none is named."""
+    """The folder named by spark.checkpoint.dir; one of our own only where none is named and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="argentum-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = "file://" + folder
@@ -21,9 +24,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a table in the shared folder and read it again: a later failure restarts from there."""
+#: Folders of this process, one for each shared folder: what is in them goes at exit.
+_own: dict[str, str] = {}
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it is deleted when the driver's process ends."""
+    base = shared_dir(spark)
+    if base not in _own:
+        _own[base] = f"{base}/argentum-{uuid.uuid4().hex}"
+        atexit.register(_delete, _own[base])
+    return f"{_own[base]}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(path: str) -> None:
+    jvm = SparkContext._jvm
+    if jvm is None:
+        return
+    try:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        context = SparkContext._active_spark_context
+        at.getFileSystem(context._jsc.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except Exception as e:  # the JVM may have gone before; the tables then stay
+        print(f"not deleted: {path} ({type(e).__name__})")
+
+
+def cut(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
+    """Write a table in the shared folder and read it again: a later failure restarts from there. options: of the writer."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/argentum/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = place(spark, name)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -51,29 +51,29 @@ FORMATS = [
     ("Heic", "HEIC", ("heic",), "heif"),
     ("Heif", "HEIF", ("heif",), "heif"),
 ]
-# First bytes (hexadecimal, at an offset) and what they tell.
+# First bytes (at an offset) and what they tell.
 MAGIC = [
-    (((0, "FFD8FF"),), "Jpeg"),
-    (((0, "89504E470D0A1A0A"),), "Png"),
-    (((0, "52494646"), (8, "57454250")), "WebP"),
-    (((0, "474946383761"),), "Gif"),
-    (((0, "474946383961"),), "Gif"),
-    (((0, "424D"),), "Bmp"),
-    (((0, "716F6966"),), "Qoi"),
-    (((0, "44445320"),), "Dds"),
-    (((0, "762F3101"),), "Exr"),
-    (((0, "233F52414449414E4345"),), "Hdr"),
-    (((0, "233F52474245"),), "Hdr"),
+    (((0, b"\xff\xd8\xff"),), "Jpeg"),
+    (((0, b"\x89PNG\r\n\x1a\n"),), "Png"),
+    (((0, b"RIFF"), (8, b"WEBP")), "WebP"),
+    (((0, b"GIF87a"),), "Gif"),
+    (((0, b"GIF89a"),), "Gif"),
+    (((0, b"BM"),), "Bmp"),
+    (((0, b"qoif"),), "Qoi"),
+    (((0, b"DDS "),), "Dds"),
+    (((0, b"v/1\x01"),), "Exr"),
+    (((0, b"#?RADIANCE"),), "Hdr"),
+    (((0, b"#?RGBE"),), "Hdr"),
 ]
 BRANDS = {"avif": "Avif", "avis": "Avif", "heic": "Heic", "heix": "Heic", "heim": "Heic", "heis": "Heic", "mif1": "Heif", "msf1": "Heif", "hevc": "Heif", "hevx": "Heif", "crx ": "Cr3"}
 MAGIC_LATE = [
-    (((0, "46554A4946494C4D4343442D524157"),), "Raf"),
-    (((0, "49491A00000048454150434344" + "52"),), "Crw"),
-    (((0, "4D4D002A00000048454150434344" + "52"),), "Crw"),
-    (((0, "464F5662"),), "X3f"),
-    (((0, "4E525720"),), "Nef"),
+    (((0, b"FUJIFILMCCD-RAW"),), "Raf"),
+    (((0, b"II\x1a\x00\x00\x00HEAPCCDR"),), "Crw"),
+    (((0, b"MM\x00*\x00\x00\x00HEAPCCDR"),), "Crw"),
+    (((0, b"FOVb"),), "X3f"),
+    (((0, b"NRW "),), "Nef"),
 ]
-TIFF_MARKS = {"43520200": "Cr2", "4E696B6F": "Nef", "534F4E59": "Arw", "4D534300": "Arw"}
+TIFF_MARKS = {b"CR\x02\x00": "Cr2", b"Niko": "Nef", b"SONY": "Arw", b"MSC\x00": "Arw"}
 RAW = tuple(name for name, _, _, family in FORMATS if family == "raw")
 EXTENSIONS = {e: name for name, _, extensions, _ in FORMATS for e in extensions}
 HEADER = 4096
@@ -121,20 +121,20 @@ def sniff(content: Column) -> Column:
     def at(places: tuple) -> Column:
         out = F.lit(True)
         for offset, text in places:
-            out = out & (F.substring(head, 2 * offset + 1, len(text)) == text)
+            out = out & (F.substring(head, 2 * offset + 1, 2 * len(text)) == text.hex().upper())
         return out
 
     brand = F.decode(F.unhex(F.substring(head, 17, 8)), "ISO-8859-1")
     brands = F.create_map(*[F.lit(x) for pair in BRANDS.items() for x in pair])
     mark = F.substring(head, 17, 8)
-    marks = F.create_map(*[F.lit(x) for pair in TIFF_MARKS.items() for x in pair])
+    marks = F.create_map(*[F.lit(x) for mark_, name in TIFF_MARKS.items() for x in (mark_.hex().upper(), name)])
     out = F.when(content.isNull(), F.lit(None).cast("string"))
     for places, name in MAGIC:
         out = out.when(at(places), name)
-    out = out.when(at(((4, "66747970"),)) & (F.length(head) >= 24), F.try_element_at(brands, brand))
+    out = out.when(at(((4, b"ftyp"),)) & (F.length(head) >= 24), F.try_element_at(brands, brand))
     for places, name in MAGIC_LATE:
         out = out.when(at(places), name)
-    return out.when(at(((0, "49492A00"),)) | at(((0, "4D4D002A"),)), F.coalesce(F.try_element_at(marks, mark), F.lit("Tiff")))
+    return out.when(at(((0, b"II*\x00"),)) | at(((0, b"MM\x00*"),)), F.coalesce(F.try_element_at(marks, mark), F.lit("Tiff")))
 
 
 def detect(path: Column, content: Column) -> Column:
