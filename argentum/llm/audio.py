@@ -1,9 +1,10 @@
 """Media columns: audio features (operator 8).
 
-A text's bytes become 8-bit mono PCM in a WAV container; features are computed from the
-stored bytes alone: polyphase resampling, log-mel filterbanks over overlapping frames, and
-segments of sound by two energy thresholds (hysteresis). The log-mel picture is pooled to a
-fixed shape and leaves as a tensor column with the spans' times beside it.
+A text's bytes become 8-bit mono PCM in a WAV container, stored as a media table in the shared
+folder. Features come from the stored bytes, read back: polyphase resampling, log-mel filterbanks
+over overlapping frames, and segments of sound by two energy thresholds (hysteresis). The log-mel
+picture is pooled to a fixed shape and leaves as a tensor column with the spans' times beside it;
+write_tensors stores both as Arrow data with the fixed-shape tensor type.
 
 Nulls count as empty texts (64 zero bytes of payload). Silence has the floor's log energy
 and no span. Each row is computed alone, so equal texts have equal values. Repeated rows give
@@ -22,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from argentum.llm.session import cut
+
 RATE = 8000
 BLOCK = 64
-UP, DOWN = 1, 2
+UP, DOWN = 2, 3
 TAPS = 16
 FRAME, HOP = 256, 128
 MELS, COLUMNS = 16, 8
@@ -71,13 +74,10 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) ->
     padded = np.concatenate([np.zeros(taps // 2, np.float32), x, np.zeros(taps, np.float32)])
     n = -(-len(x) * up // down)
     windows = np.lib.stride_tricks.sliding_window_view(padded, taps)
-    if up == 1:
-        return windows[: n * down : down][:n] @ phases[0]
-    at = np.arange(n) * down
     out = np.empty(n, np.float32)
-    for p in range(up):
-        own = at % up == p
-        out[own] = windows[at[own] // up] @ phases[p]
+    for first in range(min(up, n)):  # outputs `up` apart have one phase, and inputs `down` apart
+        count = len(range(first, n, up))
+        out[first::up] = windows[first * down // up :: down][:count] @ phases[first * down % up]
     return out
 
 
@@ -156,6 +156,11 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, MEDIA)
 
 
+def written(picture: np.ndarray, found: np.ndarray) -> str:
+    """Features as text: the picture's numbers, row by row, and the spans in milliseconds."""
+    return ",".join(f"{x:.2f}" for x in picture.ravel().tolist()) + ";" + ",".join(f"{a}-{b}" for a, b in found.tolist())
+
+
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor array<float>, span_start_ms array<long>, span_end_ms array<long>"
 
 
@@ -168,8 +173,7 @@ def analyse(media: DataFrame) -> DataFrame:
             for data in batch.column(2).to_pylist():
                 rate, samples = from_wav(data)
                 picture, found = features(samples, rate)
-                digest = hashlib.sha256(picture.astype("<f4").tobytes() + found.astype("<i8").tobytes()).hexdigest()
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), digest))
+                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), written(picture, found)))
                 tensors.append(picture.reshape(-1))
                 begins.append(found[:, 0])
                 ends.append(found[:, 1])
@@ -187,6 +191,26 @@ def as_tensor(column: pa.Array) -> pa.Array:
     return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (COLUMNS, MELS)), pa.FixedSizeListArray.from_arrays(flat, COLUMNS * MELS))
 
 
+def write_tensors(features: DataFrame, path: str) -> None:
+    """Writes doc_id, tensors and spans as a table of Arrow streams, one for each batch: columns rows, data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                table = pa.table({"doc_id": batch.column(0), "tensor": as_tensor(batch.column(1)), "span_start_ms": batch.column(2), "span_end_ms": batch.column(3)})
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as stream:
+                    stream.write_table(table)
+                yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows", "data"])
+
+    features.select("doc_id", "tensor", "span_start_ms", "span_end_ms").mapInArrow(run, "rows long, data binary").write.parquet(path)
+
+
+def read_tensors(data: bytes) -> pa.Table:
+    """One stream of such a table, with its fixed-shape tensors."""
+    return pa.ipc.open_stream(data).read_all()
+
+
 def audio_features(docs: DataFrame) -> DataFrame:
-    """Both steps over (doc_id, text): two maps over the scan, no shuffle."""
-    return analyse(store(docs))
+    """(doc_id, text) stored as a media table, which is read back and analysed."""
+    return analyse(cut(store(docs), "media", compression="zstd"))

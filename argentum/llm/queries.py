@@ -48,7 +48,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as audio, read back, with digests and features."""
-    return audio.audio_features(documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return audio.audio_features(documents(spark, sf_dir))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from argentum.llm.byte_bpe import gathered
 from argentum.llm.repeats import PART, dealt
-from argentum.llm.session import shared_dir
+from argentum.llm.session import place
 from argentum.llm.word_tokens import pieces
 
 MAGIC = b"RPR1"
@@ -243,7 +243,5 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
 
 
 def target(spark: SparkSession) -> str:
-    """A new place for a table of ids in the shared folder."""
-    import uuid
-
-    return f"{shared_dir(spark)}/argentum/ids-{uuid.uuid4().hex}"
+    """A new place for a table of ids in the shared folder; it goes when the driver's process ends."""
+    return place(spark, "ids")

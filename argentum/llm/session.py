@@ -7,9 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argentum.plans.shared import cut, shared_dir
+from argentum.plans.shared import cut, place, shared_dir
 
-__all__ = ["cut", "documents", "parts_for", "plan_bytes", "shared_dir", "ship"]
+__all__ = ["cut", "documents", "parts_for", "place", "plan_bytes", "shared_dir", "ship"]
 
 #: Bytes of text that one task of a grouped step should hold.
 PART_BYTES = 32 << 20
