@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from argentum.llm import repeats
-from argentum.llm.repeats import PART, RANGES, STRINGS, Slice, buckets_for, choose, covered, cuts, dealt, gather, messages, ordered, pack, ranges, several, to_itself, unpack
+from argentum.llm.repeats import PART, RANGES, STRINGS, Slice, choose, covered, cuts, dealt, gather, messages, ordered, pack, ranges, several, to_itself, unpack
 from argentum.llm.words import Words, grams, mix, powers
 
 WINDOW, GRAM = 13, 7
@@ -165,12 +165,14 @@ def document_ranks(table: pa.Table) -> np.ndarray:
 
 def different(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of strings one after another: which ones are the first of their kind, and the kind of each."""
-    rows = np.zeros((len(size), int(size.max())), np.uint64)
+    rows = np.zeros((len(size), int(size.max())), np.uint32)
     rows[np.arange(rows.shape[1]) < size[:, None]] = words
-    key = mix((rows * powers(rows.shape[1])).sum(1, dtype=np.uint64) + size.astype(np.uint64))
+    key = mix(sum(rows[:, j] * power for j, power in enumerate(powers(rows.shape[1]))) + size.astype(np.uint64))
     order = np.argsort(key, kind="stable")
     new = np.ones(len(size), bool)
-    new[1:] = (rows[order[1:]] != rows[order[:-1]]).any(1) | (size[order[1:]] != size[order[:-1]])
+    for a in range(1, len(size), 1 << 14):
+        own, last = order[a : a + (1 << 14)], order[a - 1 : a - 1 + (1 << 14)][: len(order) - a]
+        new[a : a + (1 << 14)] = (rows[own] != rows[last]).any(1) | (size[own] != size[last])
     kind = np.empty(len(size), np.int64)
     kind[order] = np.cumsum(new) - 1
     return order[new], kind
@@ -188,18 +190,20 @@ def search(table: pa.Table, window: int = WINDOW) -> pa.Table:
     place, size, known, ids = (np.concatenate([g[k] for g in got]) for k in range(4))
     place, size = place.astype(np.int64), size.astype(np.int64)
     part = np.repeat(table.column("part").to_numpy(), [len(g[0]) for g in got])
-    _, words = np.unique(np.concatenate([g[4][g[5]] for g in got]), return_inverse=True)
+    names = np.unique(np.concatenate([g[4] for g in got]))
+    words = np.concatenate([np.searchsorted(names, g[4]).astype(np.int32)[g[5]] for g in got])
+    del got, names
     # Documents by number: those without an id first.
     by = np.lexsort((ids, known))
     document = np.empty(len(ids), np.uint32)
     document[by] = np.cumsum(np.concatenate([[0], (ids[by[1:]] != ids[by[:-1]]) | (known[by[1:]] != known[by[:-1]])]))
-    first, kind = different(words.astype(np.uint64) + np.uint64(1), size)
+    first, kind = different(words.astype(np.uint32) + np.uint32(1), size)
     least = np.full(len(first), np.iinfo(np.uint32).max, np.uint32)
     np.minimum.at(least, kind, document)
     ends = np.cumsum(size)
     own = size[first]
     begin = np.cumsum(own + 1) - (own + 1)
-    seq = np.zeros(int((own + 1).sum()), np.int64)
+    seq = np.zeros(int((own + 1).sum()), np.int32)
     to = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
     seq[np.repeat(begin, own) + to] = words[np.repeat((ends - size)[first], own) + to] + 1
     index = FMIndex(seq, window, np.repeat(least, own + 1))
@@ -244,7 +248,7 @@ def fm_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> Dat
     rows = docs.select("doc_id", "text") if digest else docs
     rows = rows.withColumn("doc_id", rows["doc_id"].cast("long"))
     parts, n = dealt(rows)
-    buckets = buckets_for(n)
+    buckets = 2 * n  # a shard holds about half of what one part sends: its index takes several times as much while it is made
 
     def runs(table: pa.Table) -> repeats.Runs:
         w = Words(table.column("text"))

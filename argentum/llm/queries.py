@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.llm import audio, byte_bpe, fm_dedup, lbl, neardup, packing, repair, suffix_dedup, syncmers, toxicity
+from argentum.llm import audio, byte_bpe, fm_dedup, lbl, neardup, oracles, packing, repair, suffix_dedup, syncmers, toxicity
 from argentum.llm.session import documents
 
 
@@ -64,4 +64,4 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_ids, op3_log_bilinear, op4_fm_index, op5_byte_bpe, op6_best_fit, op7_near_duplicates, op8_audio_features, op9_toxicity, op10_syncmers)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": oracles.SUFFIX_DEDUP, "op4_fm_index": oracles.FM_DEDUP, "op7_near_duplicates": oracles.NEAR_DUPLICATES}

@@ -235,7 +235,7 @@ def covered(received: pa.Table, window: int, total: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def dealt(docs: DataFrame, each: int = 12 << 20) -> tuple[DataFrame, int]:
+def dealt(docs: DataFrame, each: int = 10 << 20) -> tuple[DataFrame, int]:
     """docs with a part number that grows with (doc_id, text), null first, dealt by it, and the number of parts.
 
     A part has about `each` bytes, by the sizes of all texts. Where the rows of one doc_id (or those without one) have
@@ -350,8 +350,3 @@ def to_itself(part: int, buckets: int, done: list[tuple[np.ndarray, np.ndarray]]
     """The message of a part to itself; it takes the way through a bucket."""
     first, last = (np.concatenate(x) for x in zip(*done, strict=True))
     return [(part, part % buckets, RANGES, ranges(first, last))] if len(first) else []
-
-
-def buckets_for(parts: int) -> int:
-    """A bucket holds about what two parts send."""
-    return max(1, -(-parts // 2))
