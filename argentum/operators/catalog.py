@@ -105,10 +105,14 @@ def reusable(photos: DataFrame, done: DataFrame) -> DataFrame:
 
     photos: id, sha256; done: analysis rows with sha256 and photo_id.
     """
-    other = done.select(F.col("photo_id").alias("source_id"), "sha256", *[c for c in done.columns if c not in ("photo_id", "sha256")])
-    joined = photos.select("id", "sha256").filter("sha256 <> ''").join(other, "sha256").filter("id <> source_id")
+    other = done.filter("sha256 <> ''").select(F.col("photo_id").alias("source_id"), "sha256", *[c for c in done.columns if c not in ("photo_id", "sha256")])
     keep = [c for c in other.columns if c != "sha256"]
-    return joined.groupBy("id").agg(F.min_by(F.struct(*keep), "source_id").alias("best")).select("id", "best.*")
+    # The two least sources of each contents are enough: a photo takes the first that isn't itself.
+    least = lambda rows, name: rows.groupBy("sha256").agg(F.min_by(F.struct(*keep), "source_id").alias(name))
+    one = least(other, "one")
+    two = least(other.join(one.select("sha256", F.col("one.source_id").alias("first")), "sha256").filter("source_id <> first"), "two")
+    joined = photos.select("id", "sha256").join(one, "sha256").join(two, "sha256", "left")
+    return joined.select("id", F.when(F.col("id") != F.col("one.source_id"), F.col("one")).otherwise(F.col("two")).alias("best")).filter("best is not null").select("id", "best.*")
 
 
 def progress(processed: DataFrame) -> DataFrame:

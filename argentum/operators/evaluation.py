@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argentum.functions.scalar import confidence_bucket, openness_bucket, percent_text, ratio, size_bucket
+from argentum.functions.scalar import confidence_bucket, html_escaped, openness_bucket, percent_text, ratio, size_bucket
 
 LABELS = ("OPEN", "CLOSED", "IGNORE")
 LEAST_EYES = 100
@@ -68,6 +68,22 @@ def openness_histogram(eyes: DataFrame) -> DataFrame:
     return eyes.filter("gt = 'OPEN' and pred = 'CLOSED'").groupBy(openness_bucket(F.col("openness")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def failures(eyes: DataFrame) -> DataFrame:
+    """Eyes told wrong, as text for a review: those that are open first. eyes: filename, face_index, side, gt, pred, confidence, face_size, openness."""
+    c = F.col
+    wrong = eyes.filter("gt = 'OPEN' and pred = 'CLOSED' or gt = 'CLOSED' and pred = 'OPEN'")
+    shown = F.coalesce(F.format_string("%.3f", "openness"), F.lit("none"))
+    return wrong.select(
+        html_escaped(c("filename")).alias("filename"),
+        (c("face_index") + 1).alias("face"),
+        "side",
+        F.concat("gt", F.lit(" → "), "pred").alias("what"),
+        F.format_string("%.2f", "confidence").alias("confidence"),
+        F.format_string("%.0fpx", "face_size").alias("face_size"),
+        F.when(c("openness").isNull(), "none").otherwise(shown).alias("openness"),
+    ).orderBy(c("what").desc(), "filename", "face", "side")
+
+
 def enough(eyes: DataFrame, least: int = LEAST_EYES) -> bool:
     """Whether there are eyes enough for an evaluation."""
     return usable(eyes).limit(least).count() >= least

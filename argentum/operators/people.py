@@ -23,12 +23,13 @@ def candidates(faces: DataFrame, signatures: DataFrame, photos: DataFrame, versi
     return big.join(own, ["photo_id", "face_index"]).join(here, "photo_id").filter(valid_vector(F.col("vector"), size))
 
 
-def links(vectors: DataFrame, least: float = LINK, parts: int = 8) -> DataFrame:
+def links(vectors: DataFrame, least: float = LINK, parts: int | None = None) -> DataFrame:
     """Pairs (a < b, score) of different photos with a cosine of at least `least`. vectors: id, photo_id, vector (unit length).
 
     Blocks of vectors meet as matrices: each pair of blocks is one group, and only pairs that reach the limit leave it.
+    parts: number of blocks, else as many as blocks of 2 * BLOCK vectors take.
     """
-    count = max(1, min(parts, 1 << 12))
+    count = parts or max(1, -(-vectors.count() // (2 * BLOCK)))
     block = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
     rows = vectors.select("id", "photo_id", "vector", block.alias("own"))
     dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("other")).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "photo_id", "vector")
@@ -56,7 +57,7 @@ def links(vectors: DataFrame, least: float = LINK, parts: int = 8) -> DataFrame:
     return near.join(one, "a").join(two, "b").select("a", "b", dot(F.col("x"), F.col("y")).alias("score")).filter(F.col("score") >= least)
 
 
-def groups(vectors: DataFrame, link: float = LINK, least: float = LEAST, mean: float = MEAN, parts: int = 8, by: tuple[str, ...] = ("id",)) -> DataFrame:
+def groups(vectors: DataFrame, link: float = LINK, least: float = LEAST, mean: float = MEAN, parts: int | None = None, by: tuple[str, ...] = ("id",)) -> DataFrame:
     """(person_key, id, photo_id, size): links from the strongest down join groups that share no photo, if no cross pair
     is under `least` and their mean reaches `mean`. Groups of one are left out.
 

@@ -109,13 +109,13 @@ EYES_SQL = """eyes AS (SELECT CASE WHEN l.toxic = 1 THEN 'CLOSED' WHEN d.lang =
  CASE WHEN d.n_chars % 7 <> 0 THEN (d.n_chars % 101) / 100.0 END AS openness FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
 
 
-def eyes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def eyes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """labels and documents as labelled eyes with predictions."""
     joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
     c = F.col
     gt = F.when(c("toxic") == 1, "CLOSED").when(c("lang") == "es", "IGNORE").otherwise("OPEN")
     pred = F.when(c("n_chars") < 800, "CLOSED").when(c("n_chars") < 1600, "UNCERTAIN").otherwise("OPEN")
-    return joined.select(gt.alias("gt"), pred.alias("pred"), ((c("n_chars") % 100) / 100.0).alias("confidence"), (c("n_chars") % 250).cast("double").alias("face_size"), F.when(c("n_chars") % 7 != 0, (c("n_chars") % 101) / 100.0).alias("openness"))
+    return joined.select(*more, gt.alias("gt"), pred.alias("pred"), ((c("n_chars") % 100) / 100.0).alias("confidence"), (c("n_chars") % 250).cast("double").alias("face_size"), F.when(c("n_chars") % 7 != 0, (c("n_chars") % 101) / 100.0).alias("openness"))
 
 
 def sign_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,3 +126,6 @@ def sign_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HASHES_SQL = "hashes AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS v FROM embeddings)"
 EDGES_SQL = "edges AS (SELECT a.id AS a, b.id AS b, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS BIGINT) AS distance FROM hashes a JOIN hashes b ON a.id < b.id)"
+#: Vectors whose signs serve as looks of photos.
+LOOKS = 400
+BITS_SQL = "bits AS (SELECT vec_id, list_reduce(list_prepend(CAST(0 AS UBIGINT), list_transform(embedding, lambda x: CAST(x > 0 AS UBIGINT))), lambda s, b: CAST(s * 2 % 18446744073709551616::HUGEINT + b AS UBIGINT)) AS h FROM embeddings)"

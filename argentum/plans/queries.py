@@ -10,21 +10,10 @@ from argentum.operators import catalog, decisions, duplicates, evaluation, guard
 from argentum.operators import faces as face
 from argentum.operators.components import components
 from argentum.plans import adapters as ad
+from argentum.plans.registry import ORACLE_SQL, QUERIES, query
 from argentum.sources import formats
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 def r6(c: str):
     return F.round(F.col(c).cast("double"), 6).alias(c)
@@ -138,7 +127,8 @@ def moment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("first_id", "last_id", "photo_count", F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {MOMENTS_SQL} SELECT sha256(unhex(string_agg(printf('%02X', length(k)) || '00000000000000' || hex(k), '' ORDER BY k))) AS moment_id, count(*) AS photo_count
+FROM (SELECT seg, CAST(event_id AS VARCHAR) AS k FROM r) GROUP BY seg HAVING count(*) >= 2""")
 def moment_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments with the identity of their members."""
     return moments.moments(ad.event_photos(spark, sf_dir), parts=spark.sparkContext.defaultParallelism).select("moment_id", "photo_count")
@@ -153,12 +143,12 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.col("session").cast("long").alias("session"), "n", F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"))
 
 
-@query("""WITH e AS (SELECT event_type, event_id, sha256(props) AS h, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events),
+@query(f"""WITH {ad.BITS_SQL}, e AS (SELECT event_type, event_id, b.h, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events JOIN bits b ON b.vec_id = event_id % {ad.LOOKS}),
 s AS (SELECT *, event_type || ':' || CAST(sum(CASE WHEN p IS NULL OR (us - p) // 1000000 > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY us, event_id) AS VARCHAR) AS m FROM e),
 m AS (SELECT m, min(us) AS s, max(us) AS e FROM s GROUP BY m HAVING count(*) >= 2),
 c AS (SELECT m, h, count(*) AS n FROM s GROUP BY m, h)
 SELECT a.m AS moment_a, b.m AS moment_b, CAST(sum(x.n * y.n) AS BIGINT) AS shared_photo_pairs, CAST(CAST(sum(x.n * y.n) AS BIGINT) AS VARCHAR) || ' near-identical photo(s) shot within the same time window — likely the same burst captured twice.' AS reason
-FROM m a JOIN m b ON a.m < b.m AND a.s <= b.e AND b.s <= a.e JOIN c x ON x.m = a.m JOIN c y ON y.m = b.m AND y.h = x.h GROUP BY a.m, b.m""")
+FROM m a JOIN m b ON a.m < b.m AND a.s <= b.e AND b.s <= a.e JOIN c x ON x.m = a.m JOIN c y ON y.m = b.m AND bit_count(xor(x.h, y.h)) <= 12 GROUP BY a.m, b.m""")
 def duplicate_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments of different event types whose times overlap and whose photos look alike."""
     from pyspark.sql import Window
@@ -169,8 +159,9 @@ def duplicate_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = (before.isNull() | (F.floor((F.unix_micros("t") - before) / 1_000_000) > 1800)).cast("int")
     marked = rows.withColumn("new", new).withColumn("moment_id", F.concat("event_type", F.lit(":"), F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("string")))
     groups = marked.groupBy(F.col("moment_id").alias("id")).agg(F.min("t").alias("start_time"), F.max("t").alias("end_time"), F.count("*").alias("n")).filter("n >= 2")
-    photos = marked.select("id", "moment_id", F.substring(F.sha2(F.col("props").cast("binary"), 256), 1, 16).alias("perceptual_hash"))
-    return guard.duplicate_moments(groups, photos, distance=0, grid=3600)
+    looks = ad.sign_hashes(spark, sf_dir).select(F.col("id").alias("look"), F.lpad(F.hex("bits"), 16, "0").alias("perceptual_hash"))
+    photos = marked.select("id", "moment_id", (F.col("id") % ad.LOOKS).alias("look")).join(looks, "look").select("id", "moment_id", "perceptual_hash")
+    return guard.duplicate_moments(groups, photos, distance=guard.BITS, grid=3600)
 
 
 @query(f"""WITH {ad.SHOTS_SQL} SELECT id, category, round(confidence, 6) AS confidence FROM (SELECT id,

@@ -149,4 +149,5 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def data_url(content: str = "content", mime: str = "image/jpeg"):
-    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
+    """A data address; Spark's base64 breaks lines, an address has none."""
+    return F.concat(F.lit(f"data:{mime};base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))

@@ -82,6 +82,36 @@ def test_logical_pairs_match_a_plain_loop(spark, sf):
     assert sorted(tuple(r) for r in base.logical_pairs(spark, sf).collect()) == sorted(want)
 
 
+def test_file_pairs_match_a_plain_loop(spark, sf):
+    """RAW files in the order of paths take the first JPEG of their folder and stem that is free."""
+    import datetime as dt
+
+    from argentum.operators.pairs import BY_NAME, BY_TIME
+    from argentum.plans import more
+
+    groups = {}
+    for r in more.order_files(spark, sf).collect():
+        name = r["absolute_path"].rsplit(".", 1)[0].lower()
+        groups.setdefault(name, []).append(r)
+    want = []
+    for rows_ in groups.values():
+        order = sorted(rows_, key=lambda r: (r["absolute_path"], r["id"]))
+        taken = set()
+        for a in order:
+            if a["extension"] != "NEF":
+                continue
+            for b in order:
+                if b["extension"] != "jpg" or b["id"] in taken or a["file_size"] == b["file_size"]:
+                    continue
+                times = [r["capture_time"] and dt.datetime.fromisoformat(r["capture_time"]) for r in (a, b)]
+                if all(times) and abs((times[0] - times[1]).total_seconds()) > 60 * 86400:
+                    continue
+                taken.add(b["id"])
+                want.append((a["id"], b["id"], BY_TIME if all(times) else BY_NAME))
+                break
+    assert sorted(tuple(r) for r in more.file_pairs(spark, sf).collect()) == sorted(want) and len(want) > 50
+
+
 def test_plans_push_down(spark, sf, capsys):
     base.near_hash_edges(spark, sf).explain("simple")
     base.dashboard_stats(spark, sf).explain("simple")

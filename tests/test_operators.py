@@ -467,3 +467,36 @@ def test_many_ranges(spark):
         assert got.p.tolist() == [bisect.bisect_right(cuts, k) for k in got.k]
         assert got.p.value_counts().max() <= 2 * 60000 / parts
     assert ordered.bounds(rows.limit(0), "k", 900) == []
+
+
+def test_near_values_by_bands_and_by_blocks(spark, monkeypatch):
+    """Both ways find every pair, also with several blocks and negative numbers."""
+    import random
+
+    from argentum.operators import duplicates
+
+    rng = random.Random(5)
+    values = {rng.getrandbits(64) - (1 << 63) for _ in range(60)}
+    for v in list(values):
+        for _ in range(4):
+            w = v & (1 << 64) - 1
+            for b in rng.sample(range(64), rng.randrange(1, 24)):
+                w ^= 1 << b
+            values.add(w - (1 << 64) if w >> 63 else w)
+    monkeypatch.setattr(duplicates, "BLOCK", 70)
+    order = sorted(values)
+    rows = spark.createDataFrame([(v,) for v in order], "h long")
+    for distance in (0, 3, 8, 12, 20):
+        want = sorted((g, h, ((g ^ h) & (1 << 64) - 1).bit_count()) for i, g in enumerate(order) for h in order[i + 1 :] if ((g ^ h) & (1 << 64) - 1).bit_count() <= distance)
+        assert sorted(tuple(r) for r in duplicates.near_values(rows, distance).collect()) == want
+        assert sorted(tuple(r) for r in duplicates._near_in_blocks(rows, distance).collect()) == want
+
+
+def test_data_addresses_have_no_breaks(spark):
+    import base64
+
+    from argentum.sources.files import data_url
+
+    raw = bytes(range(256)) * 3
+    got = spark.createDataFrame([(raw,)], "content binary").select(data_url().alias("u")).first()["u"]
+    assert got == "data:image/jpeg;base64," + base64.b64encode(raw).decode()
