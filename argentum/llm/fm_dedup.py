@@ -178,6 +178,12 @@ def different(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order[new], kind
 
 
+def strings(size: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Texts one after another as a column."""
+    offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
 def search(table: pa.Table, window: int = WINDOW) -> pa.Table:
     """A shard: indexes its different runs, streams them through the index and answers with ranges of repeated windows."""
     shard = table.column("bucket")[0].as_py()
@@ -186,13 +192,13 @@ def search(table: pa.Table, window: int = WINDOW) -> pa.Table:
     table = table.filter(pa.array(kinds == STRINGS)).sort_by("part")
     if not len(table):
         return passing
-    got = [unpack(b, "<u4", "u1", "?", "<i8", "<u8", "<u4") for b in table.column("data").to_pylist()]
+    got = [unpack(b, "<u4", "<u2", "?", "<i8", "<u4", "u1") for b in table.column("data").to_pylist()]
     place, size, known, ids = (np.concatenate([g[k] for g in got]) for k in range(4))
     place, size = place.astype(np.int64), size.astype(np.int64)
     part = np.repeat(table.column("part").to_numpy(), [len(g[0]) for g in got])
-    names = np.unique(np.concatenate([g[4] for g in got]))
-    words = np.concatenate([np.searchsorted(names, g[4]).astype(np.int32)[g[5]] for g in got])
-    del got, names
+    hashes = np.concatenate([Words(strings(g[4], g[5])).hashes() for g in got])
+    words = np.unique(hashes, return_inverse=True)[1].astype(np.int32)
+    del got, hashes
     # Documents by number: those without an id first.
     by = np.lexsort((ids, known))
     document = np.empty(len(ids), np.uint32)
@@ -250,8 +256,8 @@ def fm_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> Dat
     parts, n = dealt(rows)
     buckets = 2 * n  # a shard holds about half of what one part sends: its index takes several times as much while it is made
 
-    def runs(table: pa.Table) -> repeats.Runs:
-        w = Words(table.column("text"))
+    def runs(table: pa.Table, w: Words | None = None) -> repeats.Runs:
+        w = w or Words(table.column("text"))
         h = w.hashes()
         return gather(h, w.of, repeats.sliced(h, w.of, lambda some: grams(some, GRAM), GRAM, window), window)
 
@@ -262,17 +268,19 @@ def fm_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> Dat
         if not len(table):
             return messages([])
         part, table = table.column(PART)[0].as_py(), ordered(table)
-        r = runs(table)
+        w = Words(table.column("text"))
+        r = runs(table, w)
         some, done = choose(r, received, buckets, document_ranks(table))
         ids = table.column("doc_id").combine_chunks()
         known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
         rows = to_itself(part, buckets, done)
         for bucket, own in some.by_bucket():
             low, size = some.low[own], some.high[own] + window - some.low[own]
-            at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            names, inverse = np.unique(r.values[at], return_inverse=True)
+            start = w.start[low]
+            long = w.end[low + size - 1] - start
+            text = w.data[np.repeat(start - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))]
             doc = some.doc[own]
-            rows.append((part, bucket, STRINGS, pack(low.astype("<u4"), size.astype("u1"), known[doc], ids[doc].astype("<i8"), names.astype("<u8"), inverse.astype("<u4"))))
+            rows.append((part, bucket, STRINGS, pack(low.astype("<u4"), size.astype("<u2"), known[doc], ids[doc].astype("<i8"), long.astype("<u4"), text)))
         return messages(rows)
 
     answers = narrow.groupBy(PART).cogroup(heard.groupBy("part")).applyInArrow(send, repeats.MESSAGE).groupBy("bucket").applyInArrow(lambda t: search(t, window), repeats.MESSAGE)
