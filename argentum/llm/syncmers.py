@@ -1,14 +1,14 @@
 """Document fingerprints from closed syncmers (operator 10), with DataFrame functions only.
 
-Units are words (or, where a text has no blank, that one word); k successive units form a
-k-mer, s successive ones an s-mer. A k-mer is a closed syncmer if the least of its s-mers is
+Units are words, or code points where a text has fewer than k words, as in scripts without blanks;
+k successive units form a k-mer, s successive ones an s-mer. A k-mer is a closed syncmer if the least of its s-mers is
 the first or the last one. Whether it is depends on nothing outside the k-mer, so a passage
 selects the same anchors wherever it stands. The fingerprint keeps the least `size` hashes of
 anchors (a bottom sketch); the likeness of two is the share of common hashes among the least
 `size` of both together. anchors() returns hashes with positions for positional matching.
 
 Nulls count as empty texts: their fingerprint is the empty string, and their likeness is 1 to
-an empty text and 0 to others. A text with fewer than k words, or none of whose
+an empty text and 0 to others. A text with fewer than k units, or none of whose
 k-mers is selected, has one anchor: the hash of all.
 Equal texts have equal fingerprints. Rows may repeat; rows without doc_id come first in the
 order. An empty table gives no row. Extra columns are left out.
@@ -54,16 +54,21 @@ def selected(hashes: Column, k: int, s: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(hashes) - w), one)
 
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """For each k-mer its hash if it is a closed syncmer, else null; position = index in the array. Without any, the hash of all words."""
+def units(text: Column, k: int = K) -> Column:
+    """Words, or code points of a text with fewer than k words (blanks at its ends don't count); one empty string for none."""
     words = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")), r"[\x09-\x0D ]+")
+    return let(words, lambda w: F.when((F.size(w) < k) & (F.get(w, F.lit(0)) != ""), F.regexp_extract_all(F.array_join(w, " "), F.lit("(?s)."), F.lit(0))).otherwise(w))
+
+
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """For each k-mer its hash if it is a closed syncmer, else null; position = index in the array. Without any, the hash of all units."""
 
     def of(w: Column) -> Column:
         short = F.when(F.get(w, F.lit(0)) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))
         found = let(smers(w, s), lambda h: selected(h, k, s))
         return F.when(F.size(w) < k, short).otherwise(let(found, lambda a: F.when(F.exists(a, lambda h: h.isNotNull()), a).otherwise(short)))
 
-    return let(words, of)
+    return let(units(text, k), of)
 
 
 def sketch(text: Column, k: int = K, s: int = S, size: int = SIZE) -> Column:
