@@ -181,8 +181,8 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, shar
     """Writes ids of all documents (doc_id, text), ascending by doc_id, as a table of shard files in `path`.
 
     One exchange by ranges of doc_id, whose limits come from that column alone; a shard's memory is bounded by `shard_ids` (a longer
-    document is a shard of its own). Nulls count as empty texts, rows with equal ids keep any order;
-    rows without doc_id come first.
+    document is a shard of its own). Nulls count as empty texts, rows with equal ids are ordered by text,
+    null first; rows without doc_id come first.
     """
     vocabulary = os.fspath(vocabulary)
 
@@ -212,7 +212,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, shar
             yield shard()
 
     parts, _ = dealt(docs.select("doc_id", "text"))
-    parts.select("doc_id", "text", PART).sortWithinPartitions(PART, F.col("doc_id").asc_nulls_first()).mapInArrow(run, SHARD).write.parquet(path)
+    parts.select("doc_id", "text", PART).sortWithinPartitions(PART, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(run, SHARD).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
