@@ -446,3 +446,12 @@ def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Both hashes are the same bits: the rule then asks for 12 at most.
     rows = hashes.select("id", content.alias("sha256"), F.lpad(F.hex(bits), 16, "0").alias("perceptual_hash"), bits.alias("phash"), F.lit(50.0).alias("contrast"), *[F.lit(0.0).alias(x) for x in ("red", "green", "blue")])
     return duplicates.grouped(rows, duplicates.links(rows)).select("id", "group_id", "kind", "group_count")
+
+
+@query(f"WITH {ad.SHOTS_SQL} SELECT id, row_number() OVER (PARTITION BY moment_id ORDER BY is_kept DESC, 0.35 * sharpness + 0.10 * (1.0 - least(1.0, highlight + shadow)) + CASE WHEN exposure BETWEEN 0.25 AND 0.85 THEN 0.05 ELSE 0.0 END DESC, id) AS place FROM shots")
+def score_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each photo among those of its moment."""
+    rows = ad.shots(spark, sf_dir)
+    for name in ("average_face_sharpness", "average_expression_score", "first_smile"):
+        rows = rows.withColumn(name, F.lit(None).cast("double"))
+    return decisions.keeper_scores(rows.withColumn("face_count", F.lit(0))).select("id", c("place").cast("long").alias("place"))

@@ -218,7 +218,31 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("photo_id", "decision", F.round("confidence", 6).alias("confidence"), F.array_join("codes", ",").alias("codes"), "compared_to", "best_of_group")
 
 
-@query()
+SAID_SQL = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in decisions.REASONS.items()) + " END"
+
+
+@query(f"""WITH {ad.SHOTS_SQL}, ov AS (SELECT user_id * 1000 + 1 AS id, arg_max(CASE WHEN "value" > 50 THEN 'KEEP' ELSE 'REMOVE' END, event_id) AS user_said FROM events GROUP BY 1),
+f AS (SELECT s.* EXCLUDE (is_kept), user_said, is_kept OR coalesce(user_said = 'KEEP', false) AS is_kept, l_returnflag AS fl, l_linenumber % 3 AS k, CASE WHEN l_linenumber <> 5 THEN l_discount * 10.0 END AS smile, l_tax * 10.0 AS trust FROM shots s LEFT JOIN ov ON ov.id = s.id),
+m AS (SELECT *, fl = 'N' AS closed, fl NOT IN ('A', 'N') OR k = 2 AS unsure, fl = 'A' AND k = 1 AS likely, CASE WHEN trust >= 0.45 THEN smile END AS expr FROM f),
+sc AS (SELECT *, {SCORE_SQL.replace("+ 0.0 +", "+ (0.25 * sharpness + 0.1 + 0.1 * coalesce(expr, smile, 0.5)) +")} AS score, thumb IS NOT NULL AS ok, thumb IS NOT NULL AND coalesce(user_said <> 'REMOVE', true) AS able FROM m),
+el AS (SELECT *, row_number() OVER (PARTITION BY moment_id ORDER BY is_kept DESC, score DESC, id) AS r, count(*) OVER (PARTITION BY moment_id) AS n FROM sc WHERE able),
+b AS (SELECT moment_id, id AS best_id, score AS best_score, sharpness AS best_sharp, phash AS best_phash, sha256 AS best_sha, likely AS best_likely, expr AS best_expr, n FROM el WHERE r = 1),
+s2 AS (SELECT moment_id, max(score) AS second FROM el WHERE r > 1 GROUP BY moment_id),
+kp AS (SELECT moment_id, sha256, id AS keeper_id FROM (SELECT el.*, row_number() OVER (PARTITION BY el.moment_id, sha256 ORDER BY is_kept DESC, (el.id = b.best_id) DESC, el.id) AS q, count(*) OVER (PARTITION BY el.moment_id, sha256) AS c FROM el JOIN b ON b.moment_id = el.moment_id) WHERE c > 1 AND q = 1),
+j AS (SELECT sc.*, b.* EXCLUDE (moment_id), kp.keeper_id, best_score - coalesce(s2.second, 0.0) AS gap, coalesce(bit_count(xor(CAST('0x' || phash AS UBIGINT), CAST('0x' || best_phash AS UBIGINT))) <= 8, false) AS close
+ FROM sc LEFT JOIN b ON b.moment_id = sc.moment_id LEFT JOIN s2 ON s2.moment_id = sc.moment_id LEFT JOIN kp ON kp.moment_id = sc.moment_id AND kp.sha256 = sc.sha256),
+d AS (SELECT *, abs(gap) <= 0.025 AS tied, CASE WHEN best_id IS NULL AND NOT is_kept THEN 1 WHEN is_kept THEN 2 WHEN NOT ok THEN 3 WHEN id = keeper_id THEN 4 WHEN keeper_id IS NOT NULL THEN 5 WHEN n = 1 AND sharpness < 0.2 THEN 6 WHEN id = best_id THEN 7
+ WHEN sha256 = best_sha THEN 8 WHEN closed AND close THEN 9 WHEN unsure THEN 10 WHEN close AND sharpness + 0.05 < best_sharp THEN 11 ELSE 12 END AS rule FROM j),
+o AS (SELECT *, list_filter(list_concat(CASE WHEN rule IN (1, 3) THEN ['TechnicalUnavailable'] WHEN rule = 2 THEN ['KeptByUser'] WHEN rule = 4 THEN ['ExactDuplicate', 'BestOfGroup'] WHEN rule IN (5, 8) THEN ['ExactDuplicate'] WHEN rule = 6 THEN ['NoBetterAlternative']
+ WHEN rule = 7 THEN [CASE WHEN n = 1 THEN 'UniqueMoment' WHEN tied THEN 'CloseComparison' ELSE 'BestOfGroup' END, CASE WHEN likely THEN 'AllEyesLikelyOpen' END, 'StrongFaceSharpness', CASE WHEN expr IS NOT NULL THEN 'StrongerExpression' END, CASE WHEN exposure BETWEEN 0.25 AND 0.85 THEN 'GoodExposure' END]
+ WHEN rule = 9 THEN ['PossibleClosedEyes', 'StrongerAlternative'] WHEN rule = 10 THEN ['EyeStateUncertain', 'CloseComparison'] WHEN rule = 11 THEN ['StrongerAlternative', 'SharpestInGroup']
+ ELSE [CASE WHEN close THEN 'CloseComparison' ELSE 'UniqueMoment' END, CASE WHEN sharpness < best_sharp THEN 'SharpestInGroup' END, CASE WHEN coalesce(expr, 1.0) < coalesce(best_expr, 0.0) THEN 'LowerExpression' END] END,
+ [CASE WHEN best_id IS NOT NULL AND (highlight > 0.15 OR shadow > 0.3) THEN 'ExposureProblem' END]), lambda x: x IS NOT NULL) AS code FROM d)
+SELECT id AS photo_id, coalesce(user_said, CASE WHEN rule IN (2, 4, 7) THEN 'KEEP' WHEN rule IN (5, 8) THEN 'REMOVE' WHEN rule = 9 AND best_likely THEN 'REMOVE' ELSE 'REVIEW' END) AS decision,
+ round(CASE WHEN user_said IS NOT NULL THEN 1.0 WHEN rule IN (1, 3) THEN 0.0 WHEN rule IN (2, 4, 5, 8) THEN 1.0 WHEN rule IN (6, 12) THEN 0.55 WHEN rule = 7 THEN least(CASE WHEN tied THEN 0.62 WHEN gap >= 0.06 THEN 0.65 + greatest(0.0, least(0.3, gap * 2.0)) ELSE 0.7 END, 0.95)
+  WHEN rule = 9 THEN CASE WHEN best_likely THEN 0.82 ELSE 0.6 END WHEN rule = 10 THEN 0.65 ELSE 0.58 END, 6) AS confidence,
+ array_to_string(code, ',') AS codes, CASE WHEN rule = 5 THEN keeper_id WHEN rule >= 8 THEN best_id END AS compared_to, CASE WHEN id = best_id AND n > 1 THEN n END AS best_of_group,
+ CASE WHEN user_said IS NOT NULL THEN 'Kept by you' ELSE array_to_string(list_transform(code, lambda x: {SAID_SQL}), '; ') END AS said FROM o""")
 def recommendations_with_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a face in each photo and the users' overrides."""
     metrics = face.metrics(ad.faces(spark, sf_dir, "id")).withColumnRenamed("photo_id", "id")

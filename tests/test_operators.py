@@ -500,3 +500,24 @@ def test_data_addresses_have_no_breaks(spark):
     raw = bytes(range(256)) * 3
     got = spark.createDataFrame([(raw,)], "content binary").select(data_url().alias("u")).first()["u"]
     assert got == "data:image/jpeg;base64," + base64.b64encode(raw).decode()
+
+
+def test_openness_and_sharpness_of_a_region_against_plain_loops():
+    import numpy as np
+
+    from argentum.operators import images
+
+    rng = np.random.default_rng(3)
+    gray = rng.integers(0, 256, (40, 50)).astype(np.uint8)
+    g = gray.astype(int)
+    for cx, cy, radius in ((20, 20, 6.4), (1, 1, 4), (49, 38, 5), (25.5, 10.2, 0.1)):
+        r = max(1, round(radius))
+        apart = [abs(g[y - 1][x] - g[y + 1][x]) for y in range(max(1, round(cy) - r), min(39, round(cy) + r)) for x in range(max(0, round(cx) - r), min(50, round(cx) + r))]
+        assert abs(images.openness(gray, cx, cy, radius) - min(1, sum(apart) / len(apart) / 64)) < 1e-9
+    assert images.openness(gray, 90, 90, 3) is None
+    quiet = (100 + rng.integers(0, 9, (40, 50))).astype(np.uint8)
+    q = quiet.astype(int)
+    v = [q[y - 1][x] + q[y + 1][x] + q[y][x - 1] + q[y][x + 1] - 4 * q[y][x] for y in range(6, 19) for x in range(11, 24)]
+    mean = sum(v) / len(v)
+    assert abs(images.region_sharpness(quiet, 10, 5, 15, 15) - min(1, sum((x - mean) ** 2 for x in v) / len(v) / 1000)) < 1e-9
+    assert images.region_sharpness(quiet, 45, 5, 15, 15) is None and images.region_sharpness(quiet, 0, 0, 7, 20) is None
