@@ -16,7 +16,9 @@ from argentum.llm.words import Words
 #: Pieces in a generation of the cache.
 CACHE = 250_000
 LONG = 64
-_MARK = np.isin(np.arange(256), [44, 46])
+#: Marks that the pre-tokenizer takes together as a run; without those of contractions and special tokens.
+_MARK = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&()*+,-./:;=?@[]^_{}~", np.uint8))
+MARKS = 16
 _ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 _held: dict[str, "Pieces"] = {}
 
@@ -81,12 +83,18 @@ class Pieces:
         words = Words(pa.array([lowered(t) for t in texts], pa.large_string()))
         if not len(words):
             return [b""] * len(texts)
-        # A comma or full stop after a letter or digit, at a piece's end, is a run of its own.
-        body = words.end - 1
-        cuts = (words.end - words.start > 1) & _MARK[words.data[body]] & _ALNUM[words.data[body - 1]]
-        cuts = np.flatnonzero(cuts)
-        words.start = np.insert(words.start, cuts + 1, body[cuts])
-        words.end = np.insert(words.end, cuts, body[cuts])
+        # Marks after a letter or digit, at a piece's end, are a run of their own.
+        size, marks, some = words.end - words.start, np.zeros(len(words), np.int64), np.arange(len(words))
+        for j in range(1, MARKS + 1):
+            some = some[size[some] > j]
+            some = some[_MARK[words.data[words.end[some] - j]]]
+            marks[some] = j
+        cuts = np.flatnonzero(marks)
+        at = words.end[cuts] - marks[cuts]
+        own = _ALNUM[words.data[at - 1]]
+        cuts, at = cuts[own], at[own]
+        words.start = np.insert(words.start, cuts + 1, at)
+        words.end = np.insert(words.end, cuts, at)
         words.of = np.searchsorted(words.start, words.bounds)
         cache, raw = self.cache, words.data.tobytes()
         h = words.hashes()
