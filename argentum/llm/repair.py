@@ -109,10 +109,15 @@ def compress(ids: np.ndarray, breaks: np.ndarray, least: int = 8) -> tuple[np.nd
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each rule expands to; rules refer to earlier rules only."""
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
-    return np.array(out, np.int64)
+    out, left = np.zeros(len(rules), np.int64), np.arange(len(rules))
+    while len(left):  # as many times as rules are nested
+        both = sizes(rules[left].ravel(), out, base).reshape(-1, 2)
+        known = both.all(1)
+        if not known.any():
+            raise ValueError("rules that refer to later ones")
+        out[left[known]] = both[known].sum(1)
+        left = left[~known]
+    return out
 
 
 def sizes(seq: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
