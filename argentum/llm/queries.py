@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.llm import audio, byte_bpe, fm_dedup, lbl, neardup, oracles, packing, repair, suffix_dedup, syncmers, toxicity
-from argentum.llm.session import documents
+from argentum.llm import alignment, audio, byte_bpe, conversations, fm_dedup, lbl, neardup, oracles, packing, repair, suffix_dedup, syncmers, token_counts, toxicity
+from argentum.llm.session import documents, ship
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,24 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.with_edited(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_ids, op3_log_bilinear, op4_fm_index, op5_byte_bpe, op6_best_fit, op7_near_duplicates, op8_audio_features, op9_toxicity, op10_syncmers)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest edits of all conversations after damage."""
+    rows = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    found = conversations.repair(conversations.damage(rows), live="live", copies="copies")
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of tokens of all documents."""
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens by two tokenizers, aligned by their bytes, with corpus-wide counts of linked pairs."""
+    return alignment.align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_ids, op3_log_bilinear, op4_fm_index, op5_byte_bpe, op6_best_fit, op7_near_duplicates, op8_audio_features, op9_toxicity, op10_syncmers, op11_conversation_repair, op12_token_counts, op13_token_alignment)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": oracles.SUFFIX_DEDUP, "op4_fm_index": oracles.FM_DEDUP, "op7_near_duplicates": oracles.NEAR_DUPLICATES}
