@@ -21,9 +21,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from argentum.llm.session import cut
+from argentum.llm.session import cut, place
 
 RATE = 8000
 BLOCK = 64
@@ -192,18 +192,20 @@ def as_tensor(column: pa.Array) -> pa.Array:
 
 
 def write_tensors(features: DataFrame, path: str) -> None:
-    """Writes doc_id, tensors and spans as a table of Arrow streams, one for each batch: columns rows, data."""
+    """Writes features, their tensors of fixed shape, as a table of Arrow streams, one for each batch: columns rows, data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                table = pa.table({"doc_id": batch.column(0), "tensor": as_tensor(batch.column(1)), "span_start_ms": batch.column(2), "span_end_ms": batch.column(3)})
+                table = pa.Table.from_batches([batch])
+                at = table.schema.get_field_index("tensor")
+                table = table.set_column(at, "tensor", as_tensor(table.column(at)))
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema) as stream:
                     stream.write_table(table)
                 yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows", "data"])
 
-    features.select("doc_id", "tensor", "span_start_ms", "span_end_ms").mapInArrow(run, "rows long, data binary").write.parquet(path)
+    features.mapInArrow(run, "rows long, data binary").write.option("compression", "zstd").parquet(path)
 
 
 def read_tensors(data: bytes) -> pa.Table:
@@ -211,6 +213,25 @@ def read_tensors(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """The features that write_tensors wrote, tensors as arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                table = read_tensors(data)
+                at = table.schema.get_field_index("tensor")
+                tensor = table.column(at)
+                if tensor.type != pa.fixed_shape_tensor(pa.float32(), (COLUMNS, MELS)):
+                    raise ValueError(f"tensors of {tensor.type}")
+                flat = pa.concat_arrays([c.storage for c in tensor.chunks]).cast(pa.list_(pa.float32()))
+                yield from table.set_column(at, "tensor", flat).to_batches()
+
+    return spark.read.schema("data binary").parquet(path).mapInArrow(run, FEATURES)
+
+
 def audio_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) stored as a media table, which is read back and analysed."""
-    return analyse(cut(store(docs), "media", compression="zstd"))
+    """(doc_id, text) stored as a media table, which is read back and analysed; features are stored as tensors and read back."""
+    path = place(docs.sparkSession, "tensors")
+    write_tensors(analyse(cut(store(docs), "media", compression="zstd")), path)
+    return read_features(docs.sparkSession, path)

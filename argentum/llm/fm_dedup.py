@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from argentum.llm import repeats
-from argentum.llm.repeats import PART, RANGES, STRINGS, Slice, choose, covered, cuts, dealt, gather, messages, ordered, pack, ranges, several, to_itself, unpack
+from argentum.llm.repeats import PART, TEXT_HASH, RANGES, STRINGS, Slice, choose, covered, cuts, dealt, gather, messages, ordered, pack, ranges, several, to_itself, unpack
 from argentum.llm.words import Words, grams, mix, powers
 
 WINDOW, GRAM = 13, 7
@@ -196,9 +196,8 @@ def search(table: pa.Table, window: int = WINDOW) -> pa.Table:
     place, size, known, ids = (np.concatenate([g[k] for g in got]) for k in range(4))
     place, size = place.astype(np.int64), size.astype(np.int64)
     part = np.repeat(table.column("part").to_numpy(), [len(g[0]) for g in got])
-    hashes = np.concatenate([Words(strings(g[4], g[5])).hashes() for g in got])
-    words = np.unique(hashes, return_inverse=True)[1].astype(np.int32)
-    del got, hashes
+    words = Words(strings(np.concatenate([g[4] for g in got]), np.concatenate([g[5] for g in got]))).numbers()[1].astype(np.int32)
+    del got
     # Documents by number: those without an id first.
     by = np.lexsort((ids, known))
     document = np.empty(len(ids), np.uint32)
@@ -261,7 +260,7 @@ def fm_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> Dat
         h = w.hashes()
         return gather(h, w.of, repeats.sliced(h, w.of, lambda some: grams(some, GRAM), GRAM, window), window)
 
-    narrow = parts.select("doc_id", "text", PART)
+    narrow = parts.select("doc_id", "text", TEXT_HASH, PART)
     heard = several(narrow, runs)
 
     def send(table: pa.Table, received: pa.Table) -> pa.Table:

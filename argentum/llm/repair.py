@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from argentum.llm.byte_bpe import gathered
-from argentum.llm.repeats import PART, dealt
+from argentum.llm.repeats import PART, TEXT_HASH, dealt
 from argentum.llm.session import place
 from argentum.llm.word_tokens import pieces
 
@@ -185,8 +185,8 @@ SHARD = "shard int, piece int, first_id long, last_id long, n_docs long, n_ids l
 def write_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, shard_ids: int = 1 << 19) -> None:
     """Writes ids of all documents (doc_id, text), ascending by doc_id, as a table of shard files in `path`.
 
-    One exchange by ranges of doc_id, whose limits come from that column alone; a shard's memory is bounded by `shard_ids` (a longer
-    document is a shard of its own). Nulls count as empty texts, rows with equal ids are ordered by text,
+    One exchange by ranges of doc_id, whose limits come from the sizes of all texts; a shard's memory is bounded by `shard_ids` (a longer
+    document is a shard of its own). Nulls count as empty texts, rows with equal ids are ordered by the text's hash, then the text,
     null first; rows without doc_id come first.
     """
     vocabulary = os.fspath(vocabulary)
@@ -204,7 +204,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, shar
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary()), strict=True)], ["shard", "piece", "first_id", "last_id", "n_docs", "n_ids", "doc_ids", "data"])
 
         for own, texts in gathered(batches):
-            for (key, of), ids in zip(own, encoder.encode(texts), strict=True):
+            for (key, _, of), ids in zip(own, encoder.encode(texts), strict=True):
                 ids += end
                 if size and (of != part or size + len(ids) // 4 > shard_ids):
                     yield shard()
@@ -217,7 +217,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, shar
             yield shard()
 
     parts, _ = dealt(docs.select("doc_id", "text"))
-    parts.select("doc_id", "text", PART).sortWithinPartitions(PART, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(run, SHARD).write.parquet(path)
+    parts.select("doc_id", "text", TEXT_HASH, PART).sortWithinPartitions(PART, F.col("doc_id").asc_nulls_first(), TEXT_HASH, F.col("text").asc_nulls_first()).mapInArrow(run, SHARD).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -23,14 +23,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from argentum.llm.session import cut
 from argentum.llm.words import _BASE, _MASK, inside, mix, powers
-from argentum.operators.ordered import bounds, position
+from argentum.operators.ordered import bounds, numbers, position
 
-PART = "_argentum_part"
+PART, TEXT_HASH = "_argentum_part", "_argentum_hash"
 #: Runs of an anchor beyond which its windows are sent one by one.
 HOT = 1 << 14
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -236,35 +236,37 @@ def covered(received: pa.Table, window: int, total: int) -> np.ndarray:
 
 
 def dealt(docs: DataFrame, each: int = 10 << 20) -> tuple[DataFrame, int]:
-    """docs with a part number that grows with (doc_id, text), null first, dealt by it, and the number of parts.
+    """docs with a part number (PART) and a hash of the text (TEXT_HASH), dealt by the part, and the number of parts.
 
-    A part has about `each` bytes, by the sizes of all texts. Where the rows of one doc_id (or those without one) have
-    more, they are cut by the first bytes of their texts.
+    Parts grow with (doc_id, hash), doc_id null first, and have about `each` bytes by the sizes of all texts. A doc_id with more
+    than that (or the rows without one) has as many parts as it needs, by equal shares of the hash's values; all such ids are found by one job.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    prefix = F.conv(F.rpad(F.hex(F.substring(raw, 1, 7)), 14, "0"), 16, 10).cast("long")
-    narrow = cut(docs.select("doc_id", F.octet_length(raw).cast("long").alias("size"), prefix.alias("prefix")), "sizes")
+    narrow = cut(docs.select("doc_id", F.octet_length(raw).cast("long").alias("size")), "sizes")
     total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n = max(1, -(-total // each))
+    docs = docs.withColumn(TEXT_HASH, F.xxhash64(raw))
     if n == 1:
         return docs.withColumn(PART, F.lit(0)).repartition(1, PART), 1
     heavy = narrow.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).filter((F.col("size") > each) & (F.col("rows") > 1)).select("doc_id", "size").collect()  # fewer than parts
-    within = {r["doc_id"]: bounds(narrow.filter(F.col("doc_id").eqNullSafe(F.lit(r["doc_id"]).cast("long"))), "prefix", -(-r["size"] // each)) for r in heavy}
-    found = sorted({*bounds(narrow.filter("doc_id is not null"), "doc_id", n), *(k + i for k in within if k is not None for i in (0, 1) if k + i < 1 << 63)})
-    base = len(within.get(None, []))
-    part: Column = position(F.col("doc_id"), found) + base
-    for k, cuts in sorted((k, c) for k, c in within.items() if k is not None):
-        part = part + F.when(F.col("doc_id") > k, len(cuts)).when(F.col("doc_id") == k, position(prefix, cuts)).otherwise(0)
-    part = F.when(F.col("doc_id").isNull(), position(prefix, within.get(None, []))).otherwise(part).cast("int")
-    parts = len(found) + 1 + sum(map(len, within.values()))
-    return docs.withColumn(PART, part).repartition(parts, PART), parts
+    shares = {r["doc_id"]: -(-r["size"] // each) for r in heavy}
+    alone = sorted(k for k in shares if k is not None)
+    found = sorted({*bounds(narrow.filter("doc_id is not null"), "doc_id", n), *(k + i for k in alone for i in (0, 1) if k + i < 1 << 63)})
+    # Ranges of doc_id: first those without one, then those between the cuts; a range is one part, or the shares of its doc_id.
+    width = np.ones(len(found) + 2, np.int64)
+    width[0] = shares.get(None, 1)
+    width[np.searchsorted(found, alone, "right") + 1] = [shares[k] for k in alone]
+    first = np.cumsum(width) - width
+    spot = F.when(F.col("doc_id").isNull(), 0).otherwise(position(F.col("doc_id"), found) + 1)
+    share = F.shiftright(F.shiftrightunsigned(F.col(TEXT_HASH).bitwiseXOR(F.lit(-(1 << 63))), 33) * F.element_at(numbers(width.tolist()), spot + 1), 31)
+    return docs.withColumn(PART, (F.element_at(numbers(first.tolist()), spot + 1) + share).cast("int")).repartition(int(width.sum()), PART), int(width.sum())
 
 
 def ordered(table: pa.Table) -> pa.Table:
-    """A part's documents by doc_id, null first; of equal ids by text, so that a repeated run sees the same order."""
+    """A part's documents by doc_id, null first; of equal ids by the text's hash and the text, so that a repeated run sees the same order."""
     import pyarrow.compute as pc
 
-    at = pc.sort_indices(table.select(["doc_id", "text"]), sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
+    at = pc.sort_indices(table.select(["doc_id", TEXT_HASH, "text"]), sort_keys=[("doc_id", "ascending"), (TEXT_HASH, "ascending"), ("text", "ascending")], null_placement="at_start")
     return table.take(at)
 
 

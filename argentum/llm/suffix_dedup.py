@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from argentum.llm import repeats
-from argentum.llm.repeats import PART, RANGES, STRINGS, Chosen, Runs, Slice, byte_grams, choose, covered, dealt, gather, messages, ordered, pack, ranges, several, to_itself, unpack
+from argentum.llm.repeats import PART, TEXT_HASH, RANGES, STRINGS, Chosen, Runs, Slice, byte_grams, choose, covered, dealt, gather, messages, ordered, pack, ranges, several, to_itself, unpack
 from argentum.llm.words import buffers
 
 LENGTH, GRAM = 100, 32
@@ -233,7 +233,7 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = Fal
     """
     rows = docs.select("doc_id", "text") if digest else docs
     parts, buckets = dealt(rows.withColumn("doc_id", rows["doc_id"].cast("long")))  # a bucket holds about what one part sends
-    narrow = parts.select("doc_id", "text", PART)
+    narrow = parts.select("doc_id", "text", TEXT_HASH, PART)
     heard = several(narrow, lambda table: read_runs(table, length))
 
     def send(table: pa.Table, received: pa.Table) -> pa.Table:

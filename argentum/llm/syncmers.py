@@ -1,7 +1,7 @@
 """Document fingerprints from closed syncmers (operator 10), with DataFrame functions only.
 
-Units are words, or code points where a text has fewer than k words, as in scripts without blanks;
-k successive units form a k-mer, s successive ones an s-mer. A k-mer is a closed syncmer if the least of its s-mers is
+Units are words; in scripts without blanks, in words of more than LONG code points and where a text
+has fewer than k units, code points. What is a unit depends on the word alone but for such short texts; k successive units form a k-mer, s successive ones an s-mer. A k-mer is a closed syncmer if the least of its s-mers is
 the first or the last one. Whether it is depends on nothing outside the k-mer, so a passage
 selects the same anchors wherever it stands. The fingerprint keeps the least `size` hashes of
 anchors (a bottom sketch); the likeness of two is the share of common hashes among the least
@@ -25,6 +25,10 @@ from argentum.llm.session import parts_for
 from argentum.operators.ordered import bounds, position
 
 K, S, SIZE = 5, 3, 128
+#: Code points of the longest word that is one unit.
+LONG = 32
+#: Scripts that put no blanks between words.
+SCRIPTS = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 #: Hexadecimal digits of a hash in a fingerprint.
 DIGITS = 12
 #: Most ranges whose first keys are broadcast.
@@ -55,9 +59,14 @@ def selected(hashes: Column, k: int, s: int) -> Column:
 
 
 def units(text: Column, k: int = K) -> Column:
-    """Words, or code points of a text with fewer than k words (blanks at its ends don't count); one empty string for none."""
-    words = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")), r"[\x09-\x0D ]+")
-    return let(words, lambda w: F.when((F.size(w) < k) & (F.get(w, F.lit(0)) != ""), F.regexp_extract_all(F.array_join(w, " "), F.lit("(?s)."), F.lit(0))).otherwise(w))
+    """Words, and code points where there are no blanks (see the module); one empty string for none."""
+    points = lambda t: F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    own = F.regexp_extract_all(trimmed, F.lit(rf"[{SCRIPTS}]|[^{SCRIPTS}\x09-\x0D ]+"), F.lit(0))
+    words = F.when(trimmed.rlike(f"[{SCRIPTS}]"), own).otherwise(F.split(trimmed, r"[\x09-\x0D ]+"))
+    long = lambda w: F.length(w) > LONG
+    words = let(words, lambda w: F.when(F.exists(w, long), F.flatten(F.transform(w, lambda x: F.when(long(x), points(x)).otherwise(F.array(x))))).otherwise(w))
+    return let(words, lambda w: F.when((F.size(w) < k) & (F.get(w, F.lit(0)) != ""), points(F.array_join(w, " "))).otherwise(w))
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:

@@ -17,14 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from argentum.llm.session import cut
 from argentum.llm.words import Words, mix
 
 BITS = 21
 #: Most labelled documents that the classifier is fitted on.
 SAMPLE = 8000
+#: Bytes of their features together; documents of the sample beyond aren't learned from.
+SAMPLE_BYTES = 256 << 20
 #: Documents of the sample that a feature must occur in; rarer ones identify single documents.
 SUPPORT = 3
 #: What a document of label 1 counts for against one of label 0.
@@ -139,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, folds: int = 5
     """Fits on at most `most` labelled documents outside the held-out fold.
 
     The sample is chosen from labels (small rows, top `most` by hash); its documents are then
-    found by a join against that bounded table, and their features, not texts, go to the driver.
+    found by a join against that bounded table, and their features, not texts, go to the driver:
+    of rows that share a doc_id those of the least text, and in the sample's order as many as SAMPLE_BYTES holds.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(folds=folds))
     known = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
@@ -153,7 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, folds: int = 5
                 rows = [slots[x:y].astype("<i4").tobytes() for x, y in zip(of[:-1], of[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array(rows, pa.binary()), some.column(2)], ["doc_id", "slots", "label"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, slots binary, label int").toArrow()  # bounded
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    made = cut(texts.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, slots binary, label int"), "features")
+    upto = F.sum(F.octet_length("slots").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over at most `most` rows
+    found = made.join(F.broadcast(made.select("doc_id", upto.alias("upto")).filter(F.col("upto") <= SAMPLE_BYTES)), "doc_id").select("doc_id", "slots", "label").toArrow()
     rows = sorted(((hash_order(i), i, s, int(y > 0)) for i, s, y in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True)))
     del found
     return calibrated([(np.frombuffer(s, "<i4"), y) for _, _, s, y in rows], bits)

@@ -97,13 +97,7 @@ class Pieces:
         words.end = np.insert(words.end, cuts, at)
         words.of = np.searchsorted(words.start, words.bounds)
         cache, raw = self.cache, words.data.tobytes()
-        h = words.hashes()
-        order = np.argsort(h)
-        h = h[order]
-        new_ = np.ones(len(h), bool)
-        new_[1:] = h[1:] != h[:-1]
-        first, inverse = order[new_], np.empty(len(h), np.int64)
-        inverse[order] = np.cumsum(new_) - 1
+        first, inverse = words.numbers()
         distinct = [raw[a:b].decode() for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
         # Two generations: what is looked up again moves from the old one to the new one.
         if len(cache) > CACHE:

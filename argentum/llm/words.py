@@ -15,6 +15,8 @@ _LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+#: The first n bytes of a little-endian block.
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,23 +83,53 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
+    def blocks(self) -> np.ndarray:
+        """The eight bytes from each place on, zeros behind the last."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        return np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes and length."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
+        """A 64-bit hash of each word's bytes and length: its blocks of eight bytes are mixed one by one, then their sum."""
         size = self.end - self.start
-        power = powers(int(size.max()))
-        out = np.empty(len(self.start), np.uint64)
-        step = 1 << 18  # words at a time, so that temporary arrays stay small
+        out, blocks = np.empty(len(size), np.uint64), self.blocks()
+        step = 1 << 17  # words at a time, so that temporary arrays stay small
         for a in range(0, len(out), step):
-            b = min(a + step, len(out))
-            s, k = self.start[a:b], size[a:b]
-            first = np.cumsum(k) - k
-            at = np.arange(int(k.sum())) - np.repeat(first, k)
-            value = (self.data[at + np.repeat(s, k)].astype(np.uint64) + np.uint64(1)) * power[at]
-            out[a:b] = np.add.reduceat(value, first)
+            s, k = self.start[a : a + step], size[a : a + step]
+            n = (k + 7) >> 3
+            first = np.cumsum(n) - n
+            j = np.arange(int(n.sum())) - np.repeat(first, n)
+            value = blocks[np.repeat(s, n) + 8 * j] & _TAIL[np.minimum(np.repeat(k, n) - 8 * j, 8)]
+            out[a : a + step] = np.add.reduceat(mix(value ^ mix(j.astype(np.uint64) + np.uint64(_BASE))), first)
         return mix(out ^ (size.astype(np.uint64) << np.uint64(56)))
 
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words a and b have the same bytes, pair by pair."""
+        size, blocks = self.end[a] - self.start[a], self.blocks()
+        out = size == self.end[b] - self.start[b]
+        live, at = np.flatnonzero(out), 0
+        while len(live):
+            x, y, k = self.start[a[live]] + at, self.start[b[live]] + at, size[live] - at
+            ok = (blocks[x] ^ blocks[y]) & _TAIL[np.minimum(k, 8)] == 0
+            out[live[~ok]] = False
+            live, at = live[ok & (k > 8)], at + 8
+        return out
+
+    def numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first, number): the different words by one place of each, and which one each word is. Bytes decide, hashes only group."""
+        h = self.hashes()
+        order = np.argsort(h)
+        h = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        first, number = order[new], np.empty(len(h), np.int64)
+        number[order] = np.cumsum(new) - 1
+        odd = np.flatnonzero(~self.same(np.arange(len(h)), first[number])) if len(h) else first
+        if len(odd):  # words that share another one's hash
+            found: dict[bytes, int] = {}
+            number[odd] = [found.setdefault(self.text(i, i + 1), len(first) + len(found)) for i in odd.tolist()]
+            first = np.concatenate([first, odd[np.unique(number[odd], return_index=True)[1]]])
+        return first, number
+
     def doc(self) -> np.ndarray:
         """The row in the batch of each word."""
         return np.repeat(np.arange(self.count), np.diff(self.of))

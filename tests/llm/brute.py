@@ -3,13 +3,26 @@
 import hashlib
 import re
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
+def signed(text):
+    """Spark's xxhash64 of a text."""
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (h >> 63 << 64)
+
+
 def order(docs):
-    """(doc_id, text) by doc_id, null first, then text."""
-    return sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, d[1] or ""))
+    """(doc_id, text) by doc_id, null first, then the text's hash, then text."""
+    return sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, signed(d[1]), d[1] is not None, d[1] or ""))
+
+
+def by_text(docs):
+    """(doc_id, text) by doc_id, null first, then text, null as empty."""
+    return sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
 
 
 def bytes_left(docs, length=100):

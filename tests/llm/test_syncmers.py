@@ -3,6 +3,7 @@
 import random
 import re
 
+import regex
 import xxhash
 
 from argentum.llm import syncmers
@@ -10,6 +11,7 @@ from argentum.llm.session import ship
 from tests.llm import brute
 from tests.llm.data import corner_docs, frame
 
+SCRIPTS = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 MASK = (1 << 64) - 1
 
 
@@ -28,6 +30,8 @@ def signed(x):
 def prints(text, k=syncmers.K, s=syncmers.S):
     """The least hashes of k-mers whose least s-mer is the first or the last one."""
     w = [x for x in re.split(r"[\x09-\x0D ]+", (text or "").strip(" \t\n\x0b\x0c\r")) if x]
+    w = [y for x in w for y in regex.findall(rf"[{SCRIPTS}]|[^{SCRIPTS}]+", x)]
+    w = [y for x in w for y in (x if len(x) > syncmers.LONG else [x])]
     if 0 < len(w) < k:
         w = list(" ".join(w))
     found = set()
@@ -51,10 +55,10 @@ def text_of(hashes):
 
 def test_fingerprints_against_a_plain_restatement(spark):
     ship(spark)
-    docs = [*corner_docs(), (80, "漢字だけの文は空白なしで続く" * 30), (81, "one two three"), (82, "1234"), (83, "a b c d e f")]
-    texts = [t or "" for _, t in brute.order(docs)]
+    docs = [*corner_docs(), (80, "漢字だけの文は空白なしで続く" * 30), (81, "one two three"), (82, "1234"), (83, "a b c d e f"), (84, "mixed 漢字とカナ text ไทย and x漢y " * 9), (85, "z" * 33 + " one " + "q" * 32)]
+    texts = [t or "" for _, t in brute.by_text(docs)]
     want = []
-    for (key, _), text, after in zip(brute.order(docs), texts, texts[1:] + texts[:1], strict=True):
+    for (key, _), text, after in zip(brute.by_text(docs), texts, texts[1:] + texts[:1], strict=True):
         cut = len(text) // 4
         edited = text[: len(text) - cut] + after[:cut]
         a, b, n = prints(text), prints(edited), prints(after)
@@ -71,6 +75,18 @@ def test_texts_without_blanks_stay_alike(spark):
     assert got[1]["near_edited"] > 0.4 and got[1]["near_next"] < 0.1
 
 
+def test_lines_without_blanks_stay_alike(spark):
+    """Texts of several long lines: words are lines there."""
+    ship(spark)
+    rng, docs = random.Random(2), []
+    for n in (5, 6, 8, 12, 20):
+        for low, high in ((0x4E00, 0x5E00), (0x61, 0x7B)):
+            docs += [(1000 * n + low + i, "\n".join("".join(chr(rng.randrange(low, high)) for _ in range(50)) for _ in range(n))) for i in range(2)]
+    docs.sort()
+    got = {r["doc_id"]: r for r in syncmers.with_edited(frame(spark, docs)).collect()}
+    assert min(r["near_edited"] for r in got.values()) > 0.4 and max(r["near_next"] for r in got.values()) < 0.2
+
+
 def test_fingerprints_alone(spark):
     ship(spark)
     got = {(str(r["doc_id"]), r["n_chars"], r["fingerprint"]) for r in syncmers.fingerprints(frame(spark, corner_docs())).collect()}
