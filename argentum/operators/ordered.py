@@ -32,6 +32,11 @@ def bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     return found if len(found) < parts else [found[i * (len(found) + 1) // parts - 1] for i in range(1, parts)]
 
 
+def numbers(some: list[int]) -> Column:
+    """A constant array, one text in the plan."""
+    return F.split(F.lit(",".join(map(str, some))), ",").cast("array<bigint>")
+
+
 def position(key: Column, cuts: list[int]) -> Column:
     """How many cuts are at most the key: a balanced tree of comparisons, or for many cuts two look-ups in constant arrays."""
 
@@ -44,7 +49,6 @@ def position(key: Column, cuts: list[int]) -> Column:
     if len(cuts) <= FEW:
         return tree(0, len(cuts))
     step = round(len(cuts) ** 0.5)
-    numbers = lambda some: F.split(F.lit(",".join(map(str, some))), ",").cast("array<bigint>")
     upto = lambda array: F.size(F.filter(array, lambda c: c <= key))
     first = F.greatest(upto(numbers(cuts[::step])) - 1, F.lit(0)) * step
     return F.element_at(F.transform(F.array(first), lambda i: i + upto(F.slice(numbers(cuts), i + 1, F.lit(step)))), 1)
