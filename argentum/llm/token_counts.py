@@ -41,15 +41,18 @@ def byte_names() -> list[str]:
 
 
 class Kept(dict):
-    """Results of a function by its text; short texts stay until there are too many."""
+    """Results of a function by its text, in two generations: what is asked for again moves from the old one to the new one."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, text: str) -> int:
-        n = self.make(text)
+        n = self.old.get(text)
+        if n is None:
+            n = self.make(text)
         if len(text) <= LONG:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
             self[text] = n
         return n
