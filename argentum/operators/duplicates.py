@@ -5,17 +5,16 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argentum.functions.scalar import hash_bits, signature, visual_match
 from argentum.operators.components import components
+from argentum.operators.metric import Hamming, near_pairs
 
 
-#: Values of a block, and the share of all pairs that a join by bands may list.
-BLOCK, SHARE = 1 << 14, 0.01
+#: The share of all pairs that a join by bands may list.
+SHARE = 0.01
 
 
 def near_values(hashes: DataFrame, distance: int) -> DataFrame:
@@ -23,12 +22,13 @@ def near_values(hashes: DataFrame, distance: int) -> DataFrame:
 
     Cut into n bands, some band of a near pair differs in at most distance/n bits. One side looks up
     its bands as they are, the other side all values of a band within that many bits. Where such an equi-join
-    would list more than a hundredth of all pairs, blocks of values are compared instead.
+    would list more than a hundredth of all pairs, blocks of values are compared instead, those that pivots don't rule out.
     """
     n = 4 if distance < 16 else 8
     width, radius = 64 // n, distance // n
     if n * sum(comb(width, r) for r in range(radius + 1)) > SHARE * (1 << width):
-        return _near_in_blocks(hashes, distance)
+        near = near_pairs(hashes.select(F.col("h").alias("id"), F.col("h").alias("value")), Hamming, distance)
+        return near.select(F.col("a").alias("g"), F.col("b").alias("h"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance"))
     masks = [0] + [sum(1 << i for i in c) for r in range(1, radius + 1) for c in combinations(range(width), r)]
     band = [F.shiftrightunsigned("h", width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(n)]
     named = hashes.select("h", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), b.alias("value")) for i, b in enumerate(band)])).alias("s")).select("h", "s.band", "s.value")
@@ -37,32 +37,6 @@ def near_values(hashes: DataFrame, distance: int) -> DataFrame:
     return named.join(probes, ["band", "value"]).filter((F.col("g") < F.col("h")) & (far <= distance)).select("g", "h", far.alias("distance")).distinct()
 
 
-def _near_in_blocks(hashes: DataFrame, distance: int) -> DataFrame:
-    """Each pair of blocks is one group, compared as packed numbers; only pairs that are near leave it."""
-    blocks = max(1, -(-hashes.count() // BLOCK))
-    own = F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int")
-    dealt = hashes.select("h", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-
-    def meet(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        h, block = table.column("h").to_numpy(), table.column("own").to_numpy()
-        x, y = h[block == i], h[block == j]
-        found = []
-        step = max(1, (1 << 22) // max(1, len(y)))
-        for a in range(0, len(x), step):
-            some = x[a : a + step]
-            apart = np.bitwise_count(some.view(np.uint64)[:, None] ^ y.view(np.uint64))
-            r, c = np.nonzero(apart <= distance)
-            ok = some[r] < y[c] if i == j else np.ones(len(r), bool)
-            r, c = r[ok], c[ok]
-            found.append((np.minimum(some[r], y[c]), np.maximum(some[r], y[c]), apart[r, c].astype(np.int32)))
-        g, h, d = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        return pa.table({"g": g, "h": h, "distance": d})
-
-    pairs = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h")
-    return pairs.groupBy("i", "j").applyInArrow(meet, "g long, h long, distance int")
-
-
 def near_hashes(rows: DataFrame, distance: int, key: str = "id", bits: str = "bits") -> DataFrame:
     """Links (a < b, distance) of rows whose 64-bit hashes are at most `distance` bits apart.
 

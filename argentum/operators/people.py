@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import acos
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,10 +11,10 @@ from pyspark.sql import functions as F
 
 from argentum.functions.scalar import dot, valid_vector
 from argentum.operators.components import components
+from argentum.operators.metric import Angle, near_pairs
 
 LINK, LEAST, MEAN = 0.60, 0.45, 0.50
 PIXELS = 40
-BLOCK = 2048
 
 
 def candidates(faces: DataFrame, signatures: DataFrame, photos: DataFrame, version: str, size: int = 128) -> DataFrame:
@@ -23,47 +25,26 @@ def candidates(faces: DataFrame, signatures: DataFrame, photos: DataFrame, versi
     return big.join(own, ["photo_id", "face_index"]).join(here, "photo_id").filter(valid_vector(F.col("vector"), size))
 
 
-def links(vectors: DataFrame, least: float = LINK, parts: int | None = None) -> DataFrame:
-    """Pairs (a < b, score) of different photos with a cosine of at least `least`. vectors: id, photo_id, vector (unit length).
+def links(vectors: DataFrame, least: float = LINK, **sizes: int) -> DataFrame:
+    """Pairs (a < b, score) of different photos whose vectors' product is at least `least` (above 0). vectors: id, photo_id, vector.
 
-    Blocks of vectors meet as matrices: each pair of blocks is one group, and only pairs that reach the limit leave it.
-    parts: number of blocks, else as many as blocks of 2 * BLOCK vectors take.
+    Vectors meet by their angles in a metric index; for vectors that aren't of unit length the angle is that of the longest two.
+    sizes: of the index.
     """
-    count = parts or max(1, -(-vectors.count() // (2 * BLOCK)))
-    block = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
-    rows = vectors.select("id", "photo_id", "vector", block.alias("own"))
-    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("other")).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "photo_id", "vector")
-    kind = vectors.schema["id"].dataType.simpleString()
-
-    def meet(f: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(f["i"].iloc[0]), int(f["j"].iloc[0])
-        x, y = f[f["own"] == i], f[f["own"] == j]
-        found = []
-        if len(x) and len(y):
-            right = np.stack(y["vector"].to_numpy()).astype(np.float64)
-            ids, photos = y["id"].to_numpy(), y["photo_id"].to_numpy()
-            for a in range(0, len(x), BLOCK):
-                some = x.iloc[a : a + BLOCK]
-                score = np.stack(some["vector"].to_numpy()).astype(np.float64) @ right.T
-                r, c = np.nonzero(score >= least - 1e-9)
-                p, q = some["id"].to_numpy()[r], ids[c]
-                ok = (some["photo_id"].to_numpy()[r] != photos[c]) & ((p < q) | (i != j))
-                found.append(pd.DataFrame({"a": np.minimum(p[ok], q[ok]), "b": np.maximum(p[ok], q[ok])}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}).astype(f["id"].dtype)
-
-    near = dealt.groupBy("i", "j").applyInPandas(meet, f"a {kind}, b {kind}")
+    squares = vectors.agg(F.max(dot(F.col("vector"), F.col("vector")))).first()[0] or 0.0
+    near = near_pairs(vectors.select("id", F.col("vector").alias("value")), Angle, acos(min(1.0, least / max(squares, 1e-300))), **sizes)
     # The score itself is summed in the order of the vector, the same on every machine.
-    one, two = vectors.select(F.col("id").alias("a"), F.col("vector").alias("x")), vectors.select(F.col("id").alias("b"), F.col("vector").alias("y"))
-    return near.join(one, "a").join(two, "b").select("a", "b", dot(F.col("x"), F.col("y")).alias("score")).filter(F.col("score") >= least)
+    one, two = vectors.select(F.col("id").alias("a"), F.col("photo_id").alias("p"), F.col("vector").alias("x")), vectors.select(F.col("id").alias("b"), F.col("photo_id").alias("q"), F.col("vector").alias("y"))
+    return near.join(one, "a").join(two, "b").filter("p <> q").select("a", "b", dot(F.col("x"), F.col("y")).alias("score")).filter(F.col("score") >= least)
 
 
-def groups(vectors: DataFrame, link: float = LINK, least: float = LEAST, mean: float = MEAN, parts: int | None = None, by: tuple[str, ...] = ("id",)) -> DataFrame:
+def groups(vectors: DataFrame, link: float = LINK, least: float = LEAST, mean: float = MEAN, by: tuple[str, ...] = ("id",)) -> DataFrame:
     """(person_key, id, photo_id, size): links from the strongest down join groups that share no photo, if no cross pair
     is under `least` and their mean reaches `mean`. Groups of one are left out.
 
     Groups never reach beyond a component of the links, so each component is resolved alone.
     """
-    edges = links(vectors, link, parts)
+    edges = links(vectors, link)
     parts_of = components(edges.select("a", "b"))
     rows = vectors.join(parts_of.withColumnRenamed("node", "id"), "id")
     kind, photo = vectors.schema["id"].dataType.simpleString(), vectors.schema["photo_id"].dataType.simpleString()

@@ -483,13 +483,14 @@ def test_near_values_by_bands_and_by_blocks(spark, monkeypatch):
             for b in rng.sample(range(64), rng.randrange(1, 24)):
                 w ^= 1 << b
             values.add(w - (1 << 64) if w >> 63 else w)
-    monkeypatch.setattr(duplicates, "BLOCK", 70)
     order = sorted(values)
     rows = spark.createDataFrame([(v,) for v in order], "h long")
     for distance in (0, 3, 8, 12, 20):
         want = sorted((g, h, ((g ^ h) & (1 << 64) - 1).bit_count()) for i, g in enumerate(order) for h in order[i + 1 :] if ((g ^ h) & (1 << 64) - 1).bit_count() <= distance)
         assert sorted(tuple(r) for r in duplicates.near_values(rows, distance).collect()) == want
-        assert sorted(tuple(r) for r in duplicates._near_in_blocks(rows, distance).collect()) == want
+        with monkeypatch.context() as m:
+            m.setattr(duplicates, "SHARE", 0)  # no join by bands
+            assert sorted(tuple(r) for r in duplicates.near_values(rows, distance).collect()) == want
 
 
 def test_data_addresses_have_no_breaks(spark):
