@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from argentum.llm.token_counts import byte_names
 
 #: Pairs whose counts go to every task, about 17 bytes each.
 MOST = 1 << 18
+#: Chunks that go to A's library as one text.
+TOGETHER = 256
 #: Different pairs that a task holds while it counts.
 HELD = 1 << 20
 
@@ -82,47 +85,100 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("pieces across blanks: chunks would not be apart")
+
+        size = max(len(self.a_bytes), self.b_size)
+        self.a_size, self.b_len = np.array(list(map(len, self.a_bytes))), np.array(list(map(len, self.b_bytes)))
+        #: An id and what stands after it: within a side, between sides, after a group, after a chunk.
+        self.written = [f"{i}{mark}" for i in range(size) for mark in (",", "|", ";", "\n")]
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.size = 0
-        self.texts: list[str | None] = []  # None: bytes don't come back
-        self.counts = np.zeros((0, 3), np.int64)
-        self.keys, self.of = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        """Keeps the chunks that were used several times, if they are few enough."""
+        often = np.flatnonzero(self.used > 1) if hasattr(self, "used") else np.zeros(0, np.int64)
+        if not 0 < len(often) <= CACHE // 2:
+            self.known: dict[str, int] = {}
+            self.texts: list[str | None] = []  # None: bytes don't come back
+            self.counts, self.used = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+            self.keys, self.of = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+            self.size = 0
+            return
+        to = np.full(len(self.used), -1)
+        to[often] = np.arange(len(often))
+        to = to.tolist()
+        self.known = {c: to[i] for c, i in self.known.items() if to[i] >= 0}
+        self.texts = [self.texts[i] for i in often.tolist()]
+        self.keys, self.of = self.links(often)
+        self.counts, self.used = self.counts[often], np.zeros(len(often), np.int64)
+        self.size = sum(map(len, self.known))
+
+    def links(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links' keys of known chunks, one after another, and their n+1 offsets."""
+        n = self.of[at + 1] - self.of[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self.keys[np.arange(ends[-1]) + np.repeat(self.of[at] - ends[:-1], n)], ends
+
+    def a_ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of chunks, and how many each has. Chunks after which nothing changes are encoded as one text, a few hundred at a time."""
+        plain = [c[-1] > " " and not c[-1].isspace() and c[:2] != "  " and not c[1:2].isspace() for c in new]
+        raw = list(map(len, map(str.encode, new)))
+        out, count = [], np.empty(len(new), np.int64)
+        for a in range(0, len(new), TOGETHER):
+            b = min(a + TOGETHER, len(new))
+            if all(plain[a:b]):
+                ids = np.array(self.a.encode_batch_fast(["".join(new[a:b])], add_special_tokens=False)[0].ids, np.int64)
+                ends, at = np.cumsum(self.a_size[ids]), np.cumsum(raw[a:b])
+                last = np.searchsorted(ends, at)
+                if last[-1] < len(ids) and np.array_equal(ends[last], at):
+                    out.append(ids)
+                    count[a:b] = np.diff(last, prepend=-1)
+                    continue
+            each = [e.ids for e in self.a.encode_batch_fast(new[a:b], add_special_tokens=False)]
+            out.append(np.fromiter(chain.from_iterable(each), np.int64))
+            count[a:b] = list(map(len, each))
+        return np.concatenate(out), count
+
+    def good(self, new: list[str], ids: np.ndarray, count: np.ndarray, held: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each chunk come back."""
+        ends = np.concatenate([[0], np.cumsum(count)])
+        bytes_ = np.concatenate([[0], np.cumsum(size[ids])])
+        raw = "".join(new).encode()
+        if np.array_equal(np.diff(bytes_[ends]), list(map(len, map(str.encode, new)))) and b"".join(map(held.__getitem__, ids.tolist())) == raw:
+            return np.ones(len(new), bool)
+        return np.array([b"".join(map(held.__getitem__, ids[a:b].tolist())) == c.encode() for c, a, b in zip(new, ends[:-1], ends[1:], strict=True)])
 
     def learn(self, new: list[str]) -> None:
         """Aligns new chunks, all side by side."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        b_ids = self.b.encode([c[1:] for c in new], num_threads=1)
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        good = [b"".join([a_bytes[i] for i in x]) == (raw := c.encode()) and b"".join([b_bytes[i] for i in y]) == raw for c, x, y in zip(new, a_ids, b_ids, strict=True)]
-        a_flat = [i for x, g in zip(a_ids, good, strict=True) if g for i in x]
-        b_flat = [i for y, g in zip(b_ids, good, strict=True) if g for i in y]
-        n_a = np.array([len(x) * g for x, g in zip(a_ids, good, strict=True)])
-        n_b = np.array([len(y) * g for y, g in zip(b_ids, good, strict=True)])
-        a_end = np.cumsum([len(a_bytes[i]) for i in a_flat], dtype=np.int64)
-        b_end = np.cumsum([len(b_bytes[i]) for i in b_flat], dtype=np.int64)
-        a_of, b_of = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
-        if len(a_flat):
-            a_head, b_head = groups(a_end, b_end)
-            a_last, b_last = (np.flatnonzero(np.append(x[1:] != x[:-1], True)) for x in (a_head, b_head))
-        else:
-            a_last = b_last = np.zeros(0, np.int64)
+        if not new:
+            return
+        # Chunks that end in white space last: they can't be encoded together with others.
+        new.sort(key=lambda c: c[-1].isspace() or c[1:2].isspace())
+        a_ids, n_a = self.a_ids(new)
+        each = self.b.encode([c[1:] for c in new], num_threads=1)
+        b_ids, n_b = np.fromiter(chain.from_iterable(each), np.int64), np.array(list(map(len, each)))
+        good = self.good(new, a_ids, n_a, self.a_bytes, self.a_size) & self.good(new, b_ids, n_b, self.b_bytes, self.b_len)
+        if not good.all():
+            a_ids, b_ids = a_ids[np.repeat(good, n_a)], b_ids[np.repeat(good, n_b)]
+            n_a, n_b = n_a * good, n_b * good
+        a_head, b_head = groups(np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_len[b_ids])) if len(a_ids) else (a_ids, b_ids)
         # A component's members lie side by side: its last two end together, no others do.
-        keys = (np.array(a_flat, np.int64)[a_last] * self.b_size + np.array(b_flat, np.int64)[b_last]).astype(np.uint32)
-        g_of = np.searchsorted(a_last, a_of)
-        a_at, b_at = (a_last + 1).tolist(), (b_last + 1).tolist()
-        a_text, b_text = list(map(str, a_flat)), list(map(str, b_flat))
-        both, p, q = [], 0, 0
-        for x, y in zip(a_at, b_at, strict=True):
-            both.append(f"{','.join(a_text[p:x])}|{','.join(b_text[q:y])}")
-            p, q = x, y
-        first, bounds = len(self.texts), g_of.tolist()
-        self.texts += [";".join(both[i:j]) if g else None for i, j, g in zip(bounds[:-1], bounds[1:], good, strict=True)]
+        a_end, b_end = (np.append(x[1:] != x[:-1], True)[: len(x)] for x in (a_head, b_head))
+        a_last, b_last = np.flatnonzero(a_end), np.flatnonzero(b_end)
+        keys = (a_ids[a_last] * self.b_size + b_ids[b_last]).astype(np.uint32)
+        g_of = np.searchsorted(a_last, np.concatenate([[0], np.cumsum(n_a)]))
+        # Groups as text, all at once: A's members, then B's, each with the mark after it.
+        a_group, b_group = np.cumsum(a_end) - a_end, np.cumsum(b_end) - b_end
+        code = np.empty(len(a_ids) + len(b_ids), np.int64)
+        code[np.arange(len(a_ids)) + np.concatenate([[0], b_last + 1])[a_group]] = 4 * a_ids + a_end
+        mark = 2 * b_end
+        mark[(np.cumsum(n_b) - 1)[n_b > 0]] = 3
+        code[np.arange(len(b_ids)) + (a_last + 1)[b_group]] = 4 * b_ids + mark
+        lines = iter("".join(map(self.written.__getitem__, code.tolist())).split("\n"))
+        first = len(self.texts)
+        self.texts += [next(lines) if g else None for g in good.tolist()]
         self.known.update(zip(new, range(first, first + len(new)), strict=True))
         self.size += sum(map(len, new))
         self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, np.diff(g_of)], 1)])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
         self.keys, self.of = np.concatenate([self.keys, keys]), np.concatenate([self.of, self.of[-1] + g_of[1:]])
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
@@ -130,19 +186,20 @@ class Aligner:
         if len(self.known) > CACHE or self.size > CACHE * LONG:
             self.forget()
         parts = [chunks(f" {t}") if t else [] for t in texts]
-        self.learn([c for c in dict.fromkeys(c for p in parts for c in p) if c not in self.known])
+        self.learn(list(set().union(*parts).difference(self.known)))
         get, held = self.known.__getitem__, self.texts
+        every = np.fromiter(map(get, chain.from_iterable(parts)), np.int64)
+        self.used += np.bincount(every, minlength=len(self.used))
+        some, flat = list(map(held.__getitem__, every.tolist())), self.counts[every]
+        keys, ends = self.links(every)
+        at = 0
         for p in parts:
-            which = list(map(get, p))
-            some = [held[i] for i in which]
-            if not p or None in some:
+            a, at = at, at + len(p)
+            own = some[a:at]
+            if not p or None in own:
                 yield 0, 0, 0, "", np.zeros(0, np.uint32)
-                continue
-            at = np.array(which)
-            n = self.of[at + 1] - self.of[at]
-            ends = np.cumsum(n)
-            keys = self.keys[np.arange(ends[-1]) + np.repeat(self.of[at] - (ends - n), n)]
-            yield *self.counts[at].sum(0).tolist(), hashlib.sha256(";".join(some).encode()).hexdigest(), keys
+            else:
+                yield *flat[a:at].sum(0).tolist(), hashlib.sha256(";".join(own).encode()).hexdigest(), keys[ends[a] : ends[at]]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
