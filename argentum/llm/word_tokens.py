@@ -16,6 +16,8 @@ from argentum.llm.words import Words
 #: Pieces in a generation of the cache.
 CACHE = 250_000
 LONG = 64
+#: New pieces that go to the library at once.
+TOGETHER = 512
 #: Marks that the pre-tokenizer takes together as a run; without those of contractions and special tokens.
 _MARK = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&()*+,-./:;=?@[]^_{}~", np.uint8))
 MARKS = 16
@@ -74,8 +76,8 @@ class Pieces:
         words = [p for p in new if p.isalpha() and len(p) <= LONG]
         other = [p for p in new if not (p.isalpha() and len(p) <= LONG)]
         for make, some in ((self._letters, words), (self._any, other)):
-            for a in range(0, len(some), 10_000):
-                for p, ids in zip(some[a : a + 10_000], make(some[a : a + 10_000]), strict=True):
+            for a in range(0, len(some), TOGETHER):
+                for p, ids in zip(some[a : a + TOGETHER], make(some[a : a + TOGETHER]), strict=True):
                     (cache if len(p) <= LONG else extra)[p] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -115,7 +115,10 @@ class Words:
         return out
 
     def numbers(self) -> tuple[np.ndarray, np.ndarray]:
-        """(first, number): the different words by one place of each, and which one each word is. Bytes decide, hashes only group."""
+        """(first, number): the different words by one place of each, and which one each word is. Bytes decide, hashes only group.
+
+        Words of one block have equal hashes and sizes only if they are equal, as mixing is one to one; longer ones are compared.
+        """
         h = self.hashes()
         order = np.argsort(h)
         h = h[order]
@@ -123,7 +126,11 @@ class Words:
         new[1:] = h[1:] != h[:-1]
         first, number = order[new], np.empty(len(h), np.int64)
         number[order] = np.cumsum(new) - 1
-        odd = np.flatnonzero(~self.same(np.arange(len(h)), first[number])) if len(h) else first
+        size, other = self.end - self.start, first[number]
+        differ = size != size[other]
+        long = np.flatnonzero((size > 8) & ~differ & (other != np.arange(len(h))))
+        differ[long] = ~self.same(long, other[long])
+        odd = np.flatnonzero(differ)
         if len(odd):  # words that share another one's hash
             found: dict[bytes, int] = {}
             number[odd] = [found.setdefault(self.text(i, i + 1), len(first) + len(found)) for i in odd.tolist()]

@@ -21,12 +21,13 @@ def column(texts):
     return pa.array(texts, pa.string())
 
 
-@pytest.mark.parametrize("hashes", [None, lambda self: np.zeros(len(self), np.uint64)])
-def test_numbers_are_told_by_bytes(monkeypatch, hashes):
-    """Also where all hashes are equal."""
-    if hashes:
-        monkeypatch.setattr(words.Words, "hashes", hashes)
-    texts = [f"{X} {Y} a b", "", f"b a {X} {Y}", None, "a" * 16 + " " + "a" * 17 + " " + "a" * 15 + "b"]
+@pytest.mark.parametrize("collide", [False, True])
+def test_numbers_are_told_by_bytes(monkeypatch, collide):
+    """Also where all words of several blocks have one hash."""
+    if collide:
+        real = words.Words.hashes
+        monkeypatch.setattr(words.Words, "hashes", lambda self: np.where(self.end - self.start > 8, 0, real(self)).astype(np.uint64))
+    texts = [f"{X} {Y} a b", "", f"b a {X} {Y}", None, "a" * 16 + " " + "a" * 17 + " " + "a" * 15 + "b", "abcdefgh abcdefgi abcdefgh", "x" * 9 + " " + "y" * 9 + " " + "x" * 9]
     w = words.Words(column(texts))
     first, number = w.numbers()
     own = [w.text(i, i + 1) for i in range(len(w))]
