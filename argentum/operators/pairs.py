@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argentum.functions.scalar import directory, rfc3339, stem, whole_seconds
+from argentum.plans.shared import cut
 from argentum.sources.formats import is_jpeg, is_raw
 
 SECONDS = 120
@@ -27,26 +29,29 @@ def candidates(photos: DataFrame, seconds: int = SECONDS) -> DataFrame:
 
 
 def match(found: DataFrame, keys: tuple[str, ...], one: str, two: str, order_one: tuple[str, ...], order_two: tuple[str, ...]) -> DataFrame:
-    """One-to-one: the first side in its order takes the first free partner. Groups with one candidate need no Python.
+    """One-to-one: in each group the first side in its order takes the first free partner.
 
     found: candidate pairs; keys: their group; the result has `one` and `two`.
-    """
-    n = found.groupBy(*keys).agg(F.count("*").alias("_n"))
-    marked = found.join(n, list(keys))
-    kind = f"{one} {found.schema[one].dataType.simpleString()}, {two} {found.schema[two].dataType.simpleString()}"
 
-    def greedy(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values([*order_one, *order_two], kind="stable")
-        taken, done, out = set(), set(), []
-        for a, b in zip(f[one], f[two], strict=True):
-            if a not in done and b not in taken:
-                done.add(a)
-                taken.add(b)
-                out.append((a, b))
-        return pd.DataFrame(out, columns=[one, two])
-
-    single = marked.filter("_n = 1").select(one, two)
-    return single.union(marked.filter("_n > 1").drop("_n").groupBy(*keys).applyInPandas(greedy, kind))
+    Rounds: a pair that comes first for both its sides is taken, as no other pair before it touches either; then all
+    pairs of what was taken go. That is the same as going through all pairs in order. Both firsts are aggregates, so a file with very many
+    candidates is summed in parts, and no group is gathered. There are at most as many rounds as the smaller side of the
+    largest group has files: a few, as a folder holds few files of one stem.
+    """
+    ids = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    group = [f"k{i}" for i in range(len(keys))]
+    left = found.select(*ids, F.col(one).alias("a"), F.col(two).alias("b"), F.struct(*order_one, F.col(one).alias("_a")).alias("x"), F.struct(*order_two, F.col(two).alias("_b")).alias("y"))
+    taken = []
+    while True:
+        left = cut(left, "candidates")
+        if left.isEmpty():
+            break
+        a_first = left.groupBy(*group, "a").agg(F.min_by("b", "y").alias("b"))
+        b_first = left.groupBy(*group, "b").agg(F.min_by("a", "x").alias("a"))
+        won = cut(a_first.join(b_first, [*group, "a", "b"]), "matched")
+        taken.append(won.select(F.col("a").alias(one), F.col("b").alias(two)))
+        left = left.join(won.select(*group, "a"), [*group, "a"], "left_anti").join(won.select(*group, "b"), [*group, "b"], "left_anti").select(*group, "a", "b", "x", "y")
+    return reduce(DataFrame.union, taken) if taken else found.select(one, two).limit(0)
 
 
 def logical_pairs(photos: DataFrame, seconds: int = SECONDS) -> DataFrame:

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from argentum.functions.scalar import dot, valid_vector
 from argentum.operators.components import components
 from argentum.operators.metric import Angle, near_pairs
+from argentum.plans.shared import cut
 
 LINK, LEAST, MEAN = 0.60, 0.45, 0.50
 PIXELS = 40
+#: Members of a component that one task resolves, with a matrix of 33 MB; and the digits of a score that count.
+ALONE, DIGITS = 2048, 9
 
 
 def candidates(faces: DataFrame, signatures: DataFrame, photos: DataFrame, version: str, size: int = 128) -> DataFrame:
@@ -38,22 +41,78 @@ def links(vectors: DataFrame, least: float = LINK, **sizes: int) -> DataFrame:
     return near.join(one, "a").join(two, "b").filter("p <> q").select("a", "b", dot(F.col("x"), F.col("y")).alias("score")).filter(F.col("score") >= least)
 
 
-def groups(vectors: DataFrame, link: float = LINK, least: float = LEAST, mean: float = MEAN, by: tuple[str, ...] = ("id",)) -> DataFrame:
+def groups(vectors: DataFrame, link: float = LINK, least: float = LEAST, mean: float = MEAN, by: tuple[str, ...] = ("id",), alone: int = ALONE) -> DataFrame:
     """(person_key, id, photo_id, size): links from the strongest down join groups that share no photo, if no cross pair
-    is under `least` and their mean reaches `mean`. Groups of one are left out.
+    is under `least` and their mean reaches `mean`. Groups of one are left out. Scores count with nine digits; equal ones are in the order of `by`.
 
-    Groups never reach beyond a component of the links, so each component is resolved alone.
+    Groups never reach beyond a component of the links. Components of at most `alone` members are resolved in
+    one task each, larger ones in rounds over tables (see in_rounds); the result is the same for any `alone`.
     """
-    edges = links(vectors, link)
-    parts_of = components(edges.select("a", "b"))
-    rows = vectors.join(parts_of.withColumnRenamed("node", "id"), "id")
-    kind, photo = vectors.schema["id"].dataType.simpleString(), vectors.schema["photo_id"].dataType.simpleString()
+    score = F.round("score", DIGITS)
+    pairs = cut(links(vectors, least - 1e-9).select("a", "b", score.alias("score")).filter(F.col("score") >= least), "alike")
+    strong = pairs.filter(F.col("score") >= link)
+    rows = vectors.join(components(strong.select("a", "b")).withColumnRenamed("node", "id"), "id")
+    counted = rows.groupBy("component").agg(F.count("*").alias("members"))
+    rows = cut(rows.join(counted, "component"), "faces")
+    few, many = rows.filter(F.col("members") <= alone), rows.filter(F.col("members") > alone)
+    found = _resolved(few, link, least, mean, by)
+    if many.isEmpty():
+        return found
+    one, two = many.select(F.col("id").alias("a"), F.col("component").alias("p"), F.struct(*by).alias("x")), many.select(F.col("id").alias("b"), F.col("component").alias("q"), F.struct(*by).alias("y"))
+    inner = pairs.join(one, "a").join(two, "b").filter("p = q").select("a", "b", "score", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    members = in_rounds(inner, many.select("id", "photo_id"), link, mean)
+    named = members.groupBy("cluster").agg(F.min(F.struct("photo_id", "id")).alias("first"), F.count("*").alias("size")).filter("size > 1")
+    key = F.concat(F.col("first.photo_id").cast("string"), F.lit(":"), F.col("first.id").cast("string"))
+    return found.unionByName(members.join(named, "cluster").select(key.alias("person_key"), "id", "photo_id", "size"))
+
+
+def in_rounds(pairs: DataFrame, faces: DataFrame, link: float, mean: float) -> DataFrame:
+    """(id, cluster, photo_id) of all faces. pairs: a, b, score, i, j (the order among equal scores) of all that may stand in one cluster; faces: id, photo_id.
+
+    In a round each link is decided that comes before all others of both its clusters: what is decided later can't
+    touch them before, so this is the same as going through all links in order. A cross pair that is missing in `pairs` or a shared photo
+    will stay in the way whatever the clusters grow to, so such links go at once, the others one by one. Tables have
+    a row for each pair of clusters with what their means need, for each open link, and for each face.
+    """
+    faces = cut(faces.select("id", F.col("id").alias("cluster"), "photo_id"), "clusters")
+    between = cut(pairs.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), F.lit(1).cast("long").alias("n"), F.col("score").alias("sum")), "between")
+    rank = F.struct((-F.col("score")).alias("minus"), "i", "j").alias("rank")
+    open_ = pairs.filter(F.col("score") >= link).select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), rank)
+    while True:
+        sizes = faces.groupBy("cluster").agg(F.count("*").alias("size"))
+        possible = open_.join(between, ["p", "q"]).join(sizes.select(F.col("cluster").alias("p"), F.col("size").alias("u")), "p").join(sizes.select(F.col("cluster").alias("q"), F.col("size").alias("v")), "q")
+        open_ = cut(possible.filter(F.col("n") == F.col("u") * F.col("v")).select("p", "q", "rank", "n", "sum"), "open")
+        if open_.isEmpty():
+            return faces
+        firsts = open_.select(F.col("p").alias("c"), "rank").union(open_.select("q", "rank")).groupBy("c").agg(F.min("rank").alias("rank"))
+        decided = cut(open_.join(firsts.withColumnRenamed("c", "p"), ["p", "rank"]).join(firsts.withColumnRenamed("c", "q"), ["q", "rank"]).select("p", "q", "rank", (F.round(F.col("sum") / F.col("n"), DIGITS) >= mean).alias("near")), "decided")
+        # A cluster is in one of these links at most, so that its faces are looked up once.
+        seen = decided.select("p", "q", F.explode(F.array("p", "q")).alias("cluster")).join(faces, "cluster").groupBy("p", "q", "photo_id").agg(F.count("*").alias("n"))
+        shared = cut(seen.filter("n > 1").select("p", "q").distinct(), "shared")
+        joined = cut(decided.filter("near").join(shared, ["p", "q"], "left_anti").select(F.col("q").alias("old"), F.col("p").alias("new")), "joined")
+        faces = cut(faces.join(joined, faces["cluster"] == joined["old"], "left").select("id", F.coalesce("new", "cluster").alias("cluster"), "photo_id"), "clusters")
+        open_ = _relabelled(open_.join(shared, ["p", "q"], "left_anti").join(decided.select("rank"), "rank", "left_anti").select("p", "q", "rank"), joined)
+        between = cut(_relabelled(between, joined).groupBy("p", "q").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum")), "between")
+
+
+def _relabelled(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs (p < q) of clusters after some have become part of others; pairs within one are left out."""
+    rest = [c for c in pairs.columns if c not in ("p", "q")]
+    both = pairs
+    for side in "pq":
+        both = both.join(joined.select(F.col("old").alias(side), F.col("new").alias(f"{side}_new")), side, "left").withColumn(side, F.coalesce(f"{side}_new", side)).drop(f"{side}_new")
+    return both.filter("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), *rest)
+
+
+def _resolved(rows: DataFrame, link: float, least: float, mean: float, by: tuple[str, ...]) -> DataFrame:
+    """Each component in one task, with a matrix of its members."""
+    kind, photo = rows.schema["id"].dataType.simpleString(), rows.schema["photo_id"].dataType.simpleString()
 
     def resolve(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(list(by), kind="stable").reset_index(drop=True)
         v = np.stack(f["vector"].to_numpy()).astype(np.float64)
-        score, photos = v @ v.T, f["photo_id"].tolist()
-        i, j = np.nonzero(np.triu(score >= link - 1e-9, 1))
+        score, photos = np.round(v @ v.T, DIGITS), f["photo_id"].tolist()
+        i, j = np.nonzero(np.triu(score >= link, 1))
         own = np.array([photos[a] != photos[b] for a, b in zip(i, j, strict=True)], bool)
         i, j = i[own], j[own]
         order = np.lexsort((j, i, -score[i, j]))
@@ -63,7 +122,7 @@ def groups(vectors: DataFrame, link: float = LINK, least: float = LEAST, mean: f
             if p == q or {photos[k] for k in members[p]} & {photos[k] for k in members[q]}:
                 continue
             cross = score[np.ix_(members[p], members[q])]
-            if cross.min() < least or cross.mean() < mean:
+            if cross.min() < least or round(float(cross.mean()), DIGITS) < mean:
                 continue
             for k in members[q]:
                 head[k] = p

@@ -129,3 +129,10 @@ EDGES_SQL = "edges AS (SELECT a.id AS a, b.id AS b, CAST(list_sum(list_transform
 #: Vectors whose signs serve as looks of photos.
 LOOKS = 400
 BITS_SQL = "bits AS (SELECT vec_id, list_reduce(list_prepend(CAST(0 AS UBIGINT), list_transform(embedding, lambda x: CAST(x > 0 AS UBIGINT))), lambda s, b: CAST(s * 2 % 18446744073709551616::HUGEINT + b AS UBIGINT)) AS h FROM embeddings)"
+
+#: One to one as a recursion over all pairs in order: a pair whose sides are both free is taken. Needs WITH RECURSIVE and c (grp, raw_id, jpeg_id, a, b: the order).
+MATCH_SQL = """q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY a, b) AS n FROM c),
+m AS (SELECT grp, n, raw_id, jpeg_id, true AS won, [raw_id] AS raws, [jpeg_id] AS jpegs FROM q WHERE n = 1 UNION ALL
+ SELECT q.grp, q.n, q.raw_id, q.jpeg_id, NOT list_contains(raws, q.raw_id) AND NOT list_contains(jpegs, q.jpeg_id) AS won,
+ CASE WHEN list_contains(raws, q.raw_id) OR list_contains(jpegs, q.jpeg_id) THEN raws ELSE list_append(raws, q.raw_id) END,
+ CASE WHEN list_contains(raws, q.raw_id) OR list_contains(jpegs, q.jpeg_id) THEN jpegs ELSE list_append(jpegs, q.jpeg_id) END FROM m JOIN q ON q.grp = m.grp AND q.n = m.n + 1)"""

@@ -49,7 +49,7 @@ def resolved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FILES_SQL = """p AS (SELECT o_orderkey AS id, o_totalprice AS size, '/Cards/' || CAST(o_custkey AS VARCHAR) AS dir, 'img_' || CAST(o_orderkey % 5 AS VARCHAR) AS stem,
  CASE o_orderstatus WHEN 'F' THEN 'nef' WHEN 'O' THEN 'jpg' ELSE 'png' END AS ext, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END AS t FROM orders),
-c AS (SELECT r.id AS raw_id, j.id AS jpeg_id, r.t IS NOT NULL AND j.t IS NOT NULL AS timed FROM p r JOIN p j ON r.ext = 'nef' AND j.ext = 'jpg' AND r.dir = j.dir AND r.stem = j.stem AND r.size <> j.size AND coalesce(abs(epoch_us(r.t) - epoch_us(j.t)) // 1000000 <= 5184000, true))"""
+c AS (SELECT r.id AS raw_id, j.id AS jpeg_id, r.dir || '/' || r.stem AS grp, r.id AS a, j.id AS b, r.t IS NOT NULL AND j.t IS NOT NULL AS timed FROM p r JOIN p j ON r.ext = 'nef' AND j.ext = 'jpg' AND r.dir = j.dir AND r.stem = j.stem AND r.size <> j.size AND coalesce(abs(epoch_us(r.t) - epoch_us(j.t)) // 1000000 <= 5184000, true))"""
 
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,8 @@ def file_pair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.candidates(order_files(spark, sf_dir), 60 * 86400).select(c("r_id").alias("raw_id"), c("j_id").alias("jpeg_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FILES_SQL}, {ad.MATCH_SQL}
+SELECT m.raw_id AS primary_id, m.jpeg_id AS paired_id, CASE WHEN timed THEN '{pairs.BY_TIME}' ELSE '{pairs.BY_NAME}' END AS match_reason FROM m JOIN c ON c.raw_id = m.raw_id AND c.jpeg_id = m.jpeg_id WHERE won""")
 def file_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RAW and JPEG files one to one, and why."""
     return pairs.logical_pairs(order_files(spark, sf_dir), 60 * 86400)

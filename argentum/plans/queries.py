@@ -304,7 +304,7 @@ def pair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_candidates(spark, sf_dir)
 
 
-@query()
+@query(f"WITH RECURSIVE {PAIR_SQL.replace('AS jpeg_id FROM', 'AS jpeg_id, r.o_orderkey AS a, j.o_orderkey AS b FROM')}, {ad.MATCH_SQL} SELECT raw_id, jpeg_id FROM m WHERE won")
 def logical_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of orders, one to one, first come first served."""
     return pairs.match(_order_candidates(spark, sf_dir), ("grp",), "raw_id", "jpeg_id", ("raw_id",), ("jpeg_id",))
@@ -321,7 +321,20 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 2).alias("photo_id"), F.col("embedding").alias("vector"))
 
 
-@query()
+@query("""WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id AS id, vec_id // 2 AS photo_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+s AS MATERIALIZED (SELECT a.i AS a, b.i AS b, a.photo_id <> b.photo_id AS apart, round(list_dot_product(a.e, b.e), 9) AS s FROM v a, v b),
+w AS MATERIALIZED (SELECT list(r ORDER BY a) AS w FROM (SELECT a, list(s ORDER BY b) AS r FROM s GROUP BY a)),
+l AS MATERIALIZED (SELECT a, b, row_number() OVER (ORDER BY s DESC, a, b) AS k FROM s WHERE a < b AND apart AND s >= 0.35),
+m AS (SELECT CAST(0 AS BIGINT) AS k, (SELECT list(i ORDER BY i) FROM v) AS h, (SELECT list(photo_id ORDER BY i) FROM v) AS f UNION ALL
+ SELECT k, CASE WHEN p <> q AND len(list_intersect(list_transform(ps, lambda x: f[x]), list_transform(qs, lambda x: f[x]))) = 0
+  AND list_min(list_transform(ps, lambda x: list_min(list_transform(qs, lambda y: w[x][y])))) >= 0.20
+  AND round(list_sum(list_transform(ps, lambda x: list_sum(list_transform(qs, lambda y: w[x][y])))) / (len(ps) * len(qs)), 9) >= 0.25
+  THEN list_transform(h, lambda x: CASE WHEN x = q THEN p ELSE x END) ELSE h END, f
+ FROM (SELECT *, list_filter(range(1, len(h) + 1), lambda x: h[x] = p) AS ps, list_filter(range(1, len(h) + 1), lambda x: h[x] = q) AS qs
+  FROM (SELECT l.k, m.h, m.f, m.h[l.a] AS p, m.h[l.b] AS q FROM m JOIN l ON l.k = m.k + 1)), w),
+g AS (SELECT v.id, v.photo_id, h[v.i] AS c FROM v, (SELECT arg_max(h, k) AS h FROM m)),
+n AS (SELECT c, count(*) AS size, min((photo_id, id)) AS x FROM g GROUP BY c HAVING count(*) > 1)
+SELECT CAST(x[1] AS VARCHAR) || ':' || CAST(x[2] AS VARCHAR) AS person_key, id, photo_id, size FROM g JOIN n ON n.c = g.c""")
 def person_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of vectors joined under limits."""
     return people.groups(_vectors(spark, sf_dir), 0.35, 0.20, 0.25)

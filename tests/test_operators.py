@@ -1,6 +1,7 @@
 """Operators on literal rows."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -522,3 +523,19 @@ def test_openness_and_sharpness_of_a_region_against_plain_loops():
     mean = sum(v) / len(v)
     assert abs(images.region_sharpness(quiet, 10, 5, 15, 15) - min(1, sum((x - mean) ** 2 for x in v) / len(v) / 1000)) < 1e-9
     assert images.region_sharpness(quiet, 45, 5, 15, 15) is None and images.region_sharpness(quiet, 0, 0, 7, 20) is None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matching_in_rounds_is_greedy(spark, seed):
+    """Random candidates, chains that take a round each, one side with very many candidates."""
+    rng = random.Random(seed)
+    found = {(rng.randrange(6), rng.randrange(30), rng.randrange(30)) for _ in range(500)} | {(10, i, i + d) for i in range(6) for d in (0, 1)} | {(11, 0, j) for j in range(300)}
+    rows = sorted((g, f"r{g}-{a:03}", f"j{g}-{b:03}") for g, a, b in found)
+    want, taken = [], set()
+    for g, a, b in rows:
+        if a not in taken and b not in taken:
+            taken |= {a, b}
+            want.append((a, b))
+    df = spark.createDataFrame(rows, "g long, r string, j string")
+    assert sorted(map(tuple, pairs.match(df, ("g",), "r", "j", ("r",), ("j",)).collect())) == sorted(want)
+    assert pairs.match(df.limit(0), ("g",), "r", "j", ("r",), ("j",)).collect() == []
