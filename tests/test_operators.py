@@ -139,6 +139,23 @@ def test_moments_match_a_plain_loop(spark, parts):
     assert sorted((r["first_id"], r["last_id"], r["photo_count"]) for r in got) == want
 
 
+@pytest.mark.parametrize("parts,steps", [(1, (5, 7, 30)), (6, (5, 7, 30)), (40, (5, 7, 30)), (9, (0, 0, 1)), (30, (0, 100, 170, 180)), (25, (0, 0, 0, 179, 181))])
+def test_one_time_without_gaps_is_cut_by_many_ranges(spark, parts, steps):
+    """One session over all ranges, ranges shorter and longer than a span, ties."""
+    rng = np.random.default_rng(parts)
+    at = np.cumsum(rng.choice(steps, 700)).tolist()
+    rows = [(f"p{i:03}", float(s)) for i, s in enumerate(at)]
+    start, want, last = None, {}, None
+    for i, s in rows:
+        if start is None or s - start > 900 or s - last > 180:
+            start = s
+        last = s
+        want[i] = start
+    got = moments.segments(timed(spark, rows), parts=parts).collect()
+    low = min(r["segment"] for r in got)
+    assert {r["id"]: (r["segment"] - low) / 1e6 for r in got} == {i: s - at[0] for i, s in want.items()}
+
+
 def test_moment_ids_are_kept(spark):
     new = moments.moments(timed(spark, [("a", 0), ("b", 1)]))
     old = spark.createDataFrame([("old", "b"), ("old", "a")], "moment_id string, id string")
