@@ -410,6 +410,49 @@ def test_moment_stream(spark, tmp_path):
     assert sorted((r["first_id"], r["last_id"], r["photo_count"]) for r in spark.table("closed").collect()) == [(0, 2, 3), (3, 4, 2), (5, 6, 2)]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_moment_stream_in_any_order(spark, tmp_path, seed):
+    """Batches with rows out of order within the watermark, several libraries, and rows that are too late."""
+    from argentum.streaming.moments import moment_stream
+
+    rng = random.Random(seed)
+    base, schema = dt.datetime(2024, 1, 1), "library string, id long, t timestamp"
+    rows = []
+    for lib in "ab":
+        at = 0
+        for _ in range(90):
+            at += rng.choice([0, 20, 60, 150, 181, 400])
+            rows.append((lib, at))
+    rows = [(lib, i, at) for i, (lib, at) in enumerate(rows)]
+    rows += [("a", 1000, 100_000), ("b", 1001, 100_000)]
+    # A row comes at most 500 seconds after rows of later times, which the watermark of 600 allows.
+    order = sorted(rows, key=lambda r: r[2] + rng.random() * 500)
+    size = 12
+    import os
+
+    for k, a in enumerate(range(0, len(order), size)):
+        some = [(lib, i, base + dt.timedelta(seconds=at)) for lib, i, at in order[a : a + size]]
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(str(tmp_path / f"one{k}"))
+        (file,) = (tmp_path / f"one{k}").glob("*.parquet")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        os.utime(file, (1_700_000_000 + 10 * k,) * 2)
+        file.rename(tmp_path / "in" / f"{k:03}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    name = f"ordered{seed}"
+    q = moment_stream(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    got = sorted((r["library"], (r["end_us"] - r["start_us"]) // 1_000_000, r["first_id"], r["last_id"], r["photo_count"]) for r in spark.table(name).collect())
+    want = []
+    for lib in "ab":
+        now = []
+        for _, i, at in sorted((r for r in rows if r[0] == lib), key=lambda r: (r[2], r[1])):
+            if now and (at - now[-1][1] > 180 or at - now[0][1] > 900):
+                want.append((lib, now))
+                now = []
+            now.append((i, at))
+    assert got == sorted((lib, m[-1][1] - m[0][1], m[0][0], m[-1][0], len(m)) for lib, m in want if len(m) > 1)
+
+
 def test_components(spark):
     from argentum.operators.components import components
 
