@@ -132,6 +132,11 @@ def shown_decision(photos: DataFrame, recommendations: DataFrame) -> DataFrame:
     return joined.select("id", shown.alias("shown"))
 
 
+def numbered(page: DataFrame, first: int = 1, name: str = "place") -> DataFrame:
+    """A page's rows with their places, in the order that the page has. A page is a few rows, in one partition."""
+    return page.coalesce(1).withColumn(name, F.monotonically_increasing_id() + F.lit(first))
+
+
 def neighbours(items: DataFrame, order: tuple[str, ...] = ("id",), by: str = "album") -> DataFrame:
     """Previous and next item of a viewer, in a circle, within each album."""
     w = Window.partitionBy(by).orderBy(*order)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,26 +72,24 @@ def totals(faces: DataFrame, analysed: DataFrame, photos: DataFrame, version: st
     return in_one_row(checked, faces.join(now, "photo_id", "left_semi").agg(F.count("*").alias("faces_detected")))
 
 
+def overlap(a: Column, b: Column) -> Column:
+    """Common area of two boxes (structs with x, y, width, height) over the area of both; 0 where that has none."""
+    zero = F.lit(0.0)
+    wide = F.greatest(F.least(a["x"] + a["width"], b["x"] + b["width"]) - F.greatest(a["x"], b["x"]), zero)
+    high = F.greatest(F.least(a["y"] + a["height"], b["y"] + b["height"]) - F.greatest(a["y"], b["y"]), zero)
+    both = a["width"] * a["height"] + b["width"] * b["height"] - wide * high
+    return F.when(both > 0, wide * high / both).otherwise(zero)
+
+
 def suppressed(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Non-maximum suppression in each image: boxes that overlap a better kept one go.
 
-    boxes: image_id, box_id, score, x, y, width, height. Images are small groups; ties go by box_id.
+    boxes: image_id, box_id, score, x, y, width, height and more. A fold over an image's boxes by score, the kept ones as its
+    state, within the engine's own expressions; ties go by box_id. An image holds as many boxes as a detector gives.
     """
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["score", "box_id"], ascending=[False, True])
-        kept: list[int] = []
-        x, y, w, h = (f[c].to_numpy() for c in ("x", "y", "width", "height"))
-        for i in range(len(f)):
-            ok = True
-            for k in kept:
-                inter = max(0.0, min(x[i] + w[i], x[k] + w[k]) - max(x[i], x[k])) * max(0.0, min(y[i] + h[i], y[k] + h[k]) - max(y[i], y[k]))
-                union = w[i] * h[i] + w[k] * h[k] - inter
-                if union > 0 and inter / union > threshold:
-                    ok = False
-                    break
-            if ok:
-                kept.append(i)
-        return f.iloc[kept]
-
-    return boxes.groupBy("image_id").applyInPandas(one, boxes.schema)
+    rank = F.struct((-F.col("score")).alias("_minus"), F.col("box_id").alias("_box"), F.struct(*boxes.columns).alias("row"))
+    ordered = F.transform(F.array_sort(F.collect_list(rank)), lambda r: r["row"])
+    sides = boxes.groupBy("image_id").agg(ordered.alias("rows"))
+    none = F.filter("rows", lambda r: F.lit(False))  # typed as the boxes are
+    kept = F.aggregate("rows", none, lambda kept, r: F.when(F.exists(kept, lambda k: overlap(k, r) > threshold), kept).otherwise(F.array_append(kept, r)))
+    return sides.select(F.inline(kept)).select(*boxes.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argentum.functions import scalar
-from argentum.operators import catalog, decisions, duplicates, evaluation, guard, moments, pairs, people, state
+from argentum.operators import catalog, decisions, duplicates, evaluation, guard, moments, pairs, people, ranks, state
 from argentum.operators import faces as face
 from argentum.operators.components import components
 from argentum.plans import adapters as ad
@@ -420,7 +420,7 @@ def purged_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ad.PHOTOS_SQL} SELECT id, coalesce(lag(id) OVER w, last_value(id) OVER (PARTITION BY source ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS previous_id, coalesce(lead(id) OVER w, first_value(id) OVER (PARTITION BY source ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_id FROM photos WINDOW w AS (PARTITION BY source ORDER BY id)")
 def viewer_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previous and next photo in a viewer, in a circle."""
-    return catalog.neighbours(ad.photos(spark, sf_dir).select("id", "source"), by="source").select("id", "previous_id", "next_id")
+    return ranks.circle(ad.photos(spark, sf_dir).select("id", "source"), ("id",), "source", spark.sparkContext.defaultParallelism).select("id", "previous_id", "next_id")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{x}', '{e[0]}', {str(f == 'raw').lower()}, {str(f != 'heif').lower()})" for n, x, e, f in formats.FORMATS) + ") AS t(format, label, extension, is_raw, \"analyze\")")
