@@ -2,43 +2,91 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import os
 import struct
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+from urllib.parse import quote, unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argentum.functions.scalar import extension, file_name
+from argentum.plans.shared import cut, importable
 from argentum.sources.formats import detect, is_photo_path
 
 # Folders that a scan leaves out, and what a plain listing takes.
 PRUNED = {".Trash", ".Trashes", ".argentum-bin"}
 PLAIN = ("jpg", "jpeg", "png", "webp", "heic")
-LISTING = "path string, file_size long, modified_at timestamp"
 
 
-def walk(spark: SparkSession, root: str) -> DataFrame:
-    """Photos under a local folder, hidden names included; unreadable folders are left out.
+ENTRIES = "path string, folder boolean, file_size long, modified_at timestamp"
+_ENTRY = pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("file_size", pa.int64()), ("modified_at", pa.timestamp("us", "UTC"))])
 
-    A listing of names on the driver, as for any file source; contents are read by executors.
-    """
 
-    def rows() -> Iterator[tuple]:
-        for folder, names, files in os.walk(root):
-            names[:] = [n for n in names if n not in PRUNED]
-            for f in files:
-                path = os.path.join(folder, f)
+def entries(folder: str) -> Iterator[tuple]:
+    """What is directly in a folder, by the store's own file system: path, whether it is a folder, bytes, seconds of the last change.
+
+    A path with a scheme is listed by Arrow's file system for it, file: and no scheme by the local one, where links to folders aren't
+    followed. What can't be read is left out.
+    """
+    try:
+        scheme = "file://" if folder.startswith("file://") else ""
+        folder = unquote(folder[len(scheme) :]) if scheme else folder
+        if "://" in folder:
+            from pyarrow import fs
+
+            store, base = fs.FileSystem.from_uri(folder)
+            head = folder[: len(folder) - len(base)] if folder.endswith(base) else folder.split("://")[0] + "://"
+            for x in store.get_file_info(fs.FileSelector(base)):
+                if x.type != fs.FileType.NotFound:
+                    yield head + x.path, x.type == fs.FileType.Directory, x.size, x.mtime_ns / 1e9 if x.mtime_ns is not None else None
+            return
+        with os.scandir(folder) as found:
+            for x in found:
                 try:
-                    s = os.stat(path)
+                    inner = x.is_dir(follow_symlinks=False)
+                    if inner or x.is_file():
+                        s = x.stat()
+                        yield (scheme + quote(x.path) if scheme else x.path), inner, s.st_size, s.st_mtime
                 except OSError:
                     continue
-                yield path, s.st_size, dt.datetime.fromtimestamp(s.st_mtime)
+    except OSError:
+        return
 
-    found = list(rows())
-    listed = spark.createDataFrame(found, LISTING)
+
+def tree(spark: SparkSession, root: str) -> DataFrame:
+    """All files under a folder (path, file_size, modified_at), listed level by level by executors.
+
+    The folders of a level are a table, dealt out by path; what they hold is written before the next level begins. Nothing but
+    whether there is a next level comes to the driver. Folders in PRUNED are left out.
+    """
+    importable(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = iter(entries(folder))
+                while some := list(islice(rows, 10_000)):
+                    path, inner, size, at = zip(*some, strict=True)
+                    when = [None if x is None else int(x * 1_000_000) for x in at]
+                    yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(inner), pa.array(size, pa.int64()), pa.array(when, pa.int64()).cast(_ENTRY.field(3).type)], schema=_ENTRY)
+
+    folders, levels = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), []
+    while True:
+        found = cut(folders.repartition("path").mapInArrow(run, ENTRIES), "level")
+        levels.append(found.filter("not folder").drop("folder"))
+        folders = found.filter("folder").select("path").filter(~file_name(F.col("path")).isin(*PRUNED))
+        if folders.isEmpty():
+            return reduce(DataFrame.union, levels)
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """Photos under a folder, hidden names included; unreadable folders are left out."""
+    listed = tree(spark, root)
     return listed.filter(is_photo_path(F.col("path"))).withColumn("filename", file_name(F.col("path"))).withColumn("extension", extension(F.col("path")))
 
 
