@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argentum.functions.scalar import CLOSE_BITS, CONFIDENT_GAP, TIE, clamp, exposure_bonus, hamming, people_score, technical_score
+from argentum.plans.shared import cut
 
 # Reason codes and what they say.
 REASONS = {
@@ -50,7 +51,7 @@ def recommend(photos: DataFrame, overrides: DataFrame | None = None, eye_rules:
 
     photos: id, moment_id, is_kept, analysis_status, thumbnail_path, sha256, perceptual_hash, the measures, and
     where known the columns FACES. A photo without a moment is a group of its own. A group's best and second
-    best are aggregates joined back, so no task gathers a group. eye_rules: closed or uncertain eyes count.
+    best are aggregates joined back, so no task gathers a group; scored rows are written once and read by each of them. eye_rules: closed or uncertain eyes count.
     """
     kinds = {"face_count": "long", "closed_eye_count": "long", "uncertain_eye_count": "long", "likely_all_eyes_open": "boolean"}
     for name in FACES:
@@ -68,13 +69,14 @@ def recommend(photos: DataFrame, overrides: DataFrame | None = None, eye_rules:
     removed = F.coalesce(c("user") == "REMOVE", F.lit(False)) | F.coalesce(c("analysis_status") == "user_remove", F.lit(False))
     technical = c("sharpness").isNotNull() & c("thumbnail_path").isNotNull()
     rows = rows.withColumn("eligible", ~removed & technical).withColumn("technical", technical)
+    # Bests, keepers and usual counts each read these rows: they are made once, with their joins and scores.
+    rows = cut(rows, "scored")
 
     # Best of a group: kept, then score, then least id; the second score is the largest of the others.
     able = rows.filter("eligible")
     rank = F.struct((~c("is_kept")).alias("x"), (-c("score")).alias("y"), c("id").alias("z"))
-    best = able.groupBy("grp").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "score", "sharpness", "sha256", "perceptual_hash", "likely_all_eyes_open", "average_expression_score", "faces"), rank).alias("best"), F.max("score").alias("top"), F.count_if(c("score") == F.lit(0)).alias("_z"))
-    # With the best one out, the second score is the top unless the best alone has it: count who has the top.
-    tops = able.join(best.select("grp", "top", c("best.id").alias("best_id")), "grp").filter("id <> best_id").groupBy("grp").agg(F.max("score").alias("second"))
+    best = able.groupBy("grp").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "score", "sharpness", "sha256", "perceptual_hash", "likely_all_eyes_open", "average_expression_score", "faces"), rank).alias("best"))
+    tops = able.join(best.select("grp", c("best.id").alias("best_id")), "grp").filter("id <> best_id").groupBy("grp").agg(F.max("score").alias("second"))
     group = best.join(tops, "grp", "left").select("grp", "n", "best", F.coalesce("second", F.lit(0.0)).alias("second"))
     content = F.when(c("sha256") != "", c("sha256"))
     copies = able.withColumn("content", content).filter("content is not null").join(best.select("grp", c("best.id").alias("best_id")), "grp")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argentum.operators import catalog, detection, duplicates, incremental, ranks
+from argentum.operators import catalog, decisions, detection, duplicates, incremental, ranks
 from argentum.operators import faces as face
 from argentum.plans import adapters as ad
 from argentum.plans.queries import MOMENTS_SQL
@@ -84,3 +84,12 @@ def head_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = ad.table(spark, sf_dir, "embeddings").select(c("vec_id").alias("image_id"), F.lit(32).alias("stride"), size(F.slice(e, 1, 4)).alias("cls"), size(F.slice(e, 5, 4)).alias("obj"), F.slice(e, 9, 16).alias("bbox"), F.slice(e, 25, 40).alias("kps"), F.lit(1.5).alias("scale_x"), F.lit(0.75).alias("scale_y"))
     r6 = lambda x, name: F.round(x, 6).alias(name)
     return detection.decoded(heads, 64).select("image_id", "cell", *[r6(c(n), n) for n in ("score", "x", "y", "width", "height")], r6(c("nose.x"), "nose_x"), r6(c("nose.y"), "nose_y"))
+
+
+@query(f"""WITH {ad.SHOTS_SQL}, f AS (SELECT id, moment_id, thumb, l_partkey % 3 AS faces FROM shots), k AS (SELECT moment_id, faces, count(*) AS n FROM f WHERE faces > 0 GROUP BY 1, 2),
+u AS (SELECT moment_id, faces AS usual FROM k QUALIFY row_number() OVER (PARTITION BY moment_id ORDER BY n DESC, faces DESC) = 1)
+SELECT id AS photo_id FROM f JOIN u ON u.moment_id = f.moment_id WHERE faces > 0 AND faces + 1 = usual AND f.moment_id IN (SELECT moment_id FROM f WHERE thumb IS NOT NULL)""")
+def face_count_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos with one face less than is usual in their moment."""
+    rows = ad.shots(spark, sf_dir).withColumn("face_count", c("l_partkey") % 3)
+    return decisions.recommend(rows).filter(F.array_contains("codes", "FaceCountMismatch")).select("photo_id")
