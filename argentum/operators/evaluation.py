@@ -89,6 +89,11 @@ def enough(eyes: DataFrame, least: int = LEAST_EYES) -> bool:
     return usable(eyes).limit(least).count() >= least
 
 
+def enough_row(eyes: DataFrame, least: int = LEAST_EYES) -> DataFrame:
+    """The same as one row: enough."""
+    return usable(eyes).agg((F.count("*") >= least).alias("enough"))
+
+
 def predictions_with_labels(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """Predicted eyes with their labels: both have filename, face_index, side."""
     return predictions.join(truth, ["filename", "face_index", "side"], "left")

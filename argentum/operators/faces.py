@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argentum.functions.scalar import EXPRESSION_TRUST, known_state
+from argentum.functions.scalar import EXPRESSION_TRUST, iou, known_state
 from argentum.operators.catalog import in_one_row
 
 
@@ -72,15 +72,6 @@ def totals(faces: DataFrame, analysed: DataFrame, photos: DataFrame, version: st
     return in_one_row(checked, faces.join(now, "photo_id", "left_semi").agg(F.count("*").alias("faces_detected")))
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Common area of two boxes (structs with x, y, width, height) over the area of both; 0 where that has none."""
-    zero = F.lit(0.0)
-    wide = F.greatest(F.least(a["x"] + a["width"], b["x"] + b["width"]) - F.greatest(a["x"], b["x"]), zero)
-    high = F.greatest(F.least(a["y"] + a["height"], b["y"] + b["height"]) - F.greatest(a["y"], b["y"]), zero)
-    both = a["width"] * a["height"] + b["width"] * b["height"] - wide * high
-    return F.when(both > 0, wide * high / both).otherwise(zero)
-
-
 def suppressed(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Non-maximum suppression in each image: boxes that overlap a better kept one go.
 
@@ -91,5 +82,5 @@ def suppressed(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(rank)), lambda r: r["row"])
     sides = boxes.groupBy("image_id").agg(ordered.alias("rows"))
     none = F.filter("rows", lambda r: F.lit(False))  # typed as the boxes are
-    kept = F.aggregate("rows", none, lambda kept, r: F.when(F.exists(kept, lambda k: overlap(k, r) > threshold), kept).otherwise(F.array_append(kept, r)))
+    kept = F.aggregate("rows", none, lambda kept, r: F.when(F.exists(kept, lambda k: iou(k, r) > threshold), kept).otherwise(F.array_append(kept, r)))
     return sides.select(F.inline(kept)).select(*boxes.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argentum.operators import catalog, decisions, detection, duplicates, incremental, ranks
+from argentum.operators import alignment, catalog, decisions, detection, duplicates, images, incremental, ranks
 from argentum.operators import faces as face
 from argentum.plans import adapters as ad
 from argentum.plans.queries import MOMENTS_SQL
@@ -93,3 +93,51 @@ def face_count_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photos with one face less than is usual in their moment."""
     rows = ad.shots(spark, sf_dir).withColumn("face_count", c("l_partkey") % 3)
     return decisions.recommend(rows).filter(F.array_contains("codes", "FaceCountMismatch")).select("photo_id")
+
+
+#: Five points of a face from a line of an order, as SQL and as columns: around the template, moved, and scaled by the quantity.
+SPOTS = [(x, y, i) for i, (x, y) in enumerate(alignment.TEMPLATE)]
+SPOT_SQL = {axis: ", ".join(f"({p[k]} + (l_partkey * {7 + p[2] + 5 * k} % 11) * 0.7) * l_quantity / 20 + l_suppkey % {13 + k}" for p in SPOTS) for k, axis in enumerate("xy")}
+TURNED_SQL = f"""p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, [{SPOT_SQL["x"]}] AS x, [{SPOT_SQL["y"]}] AS y FROM lineitem),
+u AS (SELECT [{", ".join(str(x) for x, _ in alignment.TEMPLATE)}] AS u, [{", ".join(str(y) for _, y in alignment.TEMPLATE)}] AS v),
+m AS (SELECT *, list_avg(x) AS mx, list_avg(y) AS my, list_avg(u) AS mu, list_avg(v) AS mv FROM p, u),
+s AS (SELECT *, list_sum(list_transform(range(1, 6), lambda i: (x[i] - mx) * (u[i] - mu) + (y[i] - my) * (v[i] - mv))) AS d, list_sum(list_transform(range(1, 6), lambda i: (x[i] - mx) * (v[i] - mv) - (y[i] - my) * (u[i] - mu))) AS c,
+ list_sum(list_transform(range(1, 6), lambda i: (x[i] - mx) ** 2 + (y[i] - my) ** 2)) AS n FROM m)"""
+
+
+@query(f"WITH {TURNED_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, round(d / n, 6) + 0.0 AS a, round(c / n, 6) + 0.0 AS b, round(mu - d / n * mx + c / n * my, 6) + 0.0 AS tx, round(mv - c / n * mx - d / n * my, 6) + 0.0 AS ty FROM s WHERE l_quantity >= 24 AND n >= 1")
+def face_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turn and scale that brings the points of each large face to their places."""
+    rows = ad.table(spark, sf_dir, "lineitem").filter("l_quantity >= 24")
+    place = lambda p, k: (F.lit(p[k]) + (c("l_partkey") * (7 + p[2] + 5 * k) % 11) * 0.7) * c("l_quantity") / 20 + c("l_suppkey") % (13 + k)
+    points = F.array(*[F.struct(place(p, 0).alias("x"), place(p, 1).alias("y")) for p in SPOTS])
+    found = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", alignment.similarity(points).alias("t")).filter("t is not null")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", *[(F.round(f"t.{x}", 6) + 0.0).alias(x) for x in ("a", "b", "tx", "ty")])
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 5)) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)
+SELECT vec_id, round(v[1] / n, 6) AS first, round(v[64] / n, 6) AS last, round(list_sum(list_transform(v, lambda x: (x / n) ** 2)), 6) AS length FROM n WHERE n >= 1e-8""")
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptors at length 1."""
+    rows = ad.table(spark, sf_dir, "embeddings").select("vec_id", alignment.unit(F.transform("embedding", lambda x: x.cast("double") * (1 + c("vec_id") % 5)), 64).alias("v")).filter("v is not null")
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    return rows.select("vec_id", F.round(F.get("v", 0), 6).alias("first"), F.round(F.get("v", 63), 6).alias("last"), F.round(length, 6).alias("length"))
+
+
+WIDE, HIGH = 16, 8
+PIXELS_SQL = f"""h AS (SELECT page_id AS id, rpad(substr(hex(encode(html)), 1, {6 * WIDE * HIGH}), {6 * WIDE * HIGH}, '0') AS h FROM pages),
+b AS (SELECT id, list_transform(range(0, {3 * WIDE * HIGH}), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS INT)) AS b FROM h),
+g AS (SELECT id, list_transform(range(0, {WIDE * HIGH}), lambda i: (2126 * b[3 * i + 1] + 7152 * b[3 * i + 2] + 722 * b[3 * i + 3]) // 10000) AS g,
+ list_transform(range(0, {WIDE * HIGH}), lambda i: CASE WHEN greatest(b[3 * i + 1], b[3 * i + 2], b[3 * i + 3]) > 0 THEN (greatest(b[3 * i + 1], b[3 * i + 2], b[3 * i + 3]) - least(b[3 * i + 1], b[3 * i + 2], b[3 * i + 3]))::DOUBLE / greatest(b[3 * i + 1], b[3 * i + 2], b[3 * i + 3]) ELSE 0 END) AS s FROM b),
+l AS (SELECT *, list_transform(list_filter(range(0, {WIDE * HIGH}), lambda i: i // {WIDE} BETWEEN 1 AND {HIGH - 2} AND i % {WIDE} BETWEEN 1 AND {WIDE - 2}), lambda i: g[i - {WIDE} + 1] + g[i + {WIDE} + 1] + g[i] + g[i + 2] - 4 * g[i + 1]) AS l FROM g)"""
+
+
+@query(f"""WITH {PIXELS_SQL} SELECT id, round(list_avg(g) / 255, 6) AS exposure, round(list_aggregate(g, 'stddev_pop') / 127.5, 6) AS contrast, round(len(list_filter(g, lambda x: x < 10)) / {WIDE * HIGH}.0, 6) AS shadow_clipping, round(len(list_filter(g, lambda x: x > 245)) / {WIDE * HIGH}.0, 6) AS highlight_clipping,
+ round(list_avg(s), 6) AS mean_saturation, CASE WHEN list_aggregate(g, 'stddev_pop') < 14 THEN 1.0 ELSE 0.0 END AS flat_fraction, round(least(1.0, list_aggregate(l, 'var_pop') / 1000), 6) AS sharpness,
+ array_to_string(list_transform(range(0, {HIGH}), lambda y: printf('%02x', CAST(list_sum(list_transform(range(0, 8), lambda k: CASE WHEN g[y * {WIDE} + CAST(floor((k + 0.5) * {WIDE} / 9) AS INT) + 1] > g[y * {WIDE} + CAST(floor((k + 1.5) * {WIDE} / 9) AS INT) + 1] THEN 1 << k ELSE 0 END)) AS INT))), '') AS perceptual_hash FROM l""")
+def picture_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of small pictures whose pixels are the bytes of pages."""
+    pixels = F.unhex(F.rpad(F.substring(F.hex(c("html").cast("binary")), 1, 6 * WIDE * HIGH), 6 * WIDE * HIGH, "0"))
+    pictures = ad.table(spark, sf_dir, "pages").select(c("page_id").alias("id"), F.lit(WIDE).alias("width"), F.lit(HIGH).alias("height"), F.lit(None).cast("int").alias("orientation"), pixels.alias("pixels"))
+    names = ("exposure", "contrast", "shadow_clipping", "highlight_clipping", "mean_saturation", "flat_fraction", "sharpness")
+    return images.measure(pictures).select("id", *[F.round(n, 6).alias(n) for n in names], "perceptual_hash")

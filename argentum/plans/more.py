@@ -9,6 +9,7 @@ from argentum.functions import scalar
 from argentum.operators import catalog, decisions, duplicates, evaluation, moments, pairs, people, state
 from argentum.operators import faces as face
 from argentum.plans import adapters as ad
+from argentum.plans.queries import NAMED_SQL, named_files
 from argentum.plans.registry import query
 from argentum.sources import files, formats
 
@@ -283,7 +284,7 @@ def wrong_eyes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ad.EYES_SQL} SELECT count(*) FILTER (gt <> 'IGNORE') >= 100 AS enough FROM eyes")
 def enough_eyes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an evaluation has eyes enough."""
-    return spark.createDataFrame([(evaluation.enough(ad.eyes(spark, sf_dir)),)], "enough boolean")
+    return evaluation.enough_row(ad.eyes(spark, sf_dir))
 
 
 TRUTH_SQL = "t AS (SELECT doc_id AS filename, 0 AS face, CASE doc_id % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'CLOSED' WHEN 2 THEN 'IGNORE' ELSE '' END AS l, CASE doc_id % 5 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'CLOSED' WHEN 2 THEN 'IGNORE' ELSE '' END AS r FROM labels)"
@@ -428,10 +429,34 @@ def detected_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(c("doc_id").alias("id"), formats.detect(c("path"), c("content")).alias("format"), formats.is_photo_path(c("path")).alias("is_photo"), formats.is_raw(scalar.extension(c("path"))).alias("is_raw"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{n}', {str(f == 'raw').lower()})" for n, _, extensions, f in formats.FORMATS for e in extensions) + ") AS t(extension, format, is_raw)")
+@query(f"WITH {NAMED_SQL} SELECT id, CASE extension " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in formats.EXTENSIONS.items()) + f" END AS format, extension IN ({', '.join(repr(e) for e, n in formats.EXTENSIONS.items() if n in formats.RAW)}) AS is_raw FROM named")
 def format_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each extension."""
-    return formats.format_dim(spark)
+    """The format of each file by the dimension of extensions."""
+    dim = formats.format_dim(spark)  # of fixed size
+    return named_files(spark, sf_dir).withColumn("extension", F.lower("extension")).join(F.broadcast(dim), "extension").select("id", "format", "is_raw")
+
+
+def _heads() -> list[tuple[bytes, str]]:
+    """First bytes of each known signature, and its format."""
+    out = []
+    for places, name in [*formats.MAGIC, *formats.MAGIC_LATE]:
+        head = bytearray(max(o + len(b) for o, b in places))
+        for o, b in places:
+            head[o : o + len(b)] = b
+        out.append((bytes(head), name))
+    out += [(bytes(4) + b"ftyp" + brand.encode("latin-1") + bytes(4), name) for brand, name in formats.BRANDS.items()]
+    return out + [(order + bytes(4) + mark, name) for mark, name in formats.TIFF_MARKS.items() for order in (b"II*\0", b"MM\0*")]
+
+
+HEADS = _heads()
+
+
+@query(f"SELECT doc_id AS id, [{', '.join(repr(n) for _, n in HEADS)}][doc_id % {len(HEADS)} + 1] AS format FROM documents")
+def sniffed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats by first bytes: each document's bytes behind one of all signatures, without a name that tells more."""
+    head = F.element_at(F.array(*[F.lit(h) for h, _ in HEADS]), (c("doc_id") % len(HEADS) + 1).cast("int"))
+    rows = ad.table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), F.concat(head, c("text").cast("binary")).alias("content"))
+    return rows.select("id", formats.detect(F.lit("file"), c("content")).alias("format"))
 
 
 @query(f"""WITH RECURSIVE {ad.BITS_SQL}, p AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN 's' || CAST(vec_id % 21 AS VARCHAR) ELSE '' END AS s, h & 72057594037927935::UBIGINT AS h FROM bits),

@@ -423,14 +423,19 @@ def viewer_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.circle(ad.photos(spark, sf_dir).select("id", "source"), ("id",), "source", spark.sparkContext.defaultParallelism).select("id", "previous_id", "next_id")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{x}', '{e[0]}', {str(f == 'raw').lower()}, {str(f != 'heif').lower()})" for n, x, e, f in formats.FORMATS) + ") AS t(format, label, extension, is_raw, \"analyze\")")
-def format_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What can be done with each format."""
-    return formats.registry(spark).select("format", "label", "extension", "is_raw", "analyze")
+NAMES = sorted(formats.EXTENSIONS)
+NAMED_SQL = f"named AS (SELECT doc_id AS id, [{', '.join(repr(e) for e in NAMES)}][doc_id % {len(NAMES)} + 1] AS extension FROM documents)"
+
 
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files of all extensions, some in capitals."""
+    own = F.element_at(F.array(*[F.lit(e) for e in NAMES]), (F.col("doc_id") % len(NAMES) + 1).cast("int"))
+    return ad.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.upper(own)).otherwise(own).alias("extension"))
 
-@query("SELECT page_id, lower(regexp_extract(url, '\\.([^./]*)$', 1)) AS extension, sha256(html) AS sha256, strlen(html) AS file_size FROM pages")
-def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files by extension, contents and size."""
-    rows = ad.table(spark, sf_dir, "pages")
-    return rows.select("page_id", F.lower(F.regexp_extract("url", r"\.([^./]*)$", 1)).alias("extension"), F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), F.octet_length("html").cast("long").alias("file_size"))
+
+@query(f"WITH {NAMED_SQL}, f AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{x}', '{e}', {str(f == 'raw').lower()}, {str(f != 'heif').lower()})" for n, x, many, f in formats.FORMATS for e in many) + """) AS t(format, label, extension, is_raw, "analyze"))
+SELECT format, label, is_raw, "analyze", count(*) AS files FROM named JOIN f ON f.extension = named.extension GROUP BY ALL""")
+def format_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each format, and what can be done with them."""
+    files = named_files(spark, sf_dir).groupBy(formats.from_extension(F.col("extension")).alias("format")).agg(F.count("*").alias("files"))
+    return formats.registry(spark).join(files, "format").select("format", "label", "is_raw", "analyze", "files")

@@ -117,3 +117,46 @@ def test_plans_push_down(spark, sf, capsys):
     base.dashboard_stats(spark, sf).explain("simple")
     text = capsys.readouterr().out
     assert "BroadcastNestedLoopJoin BuildRight, Inner, (" not in text and "ReadSchema: struct<vec_id" in text
+
+
+#: Lists whose order counts: what their rows are sorted by, after SQL's own ORDER BY where the SQL has one.
+ORDERED = {
+    "library_page": "created_at DESC, id",
+    "library_page_offset": None,
+    "library_deep_page": "place",
+    "bin_listing": "id",
+    "wrong_eyes": "what DESC, filename, face",
+    "listed_people": "size DESC, person_key",
+}
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_order_of_lists(spark, sf, duck, name):
+    """Row by row: a shuffled result fails."""
+    df = entry.queries()[name](spark, sf)
+    sql = entry.oracle_sql()[name]
+    columns = ", ".join(f'"{c}"' for c in df.columns)
+    want = duck.execute(f"SELECT {columns} FROM ({sql}) AS q{f' ORDER BY {ORDERED[name]}' if ORDERED[name] else ''}").fetchall()
+    got = [tuple(map(plain, r)) for r in df.collect()]
+    assert got == [tuple(map(plain, r)) for r in want] and len(got) > 1
+
+
+def test_order_of_duplicate_moments(spark):
+    import datetime as dt
+
+    from argentum.operators import guard
+
+    base = dt.datetime(2024, 1, 1)
+    groups = spark.createDataFrame([(m, base, base + dt.timedelta(minutes=5)) for m in "abcd"], "id string, start_time timestamp, end_time timestamp")
+    photos = spark.createDataFrame([(i, m, "00000000000000ff") for i, m in enumerate("aabcccdddd")], "id long, moment_id string, perceptual_hash string")
+    got = [tuple(r)[:3] for r in guard.duplicate_moments(groups, photos).collect()]
+    assert got == [("c", "d", 12), ("a", "d", 8), ("a", "c", 6), ("b", "d", 4), ("b", "c", 3), ("a", "b", 2)]
+
+
+def test_order_of_moments(spark):
+    from argentum.operators import moments
+
+    groups = spark.createDataFrame([("m1", "2024-01-01"), ("m2", "2024-02-01"), ("m3", "2024-02-01")], "moment_id string, start_time string")
+    photos = spark.createDataFrame([(2, "m1", "2024-01-02"), (1, "m1", "2024-01-02"), (3, "m1", "2024-01-01")], "id long, moment_id string, created_at string").selectExpr("*", "cast(null as string) as capture_time")
+    got = moments.with_photos(groups, photos, spark.createDataFrame([], "photo_id long, decision string")).collect()
+    assert [r["moment_id"] for r in got] == ["m2", "m3", "m1"] and [p["id"] for p in got[2]["photos"]] == [3, 1, 2]
