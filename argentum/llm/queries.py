@@ -81,4 +81,4 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_ids, op3_log_bilinear, op4_fm_index, op5_byte_bpe, op6_best_fit, op7_near_duplicates, op8_audio_features, op9_toxicity, op10_syncmers, op11_conversation_repair, op12_token_counts, op13_token_alignment)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": oracles.SUFFIX_DEDUP, "op4_fm_index": oracles.FM_DEDUP, "op7_near_duplicates": oracles.NEAR_DUPLICATES}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": oracles.SUFFIX_DEDUP, "op4_fm_index": oracles.FM_DEDUP, "op7_near_duplicates": oracles.NEAR_DUPLICATES, "op11_conversation_repair": oracles.REPAIR}
