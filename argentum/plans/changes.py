@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argentum.operators import alignment, catalog, decisions, detection, duplicates, images, incremental, ranks
+from argentum.operators import alignment, catalog, decisions, detection, duplicates, guard, images, incremental, ranks, state
 from argentum.operators import faces as face
 from argentum.plans import adapters as ad
 from argentum.plans.queries import MOMENTS_SQL
 from argentum.plans.registry import query
-from argentum.plans.shared import cut
+from argentum.plans.shared import cut, place
+from argentum.sources import files
 
 c = F.col
 
@@ -141,3 +142,66 @@ def picture_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     pictures = ad.table(spark, sf_dir, "pages").select(c("page_id").alias("id"), F.lit(WIDE).alias("width"), F.lit(HIGH).alias("height"), F.lit(None).cast("int").alias("orientation"), pixels.alias("pixels"))
     names = ("exposure", "contrast", "shadow_clipping", "highlight_clipping", "mean_saturation", "flat_fraction", "sharpness")
     return images.measure(pictures).select("id", *[F.round(n, 6).alias(n) for n in names], "perceptual_hash")
+
+
+@query("""WITH o AS (SELECT vec_id // 2 AS photo_id, vec_id % 2 AS face_index, 'v1' AS version, embedding[1]::DOUBLE AS first FROM embeddings WHERE vec_id % 5 <> 0), n AS (SELECT vec_id // 2 AS photo_id, vec_id % 2 AS face_index, 'v2' AS version, embedding[2]::DOUBLE AS first FROM embeddings WHERE vec_id % 3 = 0)
+SELECT photo_id, face_index, version, round(first, 6) AS first FROM n UNION ALL SELECT photo_id, face_index, version, round(first, 6) FROM o WHERE (photo_id, face_index) NOT IN (SELECT (photo_id, face_index) FROM n)""")
+def upserted_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of faces put into the catalog: photo and face together are the key."""
+    face_of = [F.floor(c("vec_id") / 2).alias("photo_id"), (c("vec_id") % 2).alias("face_index")]
+    rows = ad.table(spark, sf_dir, "embeddings")
+    side = lambda keep, version, i: rows.filter(keep).select(*face_of, F.lit(version).alias("version"), F.round(F.get("embedding", i).cast("double"), 6).alias("first"))
+    return state.upserted(side("vec_id % 5 <> 0", "v1", 0), side("vec_id % 3 = 0", "v2", 1), ("photo_id", "face_index"))
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 7 <> 0 THEN 'Cam' || lang END AS camera_model, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 8 + 1 END AS orientation, CASE WHEN doc_id % 7 <> 0 THEN '2024:01:' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || ' 10:00:00' END AS capture_time FROM documents""")
+def camera_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Camera metadata read from bytes: a TIFF directory of three entries made from each document, in either byte order."""
+    small = c("doc_id") % 2 == 0
+
+    def number(value, size: int):
+        """A number's bytes in the row's order, as hexadecimal digits."""
+        big = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+        return F.when(small, F.concat(*[F.substring(big, 2 * (size - i) - 1, 2) for i in range(size)])).otherwise(big)
+
+    text = lambda x: F.concat(F.hex(F.encode(x, "UTF-8")), F.lit("00"))
+    model, at = F.concat(F.lit("Cam"), "lang"), F.concat(F.lit("2024:01:"), F.lpad((c("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit(" 10:00:00"))
+    entry = lambda tag, kind, n, value: F.concat(number(F.lit(tag), 2), number(F.lit(kind), 2), number(n, 4), value)
+    length = F.octet_length(model) + 1
+    head = F.concat(F.when(small, "49492A00").otherwise("4D4D002A"), number(F.lit(8), 4), number(F.lit(3), 2))
+    first = entry(0x0110, 2, length, number(F.lit(50), 4))
+    second = entry(0x0112, 3, F.lit(1), F.concat(number(c("doc_id") % 8 + 1, 2), F.lit("0000")))
+    third = entry(0x0132, 2, F.lit(20), number(length + 50, 4))
+    content = F.when(c("doc_id") % 7 == 0, c("text").cast("binary")).otherwise(F.unhex(F.concat(head, first, second, third, F.lit("00000000"), text(model), text(at))))
+    found = files.with_metadata(ad.table(spark, sf_dir, "documents").select(c("doc_id").cast("string").alias("path"), content.alias("content")))
+    return found.select(c("path").cast("long").alias("id"), "camera_model", "orientation", "capture_time")
+
+
+@query("""WITH t AS (SELECT doc_id, toxic, quality FROM labels)
+SELECT CAST(doc_id AS VARCHAR) || '.jpg' AS filename, 0 AS face, CASE WHEN toxic = 1 THEN 'CLOSED' ELSE 'OPEN' END AS left_eye, CASE WHEN doc_id % 5 = 0 THEN 'SHUT' ELSE '' END AS right_eye, CASE WHEN doc_id % 5 = 0 THEN 'no such label' END AS problem FROM t WHERE doc_id % 4 = 0
+UNION ALL SELECT CAST(doc_id AS VARCHAR) || '.jpg', NULL, '', '', NULL FROM t WHERE doc_id % 4 = 1 UNION ALL SELECT NULL, NULL, NULL, NULL, 'not a JSON object' FROM t WHERE doc_id % 4 = 2""")
+def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label files: with faces, without, broken ones, and keys that are left out."""
+    name = F.concat(c("doc_id").cast("string"), F.lit(".jpg"))
+    faces = F.format_string('{"%s":[{"face":0,"left_eye":"%s"%s}],"_note":[]}', name, F.when(c("toxic") == 1, "CLOSED").otherwise("OPEN"), F.when(c("doc_id") % 5 == 0, ',"right_eye":"SHUT"').otherwise(""))
+    value = F.when(c("doc_id") % 4 == 0, faces).when(c("doc_id") % 4 == 1, F.format_string('{"%s":[]}', name)).when(c("doc_id") % 4 == 2, "[1, 2").otherwise('{"_only":[]}')
+    return files.ground_truth(ad.table(spark, sf_dir, "labels").select(value.alias("value")))
+
+
+@query("SELECT p_name AS file, p_brand AS make, p_type AS model, p_size AS raw_width, CAST(floor(p_retailprice) AS INT) AS raw_height FROM part")
+def raw_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of RAW files, written with tabs and read again."""
+    path = place(spark, "manifest")
+    rows = ad.table(spark, sf_dir, "part").select(c("p_name").alias("file"), c("p_brand").alias("make"), c("p_type").alias("model"), c("p_size").alias("raw_width"), F.floor("p_retailprice").cast("int").alias("raw_height"))
+    rows.write.option("header", True).csv(path, sep="\t")
+    return files.manifest(spark, path)
+
+
+@query("""WITH w AS (SELECT p_partkey AS id, p_partkey * 3600 - 500000 AS s, p_partkey * 3600 - 500000 + CASE WHEN p_partkey % 200 = 0 THEN 400000 ELSE p_size * 150 END AS e FROM part)
+SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.id < b.id AND a.s <= b.e AND b.s <= a.e""")
+def window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of time windows that meet: most of some hours, a few of days."""
+    start = c("p_partkey") * 3600 - 500_000
+    end = start + F.when(c("p_partkey") % 200 == 0, 400_000).otherwise(c("p_size") * 150)
+    rows = ad.table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), F.timestamp_seconds(start).alias("start_time"), F.timestamp_seconds(end).alias("end_time"))
+    return guard.overlapping(rows, 900)
