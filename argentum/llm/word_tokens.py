@@ -52,8 +52,8 @@ class Pieces:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(1 + max(vocabulary.values()), bool)  # ids that end a run of letters
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}  # of pieces in UTF-8
+        self.old: dict[bytes, bytes] = {}
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Words of letters only make one run each, so that many can be encoded as one text."""
@@ -70,15 +70,19 @@ class Pieces:
     def _any(self, some: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    def _learn(self, new: list[str], extra: dict[str, bytes]) -> None:
-        """Fills the cache with new pieces; long ones go to `extra`."""
-        cache = self.cache
-        words = [p for p in new if p.isalpha() and len(p) <= LONG]
-        other = [p for p in new if not (p.isalpha() and len(p) <= LONG)]
-        for make, some in ((self._letters, words), (self._any, other)):
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """Ids of new pieces; short ones stay in the cache."""
+        texts = [p.decode() for p in new]
+        out: list[bytes] = [b""] * len(new)
+        word = [p.isalpha() and len(p) <= LONG for p in texts]
+        for make, kind in ((self._letters, True), (self._any, False)):
+            some = [i for i, w in enumerate(word) if w == kind]
             for a in range(0, len(some), TOGETHER):
-                for p, ids in zip(some[a : a + TOGETHER], make(some[a : a + TOGETHER]), strict=True):
-                    (cache if len(p) <= LONG else extra)[p] = ids
+                own = some[a : a + TOGETHER]
+                for i, ids in zip(own, make([texts[i] for i in own]), strict=True):
+                    out[i] = ids
+        self.cache.update((p, ids) for p, t, ids in zip(new, texts, out, strict=True) if len(t) <= LONG)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text: every distinct piece of the batch is looked up once, then ids are gathered."""
@@ -100,24 +104,22 @@ class Pieces:
         words.of = np.searchsorted(words.start, words.bounds)
         cache, raw = self.cache, words.data.tobytes()
         first, inverse = words.numbers()
-        distinct = [raw[a:b].decode() for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
+        distinct = [raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
         # Two generations: what is looked up again moves from the old one to the new one.
         if len(cache) > CACHE:
             self.old, self.cache = cache, {}
             cache = self.cache
-        old = self.old
-        extra: dict[str, bytes] = {}
-        self._learn([p for p in distinct if p not in cache and p not in old], extra)
-        ids = []
-        for p in distinct:
-            x = cache.get(p)
+        ids = list(map(cache.get, distinct))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        new = []
+        for i in missing:
+            x = self.old.get(distinct[i])
             if x is None:
-                x = old.get(p)
-                if x is None:
-                    x = extra[p]
-                else:
-                    cache[p] = x
-            ids.append(x)
+                new.append(i)
+            else:
+                cache[distinct[i]] = ids[i] = x
+        for i, x in zip(new, self._learn([distinct[i] for i in new]), strict=True):
+            ids[i] = x
         flat, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         begin = np.cumsum(size) - size
         n = size[inverse]
