@@ -9,7 +9,8 @@ from argentum.llm import queries
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     columns = [d[0] for d in want.description]
     df = queries.QUERIES[name](spark, sf)
