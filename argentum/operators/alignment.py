@@ -29,23 +29,33 @@ def similarity(points: Column) -> Column:
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     ux, uy = (sum(p[k] for p in TEMPLATE) / 5.0 for k in (0, 1))
     places = F.array(*[F.struct(F.lit(x - ux).alias("x"), F.lit(y - uy).alias("y")) for x, y in TEMPLATE])
-    axis = lambda name: F.transform(points, lambda p: p[name].cast("double"))
-    means = F.struct((total(axis("x")) / 5.0).alias("x"), (total(axis("y")) / 5.0).alias("y"))
+    wide = F.transform(points, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
 
-    def sums(m: Column) -> Column:
-        near = F.transform(points, lambda p: F.struct((p["x"].cast("double") - m["x"]).alias("x"), (p["y"].cast("double") - m["y"]).alias("y")))
-        dot = total(F.zip_with(near, places, lambda p, q: p["x"] * q["x"] + p["y"] * q["y"]))
-        cross = total(F.zip_with(near, places, lambda p, q: p["x"] * q["y"] - p["y"] * q["x"]))
-        norm = total(F.transform(near, lambda p: p["x"] * p["x"] + p["y"] * p["y"]))
-        good = (norm >= 1.0) & (norm < float("inf"))
-        return F.struct(m["x"].alias("x"), m["y"].alias("y"), F.when(good, dot / norm).alias("a"), F.when(good, cross / norm).alias("b"))
+    def centred(p: Column) -> Column:
+        """The points' mean, and the points from there."""
+        mean = F.struct((total(F.transform(p, lambda q: q["x"])) / 5.0).alias("x"), (total(F.transform(p, lambda q: q["y"])) / 5.0).alias("y"))
+        return let(mean, lambda m: F.struct(m.alias("m"), F.transform(p, lambda q: F.struct((q["x"] - m["x"]).alias("x"), (q["y"] - m["y"]).alias("y"))).alias("near")))
+
+    def sums(c: Column) -> Column:
+        both = F.arrays_zip(c["near"].alias("p"), places.alias("q"))
+        zero = F.struct(*[F.lit(0.0).alias(n) for n in ("dot", "cross", "norm")])
+
+        def add(s: Column, z: Column) -> Column:
+            p, q = z["p"], z["q"]
+            return F.struct((s["dot"] + (p["x"] * q["x"] + p["y"] * q["y"])).alias("dot"), (s["cross"] + (p["x"] * q["y"] - p["y"] * q["x"])).alias("cross"), (s["norm"] + (p["x"] * p["x"] + p["y"] * p["y"])).alias("norm"))
+
+        def scaled(s: Column) -> Column:
+            good = (s["norm"] >= 1.0) & (s["norm"] < float("inf"))
+            return F.struct(c["m"]["x"].alias("x"), c["m"]["y"].alias("y"), F.when(good, s["dot"] / s["norm"]).alias("a"), F.when(good, s["cross"] / s["norm"]).alias("b"))
+
+        return let(F.aggregate(both, zero, add), scaled)
 
     def turn(t: Column) -> Column:
         a, b = t["a"], t["b"]
         out = F.struct(a.alias("a"), b.alias("b"), (F.lit(ux) - a * t["x"] + b * t["y"]).alias("tx"), (F.lit(uy) - b * t["x"] - a * t["y"]).alias("ty"))
         return F.when(a * a + b * b >= 1e-8, out)
 
-    return F.when(F.size(points) == 5, let(let(means, sums), turn))
+    return let(wide, lambda p: F.when(F.size(p) == 5, let(let(let(p, centred), sums), turn)))
 
 
 def sampled(rgb: np.ndarray, a: float, b: float, tx: float, ty: float, side: int = SIDE) -> np.ndarray:
