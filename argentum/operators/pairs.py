@@ -31,7 +31,7 @@ def candidates(photos: DataFrame, seconds: int = SECONDS) -> DataFrame:
 def match(found: DataFrame, keys: tuple[str, ...], one: str, two: str, order_one: tuple[str, ...], order_two: tuple[str, ...]) -> DataFrame:
     """One-to-one: in each group the first side in its order takes the first free partner.
 
-    found: candidate pairs; keys: their group; the result has `one` and `two`.
+    found: candidate pairs; keys: their group (pairs with a null key are left out); the result has `one` and `two`.
 
     Rounds: a pair that comes first for both its sides is taken, as no other pair before it touches either; then all
     pairs of what was taken go. That is the same as going through all pairs in order. Both firsts are aggregates, so a file with very many
