@@ -223,3 +223,24 @@ def test_alignment_of_documents(spark, sf):
     got = alignment.align_documents(frame(spark, rows), A_PATH, B_PATH)
     assert sorted(map(tuple, got.collect())) == plain_alignment(rows)
     assert alignment.align_documents(frame(spark, []), A_PATH, B_PATH).collect() == []
+
+
+def test_caches_that_overflow(monkeypatch, sf):
+    """Results stay the same when chunks are forgotten, kept or come again."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    texts = pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist()[:80] + TEXTS
+    aligner = alignment.Aligner(A_PATH, B_PATH)
+    want = [(*r[:4], r[4].tolist()) for r in aligner.align(texts)]
+    monkeypatch.setattr(alignment, "CACHE", 900)
+    monkeypatch.setattr(token_counts, "CACHE", 50)
+    small, got, kept = alignment.Aligner(A_PATH, B_PATH), [], set()
+    for a in range(0, len(texts), 3):
+        got += [(*r[:4], r[4].tolist()) for r in small.align(texts[a : a + 3])]
+        kept.add(len(small.known) > 0 and min(small.used.shape[0], len(small.texts)) == len(small.known) == len(small.of) - 1)
+    assert got == want and kept == {True}
+    counter, library = token_counts.TokenCounter(A_PATH), Tokenizer.from_file(A_PATH)
+    for t in texts:
+        assert counter.count(t or "") == len(library.encode(t or "", add_special_tokens=False).ids)
+        assert len(counter.pieces) <= 50 and len(counter.parts) <= 50
