@@ -95,6 +95,10 @@ def _put(tree: CapacityTree, groups: dict, room: int, first: int, many: int) ->
         tree.set(room, True)
 
 
+#: Characters that are encoded at once, which bounds a worker's arrays.
+BATCH = 3 << 20
+
+
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
     """Pieces of at most `capacity` ids: doc_id, piece, start, length, ids_crc32, and part, row, which are unique."""
 
@@ -103,7 +107,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> D
 
         encoder, end = pieces(vocabulary), np.array([end_id], "<u4").tobytes()
         part, row = TaskContext.get().partitionId(), 0
-        for keys, texts in gathered(batches):
+        for keys, texts in gathered(batches, BATCH):
             rows = []
             for key, ids in zip(keys, encoder.encode(texts), strict=True):
                 ids += end
