@@ -43,7 +43,8 @@ def overlapping(moments: DataFrame, grid: int) -> DataFrame:
     windows = rows.select(F.col("id").alias("a"), F.col("s").alias("s1"), F.col("e").alias("e1"), F.explode(nodes(cell("s"), cell("e"), levels)).alias("node")).select("a", "s1", "e1", "node.level", "node.place")
     begin = rows.select(F.col("id").alias("b"), F.col("s").alias("s2"), cell("s").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")).select("b", "s2", "level", F.expr("shiftright(cell, level)").alias("place"))
     inside = (F.col("s2") <= F.col("e1")) & ((F.col("s1") < F.col("s2")) | (F.col("s1") == F.col("s2")) & (F.col("a") < F.col("b")))
-    return windows.join(begin, ["level", "place"]).filter(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Nodes are many for each row, which the plan's estimate of sizes doesn't know: the join never sends one side whole to all.
+    return windows.hint("merge").join(begin, ["level", "place"]).filter(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def duplicate_moments(moments: DataFrame, photos: DataFrame, distance: int = BITS, grid: int = 900) -> DataFrame:

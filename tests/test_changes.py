@@ -89,6 +89,14 @@ def test_overlaps_of_windows_of_any_length(spark):
     assert pieces <= 32
 
 
+def test_overlaps_send_no_side_whole(spark):
+    """Whatever the estimate of sizes says: nodes are several for each window."""
+    df = spark.range(1000).select("id", F.timestamp_seconds(F.col("id") * 3600).alias("start_time"), F.timestamp_seconds(F.col("id") * 3600 + 5000).alias("end_time"))
+    found = guard.overlapping(df, 900)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 999
+
+
 def test_pages_and_places(spark):
     rng = random.Random(4)
     rows = [(i, rng.randrange(40)) for i in range(900)]
