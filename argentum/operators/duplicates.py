@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argentum.functions.scalar import hash_bits, signature, visual_match
@@ -51,6 +52,23 @@ def near_hashes(rows: DataFrame, distance: int, key: str = "id", bits: str = "bi
     return across.select("a", "b", F.col("distance").cast("long").alias("distance")).union(same)
 
 
+def near_hashes_of(rows: DataFrame, distance: int, states: tuple[Column, ...], key: str = "id", bits: str = "bits") -> DataFrame:
+    """Links (a < b) that hold in each of several states of a table, once each. states: conditions, true for rows that are there.
+
+    As near_hashes, but a row that isn't there stands for none: in each state copies are linked to a row of that state. It is the one
+    that is there in most states, then the least, so that links which a state adds or takes away touch rows that come or go.
+    """
+    known = rows.filter(F.col(bits).isNotNull())
+    often = reduce(lambda x, y: x + y, [s.cast("int") for s in states])
+    first = known.groupBy(F.col(bits).alias("h")).agg(*[F.min(F.when(s, F.struct((-often).alias("x"), F.col(key).alias("id"))))["id"].alias(f"r{i}") for i, s in enumerate(states)])
+    there = [F.struct(s.alias("here"), F.lit(i).alias("state")) for i, s in enumerate(states)]
+    of = F.element_at(F.array(*[F.col(f"r{i}") for i in range(len(states))]), F.col("state") + 1)
+    same = known.select(F.col(key).alias("b"), F.col(bits).alias("h"), F.explode(F.array(*there)).alias("s")).select("b", "h", "s.*").filter("here").join(first, "h").select(of.alias("a"), "b")
+    one, two = (first.select(F.col("h").alias(h), F.array(*[f"r{i}" for i in range(len(states))]).alias(x)) for h, x in (("g", "x"), ("h", "y")))
+    ends = near_values(first.select("h"), distance).hint("merge").join(one, "g").join(two.hint("merge"), "h").select(F.explode(F.arrays_zip("x", "y")).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b"))
+    return ends.union(same).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(photos: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Links (a, b) of duplicates: equal contents (to the least id) or pictures that match.
 

@@ -12,6 +12,7 @@ from argentum.operators import detection, guard, incremental, ranks
 from argentum.operators import faces as face
 from argentum.operators.components import components
 from argentum.operators.moments import segments
+from argentum.plans import changes
 
 BASE = dt.datetime(2024, 1, 1)
 
@@ -178,3 +179,31 @@ def test_heads_against_a_plain_loop(spark):
     assert 0 < len(kept) < len(got) and {(r["image_id"], r["stride"], r["cell"]) for r in kept} <= {x[:3] for x in got}
     with pytest.raises(Exception, match="unexpected size of bbox"):
         detection.decoded(df.withColumn("bbox", F.slice("bbox", 1, 7)), 64).collect()
+
+
+def test_copies_stay_together_when_the_least_goes(spark, tmp_path):
+    """Equal hashes whose least row goes, comes late, or is the only one that stays."""
+    rng = random.Random(11)
+    looks = [[rng.choice([-1.0, 1.0]) for _ in range(64)] for _ in range(14)]
+    for k in range(7, 14):  # near the first ones
+        looks[k] = [-x if i < k else x for i, x in enumerate(looks[k - 7])]
+    rows = [(i, looks[rng.randrange(14)]) for i in [*range(17, 120), *range(17 * 13, 17 * 13 + 40)]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    kept = [(i, v) for i, v in rows if i % 17 or i % 13 == 0]
+    head = {i: i for i, _ in kept}
+
+    def root(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for i, v in kept:
+        for j, w in kept:
+            if i < j and sum(x != y for x, y in zip(v, w, strict=True)) <= 18:
+                p, q = sorted((root(i), root(j)))
+                head[q] = p
+    groups = {}
+    for i, _ in kept:
+        groups.setdefault(root(i), []).append(i)
+    want = sorted((i, g) for g, ids in groups.items() if len(ids) > 1 for i in ids)
+    assert sorted(map(tuple, changes.groups_after_changes(spark, str(tmp_path)).collect())) == want and len(groups) > 2
