@@ -24,6 +24,7 @@ def near_values(hashes: DataFrame, distance: int) -> DataFrame:
     Cut into n bands, some band of a near pair differs in at most distance/n bits. One side looks up
     its bands as they are, the other side all values of a band within that many bits. Where such an equi-join
     would list more than a hundredth of all pairs, blocks of values are compared instead, those that pivots don't rule out.
+    Either way rows come from few, which the plan's estimate of sizes doesn't know: joins with them are merges, nothing is sent whole to all.
     """
     n = 4 if distance < 16 else 8
     width, radius = 64 // n, distance // n
@@ -32,10 +33,12 @@ def near_values(hashes: DataFrame, distance: int) -> DataFrame:
         return near.select(F.col("a").alias("g"), F.col("b").alias("h"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance"))
     masks = [0] + [sum(1 << i for i in c) for r in range(1, radius + 1) for c in combinations(range(width), r)]
     band = [F.shiftrightunsigned("h", width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(n)]
-    named = hashes.select("h", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), b.alias("value")) for i, b in enumerate(band)])).alias("s")).select("h", "s.band", "s.value")
+    # Dealt out before each row becomes hundreds.
+    spread = hashes.select("h").repartition(2 * hashes.sparkSession.sparkContext.defaultParallelism, "h")
+    named = spread.select("h", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), b.alias("value")) for i, b in enumerate(band)])).alias("s")).select("h", "s.band", "s.value")
     probes = named.select(F.col("h").alias("g"), "band", F.explode(F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
     far = F.bit_count(F.col("h").bitwiseXOR(F.col("g")))
-    return named.join(probes, ["band", "value"]).filter((F.col("g") < F.col("h")) & (far <= distance)).select("g", "h", far.alias("distance")).distinct()
+    return named.hint("merge").join(probes, ["band", "value"]).filter((F.col("g") < F.col("h")) & (far <= distance)).select("g", "h", far.alias("distance")).distinct()
 
 
 def near_hashes(rows: DataFrame, distance: int, key: str = "id", bits: str = "bits") -> DataFrame:
@@ -47,7 +50,7 @@ def near_hashes(rows: DataFrame, distance: int, key: str = "id", bits: str = "bi
     known = rows.filter(F.col(bits).isNotNull())
     first = known.groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("first"))
     one, two = first.select(F.col("h").alias("g"), F.col("first").alias("x")), first.select("h", F.col("first").alias("y"))
-    across = near_values(first.select("h"), distance).join(one, "g").join(two, "h").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    across = near_values(first.select("h"), distance).hint("merge").join(one, "g").join(two.hint("merge"), "h").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
     same = known.select(F.col(key).alias("b"), F.col(bits).alias("h")).join(first, "h").filter("first <> b").select(F.col("first").alias("a"), "b", F.lit(0).cast("long").alias("distance"))
     return across.select("a", "b", F.col("distance").cast("long").alias("distance")).union(same)
 
@@ -99,7 +102,7 @@ def links(photos: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     for hash_, distance in (("bits", 12), ("phash", 8)):
         values = looks.filter(F.col(hash_).isNotNull()).select(F.col(hash_).alias("h")).distinct()
         close = near_values(values, distance).select("g", "h").union(values.select(F.col("h").alias("g"), "h"))
-        pairs = close.join(sides[0].withColumnRenamed(hash_ + "1", "g"), "g").join(sides[1].withColumnRenamed(hash_ + "2", "h"), "h").withColumnRenamed("g", hash_ + "1").withColumnRenamed("h", hash_ + "2").filter("id1 <> id2")
+        pairs = close.hint("merge").join(sides[0].withColumnRenamed(hash_ + "1", "g"), "g").join(sides[1].withColumnRenamed(hash_ + "2", "h").hint("merge"), "h").withColumnRenamed("g", hash_ + "1").withColumnRenamed("h", hash_ + "2").filter("id1 <> id2")
         found = pairs if found is None else found.unionByName(pairs)
     gap = F.greatest(*[F.abs(F.col(f"{c}1") - F.col(f"{c}2")) for c in ("red", "green", "blue")])
     d, p = (F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in ("bits", "phash"))
