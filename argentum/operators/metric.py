@@ -12,7 +12,7 @@ that are groups of their own where there are many. The sample only decides how m
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +24,10 @@ from argentum.plans.shared import cut, importable
 
 #: Rows that pivots and cuts are chosen on, about; pivots; cells at most (their bounds go to every task: 4096 bytes for 32).
 SAMPLE, PIVOTS, CELLS = 1 << 14, 12, 1 << 10
-#: Rows of a block, and how many times as many stream past it in one group.
-BLOCK, CHUNK = 1 << 13, 256
+#: Rows of a block, and how many times as many, about, stream past it in one group.
+BLOCK, CHUNK = 1 << 13, 4
+#: Rows of a block at most, where little is ruled out.
+WIDE = 1 << 16
 #: Distances compared at once.
 AT_ONCE = 1 << 22
 #: Slack for rounding; what it lets in is left to the caller's exact condition.
@@ -45,6 +47,10 @@ class Hamming:
     def between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bitwise_count(x[:, None] ^ y[None, :])
 
+    @classmethod
+    def near(cls, x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
+        return cls.between(x, y) <= radius
+
 
 class Angle:
     """Vectors of one length by their angle; a vector of zeros is at a right angle to all."""
@@ -61,6 +67,10 @@ class Angle:
     def between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.arccos(np.clip(x @ y.T, -1, 1))
 
+    @staticmethod
+    def near(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
+        return x @ y.T >= np.cos(min(radius, np.pi)) - 1e-15
+
 
 @dataclass
 class Tree:
@@ -126,20 +136,22 @@ class Bounds:
 
 @dataclass
 class Index:
-    """Rows dealt to blocks. `placed`: id, value, cell, block, chunk (as a guest)."""
+    """Rows dealt to blocks. `placed`: id, value, cell, block, chunk (as a guest), and the columns `carried` along."""
 
     placed: DataFrame
     metric: type
     radius: float
     bounds: Bounds
     chunks: int
+    carried: tuple[str, ...] = ()
 
     def copies(self) -> DataFrame:
         """home, block, chunk, side, id, value: each row at home (side 0) and in the groups that it has to meet (side 1)."""
         metric, bounds, chunks, radius = self.metric, self.bounds, self.chunks, self.radius + SLACK
         first = np.cumsum(bounds.blocks) - bounds.blocks  # number of a cell's first block
         total = int(bounds.blocks.sum())
-        kind = self.placed.schema["id"].dataType.simpleString()
+        kind, carried = self.placed.schema["id"].dataType.simpleString(), self.carried
+        more = "".join(f", {c} {self.placed.schema[c].dataType.simpleString()}" for c in carried)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -162,64 +174,82 @@ class Index:
                     chunk = np.concatenate([np.tile(np.arange(chunks), len(home) // chunks), part[row]])
                     side = np.concatenate([np.zeros(len(home), np.int8), np.ones(len(row), np.int8)])
                     at = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(chunk), pa.array(side), batch.column("id").take(at), batch.column("value").take(at)], ["home", "chunk", "side", "id", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(chunk), pa.array(side), *[batch.column(c).take(at) for c in ("id", "value", *carried)]], ["home", "chunk", "side", "id", "value", *carried])
 
-        return self.placed.mapInArrow(run, f"home long, chunk long, side byte, id {kind}, value {metric.kind}")
+        return self.placed.mapInArrow(run, f"home long, chunk long, side byte, id {kind}, value {metric.kind}{more}")
 
-    def pairs(self) -> DataFrame:
-        """Pairs (a < b) at most radius apart, up to rounding, each once."""
+    def pairs(self, made: Callable[[pa.RecordBatch, pa.RecordBatch], Callable] | None = None, schema: str | None = None) -> DataFrame:
+        """Pairs (a < b) at most radius apart, up to rounding, each once.
+
+        made: what tasks make of pairs instead, so that these needn't be joined with their rows; columns by `schema`. It takes two sets of rows
+        (id, value, and what is carried) and returns a function of places in them (i, j) whose result is a batch.
+        """
         metric, radius = self.metric, self.radius + SLACK
         kind = self.placed.schema["id"].dataType.simpleString()
+        names = ["id", "value", *self.carried]
+
+        def ordered(one: pa.RecordBatch, two: pa.RecordBatch) -> Callable:
+            import pyarrow.compute as pc
+
+            def some(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+                p, q = one.column("id").take(pa.array(i)), two.column("id").take(pa.array(j))
+                return pa.RecordBatch.from_arrays([pc.min_element_wise(p, q), pc.max_element_wise(p, q)], ["a", "b"])
+
+            return some
+
+        make = made or ordered
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, ids, held, closed = None, [], [], False
+            key, held, host, values = None, [], None, None
             for batch in batches:
                 if not len(batch):
                     continue
                 home, chunk, side = (batch.column(c).to_numpy() for c in ("home", "chunk", "side"))
                 new = np.flatnonzero((np.diff(home) != 0) | (np.diff(chunk) != 0) | (np.diff(side) != 0)) + 1
                 for a, b in zip([0, *new.tolist()], [*new.tolist(), len(batch)], strict=True):
-                    some = batch.slice(a, b - a)
+                    some = batch.slice(a, b - a).select(names)
                     if key != (home[a], chunk[a]):
-                        if key and not closed and key[1] == 0:
-                            yield from within(ids, held)
-                        key, ids, held, closed = (home[a], chunk[a]), [], [], False
-                    own, value = some.column("id"), metric.read(some.column("value"))
+                        if held and host is None and key[1] == 0:
+                            host, values = whole(held)
+                            yield from meet(host, values, host, values, True)
+                        key, held, host = (home[a], chunk[a]), [], None
                     if side[a] == 0:
-                        ids.append(own)
-                        held.append(value)
-                    else:
-                        if not closed:
-                            closed = True
-                            if key[1] == 0:
-                                yield from within(ids, held)
-                        if held:
-                            yield from meet(own, value, pa.concat_arrays(ids), np.concatenate(held), False)
-            if key and not closed and key[1] == 0:
-                yield from within(ids, held)
-
-        def within(ids: list[pa.Array], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            ids, values = pa.concat_arrays(ids), np.concatenate(held)
-            yield from meet(ids, values, ids, values, True)
-
-        def meet(one: pa.Array, x: np.ndarray, two: pa.Array, y: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
-            import pyarrow.compute as pc
-
+                        held.append(some)
+                        continue
+                    if not held:
+                        continue
+                    if host is None:  # all that is at home has come
+                        host, values = whole(held)
+                        if key[1] == 0:
+                            yield from meet(host, values, host, values, True)
+                    yield from meet(some, metric.read(some.column("value")), host, values, False)
+            if held and host is None and key[1] == 0:
+                host, values = whole(held)
+                yield from meet(host, values, host, values, True)
+
+        def whole(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+            host = pa.RecordBatch.from_arrays([pa.concat_arrays([h.column(c) for h in held]) for c in names], names)
+            return host, metric.read(host.column("value"))
+
+        def meet(one: pa.RecordBatch, x: np.ndarray, two: pa.RecordBatch, y: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+            of = make(one, two)
             step = max(1, AT_ONCE // max(1, len(y)))
             for a in range(0, len(x), step):
-                i, j = np.nonzero(metric.between(x[a : a + step], y) <= radius)
+                i, j = np.nonzero(metric.near(x[a : a + step], y, radius))
                 i += a
                 if same:
                     i, j = i[i < j], j[i < j]
                 if len(i):
-                    p, q = one.take(pa.array(i)), two.take(pa.array(j))
-                    yield pa.RecordBatch.from_arrays([pc.min_element_wise(p, q), pc.max_element_wise(p, q)], ["a", "b"])
+                    yield of(i, j)
+
+        return self.copies().repartition("home", "chunk").sortWithinPartitions("home", "chunk", "side", *self.carried[:1]).mapInArrow(run, schema or f"a {kind}, b {kind}")
 
-        return self.copies().repartition("home", "chunk").sortWithinPartitions("home", "chunk", "side").mapInArrow(run, f"a {kind}, b {kind}")
 
+def index(rows: DataFrame, metric: type, radius: float, block: int | None = None, pivots: int = PIVOTS, cells: int = CELLS, carried: tuple[str, ...] = ()) -> Index:
+    """An index of rows (id, value, and columns that are carried along); ids differ. Rows that share the first of `carried` share their blocks in a cell.
 
-def index(rows: DataFrame, metric: type, radius: float, block: int = BLOCK, pivots: int = PIVOTS, cells: int = CELLS) -> Index:
-    """An index of rows (id, value); ids differ."""
+    Where the sample says that pivots rule out less than half, blocks are larger, up to WIDE, as rows are copied to about half of them.
+    """
     importable(rows.sparkSession)
     n = rows.count()
     step = max(1, n // SAMPLE)
@@ -228,17 +258,25 @@ def index(rows: DataFrame, metric: type, radius: float, block: int = BLOCK, pivo
     if len(sample):  # the same whatever order it came in
         sample = sample[np.lexsort(sample.reshape(len(sample), -1).T)]
     chosen = spread(sample, metric, pivots)
+    if block is None:
+        distance = metric.between(sample, chosen).astype(np.float64) if len(sample) else np.zeros((0, 1))
+        coarse = grown(distance, 4)
+        at = coarse.cell(distance)
+        ends = [np.array([f(distance[at == k], axis=0, initial=e) for k in range(16)]) for f, e in ((np.min, np.inf), (np.max, -np.inf))]
+        share = Bounds(chosen, *ends, np.ones(16, np.int64)).reach(distance[:1024], radius).mean() if len(chosen) else 0.0
+        block = max(BLOCK, min(WIDE, n // 16)) if share > 0.5 else BLOCK
     depth = max(0, min(int(cells).bit_length() - 1, (-(-n // block) - 1).bit_length(), max(1, len(sample) // 8).bit_length() - 1))
     tree = grown(metric.between(sample, chosen) if len(sample) else np.zeros((0, 1)), depth)
+    more = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
     kind, names = rows.schema["id"].dataType.simpleString(), [f"d{i}" for i in range(max(1, len(chosen)))]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value = metric.read(batch.column("value"))
             distance = metric.between(value, chosen).astype(np.float64) if len(chosen) else np.zeros((len(value), 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.cell(distance)), *[pa.array(d) for d in distance.T]], ["id", "value", "key", "cell", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.cell(distance)), *[pa.array(d) for d in distance.T]], ["id", "value", *carried, "key", "cell", *names])
 
-    found = rows.select("id", F.col("value").cast(metric.kind).alias("value"), F.xxhash64("id").alias("key")).mapInArrow(place, f"id {kind}, value {metric.kind}, key long, cell long, {', '.join(d + ' double' for d in names)}")
+    found = rows.select("id", F.col("value").cast(metric.kind).alias("value"), *carried, F.xxhash64(*(carried[:1] or ("id",))).alias("key")).mapInArrow(place, f"id {kind}, value {metric.kind}{more}, key long, cell long, {', '.join(d + ' double' for d in names)}")
     found = cut(found, "cells")
     bounds = found.groupBy("cell").agg(F.count("*").alias("n"), *[f(d).alias(f"{f.__name__}_{d}") for d in names for f in (F.min, F.max)]).toPandas()  # a row a cell
     count, low, high = np.zeros(1 << depth, np.int64), np.full((1 << depth, len(names)), np.inf), np.full((1 << depth, len(names)), -np.inf)
@@ -248,8 +286,8 @@ def index(rows: DataFrame, metric: type, radius: float, block: int = BLOCK, pivo
     blocks = -(-count // block)
     width = F.element_at(F.split(F.lit(",".join(map(str, np.maximum(blocks, 1).tolist()))), ",").cast("array<bigint>"), (F.col("cell") + 1).cast("int"))
     chunks = max(1, -(-n // (CHUNK * block)))
-    placed = found.select("id", "value", "cell", F.pmod(F.col("key"), width).alias("block"), F.pmod(F.shiftright("key", 24), F.lit(chunks)).alias("chunk"))
-    return Index(placed, metric, radius, Bounds(chosen, low, high, blocks), chunks)
+    placed = found.select("id", "value", *carried, "cell", F.pmod(F.col("key"), width).alias("block"), F.pmod(F.shiftright("key", 24), F.lit(chunks)).alias("chunk"))
+    return Index(placed, metric, radius, Bounds(chosen, low, high, blocks), chunks, carried)
 
 
 def near_pairs(rows: DataFrame, metric: type, radius: float, **sizes: int) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import acos
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argentum.functions.scalar import dot, valid_vector
 from argentum.operators.components import components
-from argentum.operators.metric import Angle, near_pairs
+from argentum.operators.metric import Angle, Index, index
 from argentum.plans.shared import cut
 
 LINK, LEAST, MEAN = 0.60, 0.45, 0.50
@@ -28,17 +30,77 @@ def candidates(faces: DataFrame, signatures: DataFrame, photos: DataFrame, versi
     return big.join(own, ["photo_id", "face_index"]).join(here, "photo_id").filter(valid_vector(F.col("vector"), size))
 
 
+def _index(vectors: DataFrame, least: float, carried: tuple[str, ...], **sizes: int) -> Index:
+    """Vectors by their angles; for vectors that aren't of unit length the angle is that of the longest two."""
+    squares = vectors.agg(F.max(dot(F.col("vector"), F.col("vector")))).first()[0] or 0.0
+    return index(vectors.select("id", F.col("vector").alias("value"), *carried), Angle, acos(min(1.0, least / max(squares, 1e-300))), carried=carried, **sizes)
+
+
+def _raw(rows: pa.RecordBatch) -> np.ndarray:
+    flat = rows.column("value").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(rows), -1)
+
+
+def _codes(one: pa.RecordBatch, two: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers for the values of a column of two sets of rows, and the values."""
+    both = pa.concat_arrays([one.column(name), two.column(name)]).dictionary_encode()
+    at = both.indices.to_numpy()
+    return at[: len(one)], at[len(one) :], both.dictionary
+
+
 def links(vectors: DataFrame, least: float = LINK, **sizes: int) -> DataFrame:
     """Pairs (a < b, score) of different photos whose vectors' product is at least `least` (above 0). vectors: id, photo_id, vector.
 
-    Vectors meet by their angles in a metric index; for vectors that aren't of unit length the angle is that of the longest two.
-    sizes: of the index.
+    Vectors meet in a metric index, and pairs are scored where they meet. sizes: of the index.
     """
-    squares = vectors.agg(F.max(dot(F.col("vector"), F.col("vector")))).first()[0] or 0.0
-    near = near_pairs(vectors.select("id", F.col("vector").alias("value")), Angle, acos(min(1.0, least / max(squares, 1e-300))), **sizes)
-    # The score itself is summed in the order of the vector, the same on every machine.
-    one, two = vectors.select(F.col("id").alias("a"), F.col("photo_id").alias("p"), F.col("vector").alias("x")), vectors.select(F.col("id").alias("b"), F.col("photo_id").alias("q"), F.col("vector").alias("y"))
-    return near.join(one, "a").join(two, "b").filter("p <> q").select("a", "b", dot(F.col("x"), F.col("y")).alias("score")).filter(F.col("score") >= least)
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def made(one: pa.RecordBatch, two: pa.RecordBatch) -> Callable:
+        import pyarrow.compute as pc
+
+        x, y = _raw(one), _raw(two)
+        p, q, _ = _codes(one, two, "photo_id")
+
+        def some(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            i, j = i[p[i] != q[j]], j[p[i] != q[j]]
+            score = np.zeros(len(i))
+            for k in range(x.shape[1]):  # summed in the order of the vector, the same on every machine
+                score += x[i, k] * y[j, k]
+            i, j, score = (v[score >= least] for v in (i, j, score))
+            a, b = one.column("id").take(pa.array(i)), two.column("id").take(pa.array(j))
+            return pa.RecordBatch.from_arrays([pc.min_element_wise(a, b), pc.max_element_wise(a, b), pa.array(score)], ["a", "b", "score"])
+
+        return some
+
+    return _index(vectors, least, ("photo_id",), **sizes).pairs(made, f"a {kind}, b {kind}, score double")
+
+
+def sums(vectors: DataFrame, least: float, **sizes: int) -> DataFrame:
+    """(p, q, n, sum) for clusters p < q: pairs of members of different photos whose product, with nine digits, is at least `least`. vectors: id, cluster, photo_id, vector.
+
+    Added up where vectors meet, members of a cluster beside each other, so that no row is made for each pair.
+    """
+    kind = vectors.schema["cluster"].dataType.simpleString()
+
+    def made(one: pa.RecordBatch, two: pa.RecordBatch) -> Callable:
+        import pyarrow.compute as pc
+
+        x, y = _raw(one), _raw(two)
+        p, q, _ = _codes(one, two, "photo_id")
+        c, d, names = _codes(one, two, "cluster")
+
+        def some(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            top = i[0]
+            score = np.round((x[top : i[-1] + 1] @ y.T)[i - top, j], DIGITS)
+            good = (p[i] != q[j]) & (c[i] != d[j]) & (score >= least)
+            key, at = np.unique(np.minimum(c[i], d[j])[good].astype(np.int64) * len(names) + np.maximum(c[i], d[j])[good], return_inverse=True)
+            a, b = names.take(pa.array(key // len(names))), names.take(pa.array(key % len(names)))
+            return pa.RecordBatch.from_arrays([pc.min_element_wise(a, b), pc.max_element_wise(a, b), pa.array(np.bincount(at, minlength=len(key)).astype(np.int64)), pa.array(np.bincount(at, score[good], len(key)))], ["p", "q", "n", "sum"])
+
+        return some
+
+    found = _index(vectors, least - 1e-9, ("cluster", "photo_id"), **sizes).pairs(made, f"p {kind}, q {kind}, n long, sum double")
+    return found.groupBy("p", "q").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
 
 
 def groups(vectors: DataFrame, link: float = LINK, least: float = LEAST, mean: float = MEAN, by: tuple[str, ...] = ("id",), alone: int = ALONE) -> DataFrame:
@@ -46,42 +108,58 @@ def groups(vectors: DataFrame, link: float = LINK, least: float = LEAST, mean: f
     is under `least` and their mean reaches `mean`. Groups of one are left out. Scores count with nine digits; equal ones are in the order of `by`.
 
     Groups never reach beyond a component of the links. Components of at most `alone` members are resolved in
-    one task each, larger ones in rounds over tables (see in_rounds); the result is the same for any `alone`.
+    one task each. Of larger ones the strongest links are, as far down as their own components are that small; clusters
+    go on from there in rounds over tables (see in_rounds). The result is the same for any `alone`.
     """
     score = F.round("score", DIGITS)
-    pairs = cut(links(vectors, least - 1e-9).select("a", "b", score.alias("score")).filter(F.col("score") >= least), "alike")
-    strong = pairs.filter(F.col("score") >= link)
-    rows = vectors.join(components(strong.select("a", "b")).withColumnRenamed("node", "id"), "id")
-    counted = rows.groupBy("component").agg(F.count("*").alias("members"))
-    rows = cut(rows.join(counted, "component"), "faces")
-    few, many = rows.filter(F.col("members") <= alone), rows.filter(F.col("members") > alone)
+    strong = cut(links(vectors, link - 1e-9).select("a", "b", score.alias("score")).filter(F.col("score") >= link), "alike")
+    few, many = _by_size(vectors, strong, alone)
     found = _resolved(few, link, least, mean, by)
     if many.isEmpty():
         return found
-    one, two = many.select(F.col("id").alias("a"), F.col("component").alias("p"), F.struct(*by).alias("x")), many.select(F.col("id").alias("b"), F.col("component").alias("q"), F.struct(*by).alias("y"))
-    inner = pairs.join(one, "a").join(two, "b").filter("p = q").select("a", "b", "score", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
-    members = in_rounds(inner, many.select("id", "photo_id"), link, mean)
+    upto, begun = None, None
+    for k in (1, 2, 3):
+        upto = 1.0 - (1.0 - link) / 2**k
+        small, large = _by_size(many.drop("component", "members"), strong.filter(F.col("score") >= upto), alone)
+        if large.isEmpty():
+            begun = _resolved(small, upto, least, mean, by)
+            break
+    rows = many.withColumn("cluster", F.col("id"))
+    if begun is not None:
+        begun = begun.select("person_key", "id")
+        first = begun.groupBy("person_key").agg(F.min("id").alias("cluster"))
+        rows = many.join(begun.join(first, "person_key").select("id", "cluster"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+        strong = strong.filter(F.col("score") < upto)
+    rows = cut(rows.select("id", "cluster", "photo_id", "vector", *[c for c in by if c not in ("id", "photo_id", "vector")]), "begun")
+    one, two = (rows.select(F.col("id").alias(a), F.col("cluster").alias(p), F.struct(*by).alias(x)) for a, p, x in ("apx", "bqy"))
+    open_ = strong.hint("merge").join(one, "a").join(two.hint("merge"), "b").filter("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.struct((-F.col("score")).alias("minus"), F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).alias("rank"))
+    members = in_rounds(open_, cut(sums(rows, least), "between"), rows.select("id", "cluster", "photo_id"), mean)
     named = members.groupBy("cluster").agg(F.min(F.struct("photo_id", "id")).alias("first"), F.count("*").alias("size")).filter("size > 1")
     key = F.concat(F.col("first.photo_id").cast("string"), F.lit(":"), F.col("first.id").cast("string"))
     return found.unionByName(members.join(named, "cluster").select(key.alias("person_key"), "id", "photo_id", "size"))
 
 
-def in_rounds(pairs: DataFrame, faces: DataFrame, link: float, mean: float) -> DataFrame:
-    """(id, cluster, photo_id) of all faces. pairs: a, b, score, i, j (the order among equal scores) of all that may stand in one cluster; faces: id, photo_id.
+def _by_size(vectors: DataFrame, pairs: DataFrame, alone: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors with a link, with component and members (how many); those in components of at most `alone`, and the others."""
+    rows = vectors.join(components(pairs.select("a", "b")).withColumnRenamed("node", "id"), "id")
+    rows = cut(rows.join(rows.groupBy("component").agg(F.count("*").alias("members")), "component"), "faces")
+    return rows.filter(F.col("members") <= alone), rows.filter(F.col("members") > alone)
+
+
+def in_rounds(links: DataFrame, between: DataFrame, faces: DataFrame, mean: float) -> DataFrame:
+    """(id, cluster, photo_id) of all faces. links: p < q (clusters), rank (their order); between: p < q, n, sum of the pairs that may stand in one cluster; faces: id, cluster, photo_id.
 
     In a round each link is decided that comes before all others of both its clusters: what is decided later can't
-    touch them before, so this is the same as going through all links in order. A cross pair that is missing in `pairs` or a shared photo
+    touch them before, so this is the same as going through all links in order. A cross pair that is missing in `between` or a shared photo
     will stay in the way whatever the clusters grow to, so such links go at once, the others one by one. Tables have
     a row for each pair of clusters with what their means need, for each open link, and for each face.
     """
-    faces = cut(faces.select("id", F.col("id").alias("cluster"), "photo_id"), "clusters")
-    between = cut(pairs.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), F.lit(1).cast("long").alias("n"), F.col("score").alias("sum")), "between")
-    rank = F.struct((-F.col("score")).alias("minus"), "i", "j").alias("rank")
-    open_ = pairs.filter(F.col("score") >= link).select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), rank)
+    open_ = links
     while True:
         sizes = faces.groupBy("cluster").agg(F.count("*").alias("size"))
-        possible = open_.join(between, ["p", "q"]).join(sizes.select(F.col("cluster").alias("p"), F.col("size").alias("u")), "p").join(sizes.select(F.col("cluster").alias("q"), F.col("size").alias("v")), "q")
-        open_ = cut(possible.filter(F.col("n") == F.col("u") * F.col("v")).select("p", "q", "rank", "n", "sum"), "open")
+        whole = between.join(sizes.select(F.col("cluster").alias("p"), F.col("size").alias("u")), "p").join(sizes.select(F.col("cluster").alias("q"), F.col("size").alias("v")), "q")
+        between = cut(whole.filter(F.col("n") == F.col("u") * F.col("v")).select("p", "q", "n", "sum"), "between")
+        open_ = cut(open_.join(between, ["p", "q"]).select("p", "q", "rank", "n", "sum"), "open")
         if open_.isEmpty():
             return faces
         firsts = open_.select(F.col("p").alias("c"), "rank").union(open_.select("q", "rank")).groupBy("c").agg(F.min("rank").alias("rank"))
@@ -92,7 +170,7 @@ def in_rounds(pairs: DataFrame, faces: DataFrame, link: float, mean: float) -> D
         joined = cut(decided.filter("near").join(shared, ["p", "q"], "left_anti").select(F.col("q").alias("old"), F.col("p").alias("new")), "joined")
         faces = cut(faces.join(joined, faces["cluster"] == joined["old"], "left").select("id", F.coalesce("new", "cluster").alias("cluster"), "photo_id"), "clusters")
         open_ = _relabelled(open_.join(shared, ["p", "q"], "left_anti").join(decided.select("rank"), "rank", "left_anti").select("p", "q", "rank"), joined)
-        between = cut(_relabelled(between, joined).groupBy("p", "q").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum")), "between")
+        between = _relabelled(between, joined).groupBy("p", "q").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
 
 
 def _relabelled(pairs: DataFrame, joined: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from argentum.operators import metric
+from argentum.operators import duplicates, metric, people
 
 
 def clusters(rng, n, k, apart=0.05):
@@ -57,3 +58,24 @@ def test_rows_that_meet_grow_below_the_square(spark):
         assert found.bounds.blocks.sum() >= n // 25
         assert copies[-1] < n * (found.bounds.blocks.sum() - 1) / 4  # half of these would meet without an index
     assert copies[1] < 8 * copies[0]  # 16 times as many pairs of blocks
+
+
+def test_scored_pairs_are_not_joined_with_their_rows(spark):
+    """Pairs may be many times as many as rows: they are scored where they meet."""
+    v = clusters(np.random.default_rng(4), 200, 8, 0.3)
+    df = spark.createDataFrame([(i, f"p{i // 2}", x.tolist()) for i, x in enumerate(v)], "id long, photo_id string, vector array<float>")
+    found = people.links(df, 0.5, block=40)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    s = v.astype(float) @ v.astype(float).T
+    want = [(i, j) for i in range(200) for j in range(i + 1, 200) if i // 2 != j // 2 and s[i, j] >= 0.5]
+    got = sorted(map(tuple, found.collect()))
+    assert [r[:2] for r in got] == want and np.allclose([r[2] for r in got], [s[p] for p in want], rtol=0, atol=1e-12)
+
+
+def test_near_hashes_send_no_side_whole(spark):
+    """Whatever the estimate of sizes says: probes, and near pairs, are many for each row."""
+    rows = spark.range(300).select("id", F.xxhash64("id").alias("bits"))
+    for distance in (8, 12):
+        plan = duplicates.near_hashes(rows, distance).select("a", "b")._jdf.queryExecution().optimizedPlan().toString()
+        joins = [x for x in plan.splitlines() if "Join Inner" in x]
+        assert sum("strategy=merge" in x for x in joins) >= len(joins) - 1 > 0  # all but that of copies with their hash
