@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,36 +27,50 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def similarity(points: Column) -> Column:
     """struct(a, b, tx, ty): the turn and scale that brings five points (structs of x, y) nearest to TEMPLATE; null for points that lie too
     close together, aren't finite or aren't five. A point (x, y) goes to (a x - b y + tx, b x + a y + ty)."""
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     ux, uy = (sum(p[k] for p in TEMPLATE) / 5.0 for k in (0, 1))
-    places = F.array(*[F.struct(F.lit(x - ux).alias("x"), F.lit(y - uy).alias("y")) for x, y in TEMPLATE])
-    wide = F.transform(points, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    total = lambda xs: reduce(lambda s, x: s + x, xs, F.lit(0.0))
+    # Five points are spelled out, as folding over an array costs many times as much; what is used again is bound.
+    wide = F.struct(*[F.get(points, k)[x].cast("double").alias(f"{x}{k}") for k in range(5) for x in "xy"])
 
     def centred(p: Column) -> Column:
         """The points' mean, and the points from there."""
-        mean = F.struct((total(F.transform(p, lambda q: q["x"])) / 5.0).alias("x"), (total(F.transform(p, lambda q: q["y"])) / 5.0).alias("y"))
-        return let(mean, lambda m: F.struct(m.alias("m"), F.transform(p, lambda q: F.struct((q["x"] - m["x"]).alias("x"), (q["y"] - m["y"]).alias("y"))).alias("near")))
+        mean = F.struct(*[(total([p[f"{x}{k}"] for k in range(5)]) / 5.0).alias(x) for x in "xy"])
+        return let(mean, lambda m: F.struct(m["x"].alias("x"), m["y"].alias("y"), *[(p[f"{x}{k}"] - m[x]).alias(f"{x}{k}") for k in range(5) for x in "xy"]))
 
     def sums(c: Column) -> Column:
-        both = F.arrays_zip(c["near"].alias("p"), places.alias("q"))
-        zero = F.struct(*[F.lit(0.0).alias(n) for n in ("dot", "cross", "norm")])
-
-        def add(s: Column, z: Column) -> Column:
-            p, q = z["p"], z["q"]
-            return F.struct((s["dot"] + (p["x"] * q["x"] + p["y"] * q["y"])).alias("dot"), (s["cross"] + (p["x"] * q["y"] - p["y"] * q["x"])).alias("cross"), (s["norm"] + (p["x"] * p["x"] + p["y"] * p["y"])).alias("norm"))
+        near = [(c[f"x{k}"], c[f"y{k}"], F.lit(x - ux), F.lit(y - uy)) for k, (x, y) in enumerate(TEMPLATE)]
+        all_ = F.struct(total([x * u + y * v for x, y, u, v in near]).alias("dot"), total([x * v - y * u for x, y, u, v in near]).alias("cross"), total([x * x + y * y for x, y, _, _ in near]).alias("norm"))
 
         def scaled(s: Column) -> Column:
             good = (s["norm"] >= 1.0) & (s["norm"] < float("inf"))
-            return F.struct(c["m"]["x"].alias("x"), c["m"]["y"].alias("y"), F.when(good, s["dot"] / s["norm"]).alias("a"), F.when(good, s["cross"] / s["norm"]).alias("b"))
+            return F.struct(c["x"].alias("x"), c["y"].alias("y"), F.when(good, s["dot"] / s["norm"]).alias("a"), F.when(good, s["cross"] / s["norm"]).alias("b"))
 
-        return let(F.aggregate(both, zero, add), scaled)
+        return let(all_, scaled)
 
     def turn(t: Column) -> Column:
         a, b = t["a"], t["b"]
         out = F.struct(a.alias("a"), b.alias("b"), (F.lit(ux) - a * t["x"] + b * t["y"]).alias("tx"), (F.lit(uy) - b * t["x"] - a * t["y"]).alias("ty"))
         return F.when(a * a + b * b >= 1e-8, out)
 
-    return let(wide, lambda p: F.when(F.size(p) == 5, let(let(let(p, centred), sums), turn)))
+    return F.when(F.size(points) == 5, let(let(let(wide, centred), sums), turn))
+
+
+def turned(rows: DataFrame, points: Column) -> DataFrame:
+    """Adds a, b, tx, ty as similarity has them, without rows that have no turn. For many rows: each step is a row of its own that the next one
+    reads, which is compiled as a whole, where bound values inside of a column are interpreted."""
+    ux, uy = (sum(p[k] for p in TEMPLATE) / 5.0 for k in (0, 1))
+    total = lambda xs: reduce(lambda s, x: s + x, xs, F.lit(0.0))
+    step = lambda df, **made: df.select("*", F.inline(F.array(F.struct(*[x.alias(n) for n, x in made.items()]))))
+    names, c = rows.columns, lambda n: F.col("_" + n)
+    at = [(f"{x}{k}", x) for x in "xy" for k in range(5)]
+    df = step(rows.filter(F.size(points) == 5), **{"_" + n: F.get(points, int(n[1]))[x].cast("double") for n, x in at})
+    df = step(df, _mx=total([c(n) for n, x in at if x == "x"]) / 5.0, _my=total([c(n) for n, x in at if x == "y"]) / 5.0)
+    df = step(df, **{"_n" + n: c(n) - c("m" + x) for n, x in at})
+    near = [(c(f"nx{k}"), c(f"ny{k}"), F.lit(x - ux), F.lit(y - uy)) for k, (x, y) in enumerate(TEMPLATE)]
+    df = step(df, _dot=total([x * u + y * v for x, y, u, v in near]), _cross=total([x * v - y * u for x, y, u, v in near]), _norm=total([x * x + y * y for x, y, _, _ in near]))
+    df = step(df.filter((c("norm") >= 1.0) & (c("norm") < float("inf"))), a=c("dot") / c("norm"), b=c("cross") / c("norm"))
+    a, b = F.col("a"), F.col("b")
+    return df.filter(a * a + b * b >= 1e-8).select(*names, a, b, (F.lit(ux) - a * c("mx") + b * c("my")).alias("tx"), (F.lit(uy) - b * c("mx") - a * c("my")).alias("ty"))
 
 
 def sampled(rgb: np.ndarray, a: float, b: float, tx: float, ty: float, side: int = SIDE) -> np.ndarray:

@@ -113,8 +113,8 @@ def face_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ad.table(spark, sf_dir, "lineitem").filter("l_quantity >= 24")
     place = lambda p, k: (F.lit(p[k]) + (c("l_partkey") * (7 + p[2] + 5 * k) % 11) * 0.7) * c("l_quantity") / 20 + c("l_suppkey") % (13 + k)
     points = F.array(*[F.struct(place(p, 0).alias("x"), place(p, 1).alias("y")) for p in SPOTS])
-    found = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", alignment.similarity(points).alias("t")).filter("t is not null")
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", *[(F.round(f"t.{x}", 6) + 0.0).alias(x) for x in ("a", "b", "tx", "ty")])
+    found = alignment.turned(rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), points)
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", *[(F.round(x, 6) + 0.0).alias(x) for x in ("a", "b", "tx", "ty")])
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 5)) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)

@@ -6,6 +6,7 @@ import random
 import numpy as np
 
 from argentum.operators import alignment
+from argentum.plans import changes
 from pyspark.sql import functions as F
 
 
@@ -69,3 +70,13 @@ def test_unit_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 1e-9],), ([math.nan, 1.0],), ([1.0],), ([math.inf, 1.0],), (None,)], "v array<float>")
     got = [r[0] for r in df.select(alignment.unit(F.col("v"), 2)).collect()]
     assert np.allclose(got[0], (0.6, 0.8)) and got[1:] == [None] * 5
+
+
+def test_turns_of_many_rows_are_compiled(spark, sf):
+    """The same numbers as by the column, without a function of higher order."""
+    p = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct((F.col("id") * (k + 3) % 17).alias("x"), (F.col("id") * (2 * k + 5) % 13).alias("y")))
+    df = spark.range(200).select("id", p.alias("p"))
+    got = {r["id"]: tuple(r)[1:] for r in alignment.turned(df, F.col("p")).select("id", "a", "b", "tx", "ty").collect()}
+    want = {r["id"]: tuple(r["t"]) for r in df.select("id", alignment.similarity(F.col("p")).alias("t")).collect() if r["t"]}
+    assert got == want and 150 < len(got) < 200
+    assert "lambda" not in changes.face_turns(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
