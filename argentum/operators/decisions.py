@@ -153,6 +153,21 @@ def recommend(photos: DataFrame, overrides: DataFrame | None = None, eye_rules:
     return out.select("photo_id", "moment_id", F.when(decided, c("user")).otherwise(c("decision")).alias("decision"), F.when(decided, 1.0).otherwise(c("confidence")).alias("confidence"), "codes", reasoning(F.when(decided, F.array(F.lit("KeptByUser"))).otherwise(c("codes"))).alias("reasoning"), "compared_to", "best_of_group")
 
 
+def count_mismatches(photos: DataFrame) -> DataFrame:
+    """(photo_id, moment_id) of photos with the code FaceCountMismatch: one face less than is usual in a moment that has an eligible photo.
+
+    The same as recommend without overrides says, from what this rule reads alone.
+    """
+    c = F.col
+    grp = F.coalesce("moment_id", F.concat(F.lit("unique:"), c("id").cast("string")))
+    able = (c("sharpness").isNotNull() & c("thumbnail_path").isNotNull()) & ~F.coalesce(c("analysis_status") == "user_remove", F.lit(False))
+    rows = photos.select("id", "moment_id", grp.alias("grp"), F.coalesce("face_count", F.lit(0)).alias("faces"), able.alias("able"))
+    sizes = rows.groupBy("grp", "faces").agg(F.count("*").alias("k"), F.max("able").alias("able"))
+    usual = sizes.groupBy("grp").agg(F.max("able").alias("able"), F.max_by("faces", F.when(c("faces") > 0, F.struct("k", "faces"))).alias("usual")).filter("able")
+    found = rows.filter("faces > 0").join(usual, "grp").filter("faces + 1 = usual")
+    return found.select(c("id").alias("photo_id"), "moment_id")
+
+
 def reasoning(codes: Column) -> Column:
     """Messages and codes as JSON."""
     table = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])

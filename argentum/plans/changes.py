@@ -94,7 +94,7 @@ SELECT id AS photo_id FROM f JOIN u ON u.moment_id = f.moment_id WHERE faces > 0
 def face_count_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photos with one face less than is usual in their moment."""
     rows = ad.shots(spark, sf_dir).withColumn("face_count", c("l_partkey") % 3)
-    return decisions.recommend(rows).filter(F.array_contains("codes", "FaceCountMismatch")).select("photo_id")
+    return decisions.count_mismatches(rows).select("photo_id")
 
 
 #: Five points of a face from a line of an order, as SQL and as columns: around the template, moved, and scaled by the quantity.

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from argentum.operators import detection, guard, incremental, ranks
+from argentum.operators import decisions, detection, guard, incremental, ranks
 from argentum.operators import faces as face
 from argentum.operators.components import components
 from argentum.operators.moments import segments
@@ -207,3 +207,12 @@ def test_copies_stay_together_when_the_least_goes(spark, tmp_path):
         groups.setdefault(root(i), []).append(i)
     want = sorted((i, g) for g, ids in groups.items() if len(ids) > 1 for i in ids)
     assert sorted(map(tuple, changes.groups_after_changes(spark, str(tmp_path)).collect())) == want and len(groups) > 2
+
+
+def test_count_mismatches_are_those_of_recommend(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([None, *"abcdefgh"]), rng.choice([None, 0, 1, 1, 2, 3]), rng.choice([None, 0.5]), rng.choice([None, None, "t"]), rng.choice(["user_remove", "ready"])) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, moment_id string, face_count long, sharpness double, thumbnail_path string, analysis_status string")
+    full = df.select("*", F.lit(False).alias("is_kept"), *[F.lit("0" * 16).alias(x) for x in ("sha256", "perceptual_hash")], *[F.lit(0.5).alias(x) for x in ("exposure", "highlight_clipping", "shadow_clipping", "contrast", "mean_saturation", "flat_fraction")])
+    want = sorted(r["photo_id"] for r in decisions.recommend(full).filter(F.array_contains("codes", "FaceCountMismatch")).collect())
+    assert sorted(r["photo_id"] for r in decisions.count_mismatches(full).collect()) == want and want
