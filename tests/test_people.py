@@ -55,3 +55,24 @@ def test_a_low_mean_rejects_one_link_only(spark):
     for r in people.groups(df, 0.5, 0.1, 0.62, alone=0).collect():
         got.setdefault(r["person_key"], []).append(r["id"])
     assert sorted(map(sorted, got.values())) == want
+
+
+def test_clusters_of_strong_links_go_on_in_rounds(spark, monkeypatch):
+    """Pairs of single faces are written from `link` on only; those between clusters are sums."""
+    v, photo = faces(3, 60, 5, 0.25)
+    df = spark.createDataFrame([(i, photo[i], x.tolist()) for i, x in enumerate(v)], "id long, photo_id long, vector array<float>")
+    written, cut = {}, people.cut
+
+    def counted(rows, name="step", **options):
+        out = cut(rows, name, **options)
+        written.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(people, "cut", counted)
+    got = {}
+    for r in people.groups(df, 0.3, 0.1, 0.2, alone=30).collect():
+        got.setdefault(r["person_key"], []).append(r["id"])
+    score = np.round(v.astype(float) @ v.astype(float).T, 9)
+    own = np.array(photo)[:, None] != np.array(photo)[None]
+    assert sorted(map(sorted, got.values())) == plain(v, photo, 0.3, 0.1, 0.2)
+    assert written["alike"] == (np.triu(score >= 0.3, 1) & own).sum() < (np.triu(score >= 0.1, 1) & own).sum()
