@@ -50,39 +50,22 @@ def recommend(photos: DataFrame, overrides: DataFrame | None = None, eye_rules:
     """photo_id, moment_id, decision, confidence, codes (array), reasoning (JSON), compared_to, best_of_group.
 
     photos: id, moment_id, is_kept, analysis_status, thumbnail_path, sha256, perceptual_hash, the measures, and
-    where known the columns FACES. A photo without a moment is a group of its own. A group's best and second
-    best are aggregates joined back, so no task gathers a group; scored rows are written once and read by each of them. eye_rules: closed or uncertain eyes count.
+    where known the columns FACES; overrides: photo_id, actual_decision, and where known moment_id (of_photos). A photo without a moment is a group of its own.
+    A group's best, second best and copies are aggregates joined back, so no task gathers a group. All are by moment_id itself and read the same measures: photos
+    that are dealt by moment are not sent again. They are read four times, so what is costly should be written before; what is decided is written. eye_rules: closed or uncertain eyes count.
     """
     kinds = {"face_count": "long", "closed_eye_count": "long", "uncertain_eye_count": "long", "likely_all_eyes_open": "boolean"}
     for name in FACES:
         if name not in photos.columns:
             photos = photos.withColumn(name, F.lit(None).cast(kinds.get(name, "double")))
-    rows = photos
-    if overrides is not None:
-        rows = rows.join(overrides.select(F.col("photo_id").alias("id"), F.col("actual_decision").alias("user")), "id", "left")
-    else:
-        rows = rows.withColumn("user", F.lit(None).cast("string"))
     c = F.col
-    rows = rows.withColumn("is_kept", c("is_kept") | F.coalesce(c("user") == "KEEP", F.lit(False)))
-    rows = scored(rows).withColumn("faces", F.coalesce("face_count", F.lit(0)))
-    rows = rows.withColumn("grp", F.coalesce("moment_id", F.concat(F.lit("unique:"), c("id").cast("string"))))
-    removed = F.coalesce(c("user") == "REMOVE", F.lit(False)) | F.coalesce(c("analysis_status") == "user_remove", F.lit(False))
-    technical = c("sharpness").isNotNull() & c("thumbnail_path").isNotNull()
-    rows = rows.withColumn("eligible", ~removed & technical).withColumn("technical", technical)
-    # Bests, keepers and usual counts each read these rows: they are made once, with their joins and scores.
-    rows = cut(rows, "scored")
-
-    # Best of a group: kept, then score, then least id; the second score is the largest of the others.
-    able = rows.filter("eligible")
-    rank = F.struct((~c("is_kept")).alias("x"), (-c("score")).alias("y"), c("id").alias("z"))
-    best = able.groupBy("grp").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "score", "sharpness", "sha256", "perceptual_hash", "likely_all_eyes_open", "average_expression_score", "faces"), rank).alias("best"))
-    tops = able.join(best.select("grp", c("best.id").alias("best_id")), "grp").filter("id <> best_id").groupBy("grp").agg(F.max("score").alias("second"))
-    group = best.join(tops, "grp", "left").select("grp", "n", "best", F.coalesce("second", F.lit(0.0)).alias("second"))
-    content = F.when(c("sha256") != "", c("sha256"))
-    copies = able.withColumn("content", content).filter("content is not null").join(best.select("grp", c("best.id").alias("best_id")), "grp")
-    keeper = copies.groupBy("grp", c("content").alias("sha256")).agg(F.count("*").alias("same"), F.min_by("id", F.struct((~c("is_kept")).alias("x"), (c("id") != c("best_id")).alias("y"), c("id").alias("z"))).alias("keeper_id")).filter("same > 1").drop("same")
-    counts = rows.filter("faces > 0").groupBy("grp", "faces").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("faces", F.struct("k", "faces")).alias("usual"))
-    rows = rows.join(group, "grp", "left").join(counts, "grp", "left").join(keeper, ["grp", "sha256"], "left")
+    rows = _grouped(_judged(photos.filter("moment_id is not null"), overrides))
+    if overrides is not None and "moment_id" in overrides.columns:
+        overrides = overrides.filter("moment_id is null").drop("moment_id")
+    alone = _judged(photos.filter("moment_id is null"), overrides)
+    own = c("eligible") & c("id").isNotNull()
+    alone = alone.withColumns({"n": F.when(own, F.lit(1).cast("long")), "best": F.when(own, F.struct(*_order())), "second": F.lit(0.0), "usual": F.lit(None).cast("long"), "keeper_id": F.lit(None).cast(photos.schema["id"].dataType)})
+    rows = rows.unionByName(alone)
 
     gap = c("best.score") - c("second")
     tied = F.abs(gap) <= TIE
@@ -120,7 +103,7 @@ def recommend(photos: DataFrame, overrides: DataFrame | None = None, eye_rules:
         (c("keeper_id").isNotNull(), "REMOVE", 1.0, codes("ExactDuplicate"), c("keeper_id")),
         ((c("n") == 1) & (sharp < 0.2), "REVIEW", 0.55, codes("NoBetterAlternative"), none),
         (is_best, "KEEP", sure, winner, none),
-        (content == c("best.sha256"), "REMOVE", 1.0, codes("ExactDuplicate"), c("best.id")),
+        (c("content") == c("best.sha256"), "REMOVE", 1.0, codes("ExactDuplicate"), c("best.id")),
         (with_faces & closed & close, F.when(c("best.likely_all_eyes_open"), "REMOVE").otherwise("REVIEW"), F.when(c("best.likely_all_eyes_open"), 0.82).otherwise(0.6), codes("PossibleClosedEyes", "StrongerAlternative"), c("best.id")),
         (with_faces & unsure, "REVIEW", 0.65, codes("EyeStateUncertain", "CloseComparison"), c("best.id")),
         (with_faces & close & (sharp + 0.05 < best_sharp), "REVIEW", 0.58, codes("StrongerAlternative", "SharpestInGroup"), c("best.id")),
@@ -147,12 +130,77 @@ def recommend(photos: DataFrame, overrides: DataFrame | None = None, eye_rules:
         pick(4).alias("compared_to"),
         F.when(is_best & (c("n") > 1), c("n")).alias("best_of_group"),
     )
+    out = _in_place(out)
     # A user's decision replaces the decision, not the codes.
     said = c("user").isin("KEEP", "REVIEW", "REMOVE")
     decided = F.coalesce(said, F.lit(False))
     return out.select("photo_id", "moment_id", F.when(decided, c("user")).otherwise(c("decision")).alias("decision"), F.when(decided, 1.0).otherwise(c("confidence")).alias("confidence"), "codes", reasoning(F.when(decided, F.array(F.lit("KeptByUser"))).otherwise(c("codes"))).alias("reasoning"), "compared_to", "best_of_group")
 
 
+def _judged(photos: DataFrame, overrides: DataFrame | None) -> DataFrame:
+    """Adds what the user said, score, faces, content, whether a photo may be the best of its group; kept as the user's last word says."""
+    c = F.col
+    if overrides is None:
+        rows = photos.withColumn("user", F.lit(None).cast("string"))
+    else:
+        by = ["moment_id", "id"] if "moment_id" in overrides.columns else ["id"]
+        said = overrides.withColumnsRenamed({"photo_id": "id", "actual_decision": "user"}).select(*by, "user")
+        # Dealt by moment alone, as the photos may be: they then stay where they are.
+        rows = photos.join(said.repartition("moment_id") if len(by) > 1 else said, by, "left")
+    rows = scored(rows.withColumn("is_kept", c("is_kept") | F.coalesce(c("user") == "KEEP", F.lit(False)))).withColumn("faces", F.coalesce("face_count", F.lit(0).cast("long")))
+    removed = F.coalesce(c("user") == "REMOVE", F.lit(False)) | F.coalesce(c("analysis_status") == "user_remove", F.lit(False))
+    technical = c("sharpness").isNotNull() & c("thumbnail_path").isNotNull()
+    return rows.withColumns({"eligible": ~removed & technical, "technical": technical, "content": F.when(c("sha256") != "", c("sha256"))})
+
+
+def _order() -> list[Column]:
+    """Best of a group first: kept, then score, then least id; behind them what others are compared with."""
+    c = F.col
+    return [F.coalesce((~c("is_kept")).cast("int"), F.lit(2)).alias("x"), (-c("score")).alias("y"), c("id"), *map(c, ("score", "sharpness", "sha256", "perceptual_hash", "likely_all_eyes_open", "average_expression_score"))]
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Adds n, best, second, usual, keeper_id of each photo's moment; rows has no null in moment_id.
+
+    second is the score that comes second by rank: the largest of the others wherever the best isn't kept, and read only there.
+    """
+    c = F.col
+    able = rows.filter("eligible")
+    # All three aggregates read the whole order: they then share one shuffle with the rows, where there is one, as none of them needs fewer columns.
+    lead = F.struct(*_order())
+    sizes = rows.groupBy("moment_id", "faces").agg(F.count("*").alias("k"), F.count_if("eligible").alias("able"), F.min(F.when(c("eligible"), lead)).alias("best"))
+    group = sizes.groupBy("moment_id").agg(F.sum("able").alias("n"), F.min("best").alias("best"), F.max_by("faces", F.when(c("faces") > 0, F.struct("k", "faces"))).alias("usual"))
+    # Two rows a moment are left before a shuffle (WindowGroupLimit).
+    place = F.row_number().over(Window.partitionBy("moment_id").orderBy(*_order()))
+    second = able.withColumn("place", place).filter("place = 2").select("moment_id", c("score").alias("second"))
+    # Of copies the kept ones come first, then the best of the group, then the least id. The best is among copies whose first by rank it is, and then no other comes before it.
+    kept, _, id_ = _order()[:3]
+    copies = able.filter("content is not null").groupBy("moment_id", "content").agg(F.count("*").alias("same"), F.min(F.struct(kept, id_))["id"].alias("least_id"), F.min(lead)["id"].alias("first_id")).filter("same > 1").drop("same")
+    out = rows.join(group, "moment_id", "left").join(second, "moment_id", "left").join(copies, ["moment_id", "content"], "left")
+    keeper = F.when(c("first_id") == c("best.id"), c("first_id")).otherwise(c("least_id"))
+    return out.withColumns({"second": F.coalesce("second", F.lit(0.0)), "keeper_id": keeper}).drop("first_id", "least_id")
+
+
+#: Whether rows that are joined by several columns, and lie by one of them, are dealt anew by all.
+ANEW = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+def _in_place(df: DataFrame) -> DataFrame:
+    """Written and read again; rows that lie by moment stay there for joins by moment and contents, or moment and id. The session's setting is as before afterwards."""
+    conf = df.sparkSession.conf
+    before = conf.get(ANEW)
+    conf.set(ANEW, "false")
+    try:
+        return cut(df, "decided")
+    finally:
+        conf.set(ANEW, before)
+
+
+def of_photos(overrides: DataFrame, photos: DataFrame) -> DataFrame:
+    """Overrides (photo_id, actual_decision) with moment_id of their photos; those without a photo go. Reads id and moment_id alone."""
+    return photos.select(F.col("id").alias("photo_id"), "moment_id").join(overrides, "photo_id").dropDuplicates(["moment_id", "photo_id"])
+
+
 def count_mismatches(photos: DataFrame) -> DataFrame:
     """(photo_id, moment_id) of photos with the code FaceCountMismatch: one face less than is usual in a moment that has an eligible photo.
 

@@ -9,7 +9,7 @@ from argentum.functions.scalar import EXPRESSION_TRUST, iou, known_state
 from argentum.operators.catalog import in_one_row
 
 
-def metrics(faces: DataFrame, by: str = "photo_id") -> DataFrame:
+def metrics(faces: DataFrame, by: str | list[str] = "photo_id") -> DataFrame:
     """One row a photo: counts of eyes by state, faces with both eyes open, sharpness, smiles that can be trusted.
 
     faces: photo_id, face_index, left_state, right_state (null: not seen), face_sharpness, smile_score,

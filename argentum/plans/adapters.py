@@ -95,12 +95,12 @@ FACES_SQL = """faces AS (SELECT id AS photo_id, moment_id, pos AS face_index,
  sharpness AS face_sharpness, CASE WHEN l_linenumber <> 5 THEN l_discount * 10.0 END AS smile_score, l_tax * 10.0 AS expression_confidence FROM shots)"""
 
 
-def faces(spark: SparkSession, sf_dir: str, by: str = "moment_id") -> DataFrame:
-    """lineitem as faces of photos (an order is a photo)."""
+def faces(spark: SparkSession, sf_dir: str, by: str = "moment_id", *more: str) -> DataFrame:
+    """lineitem as faces of photos (an order is a photo, or each line where by is id). more: columns of shots that come along."""
     c = F.col
     left = F.when(c("l_returnflag") == "A", "OPEN").when(c("l_returnflag") == "N", "CLOSED").otherwise("odd")
     right = F.when(c("l_linenumber") % 3 == 1, "OPEN").when(c("l_linenumber") % 3 == 2, "UNCERTAIN")
-    return shots(spark, sf_dir).select(c(by).alias("photo_id"), c("pos").alias("face_index"), left.alias("left_state"), right.alias("right_state"), c("sharpness").alias("face_sharpness"), F.when(c("l_linenumber") != 5, c("l_discount") * 10.0).alias("smile_score"), (c("l_tax") * 10.0).alias("expression_confidence"))
+    return shots(spark, sf_dir).select(*more, c(by).alias("photo_id"), c("pos").alias("face_index"), left.alias("left_state"), right.alias("right_state"), c("sharpness").alias("face_sharpness"), F.when(c("l_linenumber") != 5, c("l_discount") * 10.0).alias("smile_score"), (c("l_tax") * 10.0).alias("expression_confidence"))
 
 
 EYES_SQL = """eyes AS (SELECT CASE WHEN l.toxic = 1 THEN 'CLOSED' WHEN d.lang = 'es' THEN 'IGNORE' ELSE 'OPEN' END AS gt,

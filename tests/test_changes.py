@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 import re
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from argentum.operators import faces as face
 from argentum.operators.components import components
 from argentum.operators.moments import segments
 from argentum.plans import changes
+from argentum.plans import queries as base
 
 BASE = dt.datetime(2024, 1, 1)
 
@@ -216,3 +218,49 @@ def test_count_mismatches_are_those_of_recommend(spark):
     full = df.select("*", F.lit(False).alias("is_kept"), *[F.lit("0" * 16).alias(x) for x in ("sha256", "perceptual_hash")], *[F.lit(0.5).alias(x) for x in ("exposure", "highlight_clipping", "shadow_clipping", "contrast", "mean_saturation", "flat_fraction")])
     want = sorted(r["photo_id"] for r in decisions.recommend(full).filter(F.array_contains("codes", "FaceCountMismatch")).collect())
     assert sorted(r["photo_id"] for r in decisions.count_mismatches(full).collect()) == want and want
+
+
+def sent(spark, monkeypatch, query, sf):
+    """What a recommendation's shuffles are keyed by, those that are read again once: of what it writes and of what it returns."""
+    plans = []
+
+    def plan(df):
+        before = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plans.append(df.select("*")._jdf.queryExecution().executedPlan().toString())
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+    real = decisions.cut
+    monkeypatch.setattr(decisions, "cut", lambda df, name: plan(df) or real(df, name))
+    plan(query(spark, sf))
+    return [re.sub(r"#\d+L?", "", re.search(r"partitioning\((.*), \d+\)", x)[1]) for p in plans for x in p.splitlines() if "- Exchange hashpartitioning" in x]
+
+
+def test_faces_and_overrides_leave_lines_where_their_moment_is(spark, sf, monkeypatch):
+    found = sent(spark, monkeypatch, base.recommendations_with_faces, sf)
+    # Lines and their ids once each, and once more those without a moment; the rest is overrides.
+    assert found.count("l_orderkey") == 4 and set(found) <= {"l_orderkey", "user_id", "photo_id", "moment_id"}, found
+    assert spark.conf.get(decisions.ANEW) == "true"
+
+
+def test_overrides_of_photos_say_the_same(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, *"abcdefghijkl"]), rng.choice([None, False, False, True]), rng.choice([None, "", *"pqrs"]), rng.choice([None, 0.1, 0.5, 0.9]), rng.choice([None, "t", "t"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, moment_id string, is_kept boolean, sha256 string, sharpness double, thumbnail_path string")
+    df = df.select("*", F.lit("ready").alias("analysis_status"), F.lit("0" * 16).alias("perceptual_hash"), *[F.lit(0.2).alias(x) for x in ("exposure", "highlight_clipping", "shadow_clipping")])
+    said = spark.createDataFrame([(i, rng.choice(["KEEP", "REMOVE", "REVIEW"])) for i in range(0, 140, 3)], "photo_id long, actual_decision string")
+    want = sorted(map(str, decisions.recommend(df, said).collect()))
+    assert sorted(map(str, decisions.recommend(df.repartition(3, "moment_id"), decisions.of_photos(said, df)).collect())) == want and len(want) == 120
+    # By hand: of several copies that may stay one is kept, and it is the best of the moment if that is among them.
+    user = {r["photo_id"]: r["actual_decision"] for r in said.collect()}
+    got = {r["photo_id"]: r for r in decisions.recommend(df, said).collect()}
+    able = [(i, m, 0 if k or user.get(i) == "KEEP" else 2 if k is None else 1, x, s) for i, m, k, x, s, t in rows if m and s is not None and t and user.get(i) != "REMOVE"]
+    copied = 0
+    for i, m, kept, x, _ in able:
+        same = [a for a in able if a[1] == m and a[3] == x]
+        best = min((a for a in able if a[1] == m), key=lambda a: (a[2], -a[4], a[0]))[0]
+        if x and len(same) > 1 and kept and i not in user:
+            keeper = min(same, key=lambda a: (a[2], a[0] != best, a[0]))[0]
+            assert (got[i]["decision"], got[i]["compared_to"]) == (("KEEP", None) if i == keeper else ("REMOVE", keeper))
+            copied += 1
+    assert copied > 9
