@@ -264,3 +264,8 @@ def test_overrides_of_photos_say_the_same(spark):
             assert (got[i]["decision"], got[i]["compared_to"]) == (("KEEP", None) if i == keeper else ("REMOVE", keeper))
             copied += 1
     assert copied > 9
+
+
+def test_recommendations_send_lines_once(spark, sf, monkeypatch):
+    """Once, and once more those without a moment; whatever is joined afterwards lies there already."""
+    assert sent(spark, monkeypatch, base.recommendations, sf) == ["l_orderkey"] * 2
