@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import acos
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argentum.functions.scalar import dot, valid_vector
+from argentum.operators import rounds
 from argentum.operators.components import components
 from argentum.operators.metric import Angle, Index, index
+from argentum.operators.rounds import DIGITS
 from argentum.plans.shared import cut
 
 LINK, LEAST, MEAN = 0.60, 0.45, 0.50
 PIXELS = 40
-#: Members of a component that one task resolves, with a matrix of 33 MB; and the digits of a score that count.
-ALONE, DIGITS = 2048, 9
+#: Members of a component that one task resolves, with a matrix of 33 MB; and links a vector, above which they are no table.
+ALONE, LINKS = 2048, 32
 
 
 def candidates(faces: DataFrame, signatures: DataFrame, photos: DataFrame, version: str, size: int = 128) -> DataFrame:
@@ -75,68 +76,45 @@ def links(vectors: DataFrame, least: float = LINK, **sizes: int) -> DataFrame:
     return _index(vectors, least, ("photo_id",), **sizes).pairs(made, f"a {kind}, b {kind}, score double")
 
 
-def sums(vectors: DataFrame, least: float, **sizes: int) -> DataFrame:
-    """(p, q, n, sum) for clusters p < q: pairs of members of different photos whose product, with nine digits, is at least `least`. vectors: id, cluster, photo_id, vector.
-
-    Added up where vectors meet, members of a cluster beside each other, so that no row is made for each pair.
-    """
-    kind = vectors.schema["cluster"].dataType.simpleString()
-
-    def made(one: pa.RecordBatch, two: pa.RecordBatch) -> Callable:
-        import pyarrow.compute as pc
-
-        x, y = _raw(one), _raw(two)
-        p, q, _ = _codes(one, two, "photo_id")
-        c, d, names = _codes(one, two, "cluster")
-
-        def some(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-            top = i[0]
-            score = np.round((x[top : i[-1] + 1] @ y.T)[i - top, j], DIGITS)
-            good = (p[i] != q[j]) & (c[i] != d[j]) & (score >= least)
-            key, at = np.unique(np.minimum(c[i], d[j])[good].astype(np.int64) * len(names) + np.maximum(c[i], d[j])[good], return_inverse=True)
-            a, b = names.take(pa.array(key // len(names))), names.take(pa.array(key % len(names)))
-            return pa.RecordBatch.from_arrays([pc.min_element_wise(a, b), pc.max_element_wise(a, b), pa.array(np.bincount(at, minlength=len(key)).astype(np.int64)), pa.array(np.bincount(at, score[good], len(key)))], ["p", "q", "n", "sum"])
-
-        return some
-
-    found = _index(vectors, least - 1e-9, ("cluster", "photo_id"), **sizes).pairs(made, f"p {kind}, q {kind}, n long, sum double")
-    return found.groupBy("p", "q").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
-
-
 def groups(vectors: DataFrame, link: float = LINK, least: float = LEAST, mean: float = MEAN, by: tuple[str, ...] = ("id",), alone: int = ALONE) -> DataFrame:
     """(person_key, id, photo_id, size): links from the strongest down join groups that share no photo, if no cross pair
     is under `least` and their mean reaches `mean`. Groups of one are left out. Scores count with nine digits; equal ones are in the order of `by`.
 
-    Groups never reach beyond a component of the links. Components of at most `alone` members are resolved in
-    one task each. Of larger ones the strongest links are, as far down as their own components are that small; clusters
-    go on from there in rounds over tables (see in_rounds). The result is the same for any `alone`.
+    Groups never reach beyond a component of the links. Where links are few, components of at most `alone` members are resolved in
+    one task each. Larger ones, and all rows where links are many, are resolved in rounds without a table of links
+    (`operators/rounds.py`). The result is the same for any `alone`.
     """
-    score = F.round("score", DIGITS)
-    strong = cut(links(vectors, link - 1e-9).select("a", "b", score.alias("score")).filter(F.col("score") >= link), "alike")
-    few, many = _by_size(vectors, strong, alone)
-    found = _resolved(few, link, least, mean, by)
-    if many.isEmpty():
-        return found
-    upto, begun = None, None
-    for k in (1, 2, 3):
-        upto = 1.0 - (1.0 - link) / 2**k
-        small, large = _by_size(many.drop("component", "members"), strong.filter(F.col("score") >= upto), alone)
-        if large.isEmpty():
-            begun = _resolved(small, upto, least, mean, by)
-            break
-    rows = many.withColumn("cluster", F.col("id"))
-    if begun is not None:
-        begun = begun.select("person_key", "id")
-        first = begun.groupBy("person_key").agg(F.min("id").alias("cluster"))
-        rows = many.join(begun.join(first, "person_key").select("id", "cluster"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
-        strong = strong.filter(F.col("score") < upto)
-    rows = cut(rows.select("id", "cluster", "photo_id", "vector", *[c for c in by if c not in ("id", "photo_id", "vector")]), "begun")
-    one, two = (rows.select(F.col("id").alias(a), F.col("cluster").alias(p), F.struct(*by).alias(x)) for a, p, x in ("apx", "bqy"))
-    open_ = strong.hint("merge").join(one, "a").join(two.hint("merge"), "b").filter("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.struct((-F.col("score")).alias("minus"), F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).alias("rank"))
-    members = in_rounds(open_, cut(sums(rows, least), "between"), rows.select("id", "cluster", "photo_id"), mean)
+    rows = rounds.placed(vectors.filter("vector is not null"), by)
+    if few_links(rows, link):
+        score = F.round("score", DIGITS)
+        strong = cut(links(rows, link - 1e-9).select("a", "b", score.alias("score")).filter(F.col("score") >= link), "alike")
+        few, many = _by_size(rows, strong, alone)
+        members = cut(rounds.decided(rounds.begun(few, "component"), None, link, least, mean), "clusters").select("cluster", "id", "photo_id")
+        if not many.isEmpty():
+            members = members.union(rounds.in_rounds(many, link, least, mean, alone))
+    else:
+        members = rounds.in_rounds(rows, link, least, mean, alone)
     named = members.groupBy("cluster").agg(F.min(F.struct("photo_id", "id")).alias("first"), F.count("*").alias("size")).filter("size > 1")
     key = F.concat(F.col("first.photo_id").cast("string"), F.lit(":"), F.col("first.id").cast("string"))
-    return found.unionByName(members.join(named, "cluster").select(key.alias("person_key"), "id", "photo_id", "size"))
+    return members.join(named, "cluster").select(key.alias("person_key"), "id", "photo_id", "size")
+
+
+def few_links(vectors: DataFrame, link: float) -> bool:
+    """Whether links are at most LINKS a vector, by a sample that meets all; always for at most ALONE vectors."""
+    n = vectors.count()
+    if n <= ALONE:
+        return True
+    own = F.pmod(F.xxhash64("id"), F.lit(max(1, n // ALONE))) == 0
+    sample = vectors.filter(own).select(F.col("vector").cast("array<float>").alias("value")).limit(4 * ALONE).toArrow().combine_chunks()
+    some = _raw(sample.to_batches()[0]).T if len(sample) else np.zeros((1, 0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sum(int((_raw(batch.slice(i, 512)) @ some >= link).sum()) for i in range(0, len(batch), 512)) if some.size else 0
+            yield pa.RecordBatch.from_arrays([pa.array([found])], ["n"])
+
+    found = vectors.select(F.col("vector").cast("array<float>").alias("value")).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+    return found / 2 <= LINKS * max(1, len(sample))
 
 
 def _by_size(vectors: DataFrame, pairs: DataFrame, alone: int) -> tuple[DataFrame, DataFrame]:
@@ -146,75 +124,6 @@ def _by_size(vectors: DataFrame, pairs: DataFrame, alone: int) -> tuple[DataFram
     return rows.filter(F.col("members") <= alone), rows.filter(F.col("members") > alone)
 
 
-def in_rounds(links: DataFrame, between: DataFrame, faces: DataFrame, mean: float) -> DataFrame:
-    """(id, cluster, photo_id) of all faces. links: p < q (clusters), rank (their order); between: p < q, n, sum of the pairs that may stand in one cluster; faces: id, cluster, photo_id.
-
-    In a round each link is decided that comes before all others of both its clusters: what is decided later can't
-    touch them before, so this is the same as going through all links in order. A cross pair that is missing in `between` or a shared photo
-    will stay in the way whatever the clusters grow to, so such links go at once, the others one by one. Tables have
-    a row for each pair of clusters with what their means need, for each open link, and for each face.
-    """
-    open_ = links
-    while True:
-        sizes = faces.groupBy("cluster").agg(F.count("*").alias("size"))
-        whole = between.join(sizes.select(F.col("cluster").alias("p"), F.col("size").alias("u")), "p").join(sizes.select(F.col("cluster").alias("q"), F.col("size").alias("v")), "q")
-        between = cut(whole.filter(F.col("n") == F.col("u") * F.col("v")).select("p", "q", "n", "sum"), "between")
-        open_ = cut(open_.join(between, ["p", "q"]).select("p", "q", "rank", "n", "sum"), "open")
-        if open_.isEmpty():
-            return faces
-        firsts = open_.select(F.col("p").alias("c"), "rank").union(open_.select("q", "rank")).groupBy("c").agg(F.min("rank").alias("rank"))
-        decided = cut(open_.join(firsts.withColumnRenamed("c", "p"), ["p", "rank"]).join(firsts.withColumnRenamed("c", "q"), ["q", "rank"]).select("p", "q", "rank", (F.round(F.col("sum") / F.col("n"), DIGITS) >= mean).alias("near")), "decided")
-        # A cluster is in one of these links at most, so that its faces are looked up once.
-        seen = decided.select("p", "q", F.explode(F.array("p", "q")).alias("cluster")).join(faces, "cluster").groupBy("p", "q", "photo_id").agg(F.count("*").alias("n"))
-        shared = cut(seen.filter("n > 1").select("p", "q").distinct(), "shared")
-        joined = cut(decided.filter("near").join(shared, ["p", "q"], "left_anti").select(F.col("q").alias("old"), F.col("p").alias("new")), "joined")
-        faces = cut(faces.join(joined, faces["cluster"] == joined["old"], "left").select("id", F.coalesce("new", "cluster").alias("cluster"), "photo_id"), "clusters")
-        open_ = _relabelled(open_.join(shared, ["p", "q"], "left_anti").join(decided.select("rank"), "rank", "left_anti").select("p", "q", "rank"), joined)
-        between = _relabelled(between, joined).groupBy("p", "q").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
-
-
-def _relabelled(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs (p < q) of clusters after some have become part of others; pairs within one are left out."""
-    rest = [c for c in pairs.columns if c not in ("p", "q")]
-    both = pairs
-    for side in "pq":
-        both = both.join(joined.select(F.col("old").alias(side), F.col("new").alias(f"{side}_new")), side, "left").withColumn(side, F.coalesce(f"{side}_new", side)).drop(f"{side}_new")
-    return both.filter("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), *rest)
-
-
-def _resolved(rows: DataFrame, link: float, least: float, mean: float, by: tuple[str, ...]) -> DataFrame:
-    """Each component in one task, with a matrix of its members."""
-    kind, photo = rows.schema["id"].dataType.simpleString(), rows.schema["photo_id"].dataType.simpleString()
-
-    def resolve(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(list(by), kind="stable").reset_index(drop=True)
-        v = np.stack(f["vector"].to_numpy()).astype(np.float64)
-        score, photos = np.round(v @ v.T, DIGITS), f["photo_id"].tolist()
-        i, j = np.nonzero(np.triu(score >= link, 1))
-        own = np.array([photos[a] != photos[b] for a, b in zip(i, j, strict=True)], bool)
-        i, j = i[own], j[own]
-        order = np.lexsort((j, i, -score[i, j]))
-        head, members = list(range(len(f))), {k: [k] for k in range(len(f))}
-        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-            p, q = head[a], head[b]
-            if p == q or {photos[k] for k in members[p]} & {photos[k] for k in members[q]}:
-                continue
-            cross = score[np.ix_(members[p], members[q])]
-            if cross.min() < least or round(float(cross.mean()), DIGITS) < mean:
-                continue
-            for k in members[q]:
-                head[k] = p
-            members[p] += members.pop(q)
-        out = []
-        for group in members.values():
-            if len(group) > 1:
-                faces = sorted(group, key=lambda k: (photos[k], f["id"][k]))
-                out += [(f"{photos[faces[0]]}:{f['id'][faces[0]]}", f["id"][k], photos[k], len(group)) for k in faces]
-        return pd.DataFrame(out, columns=["person_key", "id", "photo_id", "size"])
-
-    return rows.groupBy("component").applyInPandas(resolve, f"person_key string, id {kind}, photo_id {photo}, size long")
-
-
 def with_photos(people: DataFrame, photos: DataFrame) -> DataFrame:
     """People whose photos are still there, with at least two of them: key, size, faces (in order)."""
     here = people.join(photos.select(F.col("id").alias("photo_id")), "photo_id", "left_semi")
